@@ -1,7 +1,9 @@
 """Quality rules: base counts and a perplexity band of a modified Kneser-Ney model.
 
 The model is over characters, one for each language. Spark counts the n-grams of
-every whole text (each task sums its own batch, Spark sums the tasks');
+every whole text that reads as prose (``trusted``: few symbols to the word, not
+mostly capitals; a model that has learnt junk finds junk likely), each task
+summing its own batches and Spark the tasks';
 lower orders hold continuation counts, discounts come from counts of
 counts as for modified Kneser-Ney, and each order is stored as a sorted array of
 64-bit keys (language, symbols) with log-probabilities and back-off weights.
@@ -34,6 +36,7 @@ from lodestrata.llm.common import written
 
 BITS = 12
 SYMBOLS = re.compile(r"[#*$%&|<>]")
+CAPITALS = re.compile(r"[A-Z\xC0-\xDE]")
 #: Characters in one numpy slice.
 SLICE = 1 << 20
 START = 1  # symbol before a text's first character
@@ -43,7 +46,7 @@ START = 1  # symbol before a text's first character
 class Perplexity:
     order: int = 5
     band: float = 4.0
-    floor: float = 0.25
+    floor: float = 0.4
     max_entries: int = 30_000_000
 
 
@@ -54,6 +57,11 @@ def symbols(text: str) -> np.ndarray:
     return cp
 
 
+def trusted(text: str) -> bool:
+    """May the model learn from it: at most one symbol to ten words, at most half of it capitals."""
+    return 10 * len(SYMBOLS.findall(text)) <= text.count(" ") + 1 and 2 * len(CAPITALS.findall(text)) <= len(text.replace(" ", ""))
+
+
 def grams(text: str, order: int) -> np.ndarray:
     """Packed n-grams that end at each character, padded at the front."""
     s = np.concatenate([np.full(order - 1, START, np.int64), symbols(text)])
@@ -130,7 +138,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> Da
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for g in slices(text, order):
+                for g in slices(text, order) if trusted(text) else ():
                     held.setdefault(lang, []).append(g)
                     size += len(g)
                     if size > 4 * SLICE:
