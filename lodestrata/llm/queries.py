@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import table
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.mixing import mixing_digest
+from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import quality
 from lodestrata.llm.url_filter import filter_urls
 
@@ -24,6 +26,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -41,7 +47,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labelled)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op6_source_mixing, op8_quality_rules, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_packing, op6_source_mixing, op8_quality_rules, op9_url_filter)}
 
 ORACLES = {
     "op1_line_dedup": r"""
