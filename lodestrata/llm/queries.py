@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import table
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.mixing import mixing_digest
+from lodestrata.llm.near_dedup import Near, near_dedup
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import quality
 from lodestrata.llm.url_filter import filter_urls
@@ -26,6 +27,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), how=Near(words=4))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -47,7 +52,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labelled)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_packing, op6_source_mixing, op8_quality_rules, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_near_dedup, op4_packing, op6_source_mixing, op8_quality_rules, op9_url_filter)}
 
 ORACLES = {
     "op1_line_dedup": r"""
