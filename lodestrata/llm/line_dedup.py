@@ -1,10 +1,9 @@
 """Line dedup across sites: boilerplate lines are those that many distinct sites carry.
 
-Stage by stage: (1) count each line key with its least and greatest site, which
-already rules out every line of one site; (2) HyperLogLog sketches of the sites of
-the rest, per line key, merged by aggregation; (3) exact distinct counts, only for
-keys whose estimate lies within ``band`` of the threshold; (4) drop every
-occurrence of a boilerplate line but its first (least doc_id, then position).
+Stage by stage: (1) a HyperLogLog sketch of the sites of each line key, merged
+by aggregation, with the key's count and first occurrence; (2) exact distinct counts,
+only for keys whose estimate lies within ``band`` of the threshold; (3) drop
+every occurrence of a boilerplate line but its first (least doc_id, then position).
 All groupings combine partially before they shuffle, so a line that a third of
 all rows hold costs one row for each task.
 
@@ -40,23 +39,18 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> D
 
 def boilerplate(lines: DataFrame, min_sites: int, band: float, lg_k: int = 12) -> DataFrame:
     """(key, id, pos) of the first occurrence of each line on min_sites sites or more."""
-    wide = (
+    by_key = (
         lines.groupBy("key")
-        .agg(F.min("site").alias("a"), F.max("site").alias("b"), F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
-        .where((F.col("a") != F.col("b")) & (F.col("n") >= min_sites))
-        .select("key", "first")
+        .agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+        .where(F.col("n") >= min_sites)
+        .select("key", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     )
-    seen = lines.select("key", "site").join(wide.select("key"), "key", "left_semi")
     low, high = min_sites * (1 - band), min_sites * (1 + band)
-    estimated = (
-        seen.groupBy("key").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
-        .select("key", F.hll_sketch_estimate("sketch").alias("sites"))
-    )
-    near = estimated.where((F.col("sites") >= low) & (F.col("sites") <= high)).select("key")
-    # distinct pairs first: a hot line leaves one row for each site and task
-    exact = seen.join(near, "key", "left_semi").distinct().groupBy("key").agg(F.count("*").alias("sites"))
-    chosen = estimated.where(F.col("sites") > high).select("key").unionByName(exact.where(F.col("sites") >= min_sites).select("key"))
-    return wide.join(chosen, "key", "left_semi").select("key", F.col("first.id").alias("id"), F.col("first.pos").alias("pos"))
+    near = by_key.where(F.col("sites").between(low, high)).select("key", "first")
+    # distinct pairs before the join: a hot line leaves one row for each site, not each occurrence
+    exact = lines.select("key", "site").distinct().join(near, "key").groupBy("key").agg(F.count("*").alias("sites"), F.first("first").alias("first"))
+    chosen = by_key.where(F.col("sites") > high).select("key", "first").unionByName(exact.where(F.col("sites") >= min_sites).select("key", "first"))
+    return chosen.select("key", F.col("first.id").alias("id"), F.col("first.pos").alias("pos"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, band: float = 0.4) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import table
+from lodestrata.llm.html_extract import extract
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.mixing import mixing_digest
 from lodestrata.llm.near_dedup import Near, near_dedup
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import quality
+from lodestrata.llm.topk import integer_vectors, top_k
 from lodestrata.llm.url_filter import filter_urls
 
 
@@ -27,6 +29,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), integer_vectors(F.col("embedding"), 64.0).alias("v"))
+    return top_k(rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()), F.col("id") % 20 == 0)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), how=Near(words=4))
 
@@ -52,9 +59,23 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labelled)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_near_dedup, op4_packing, op6_source_mixing, op8_quality_rules, op9_url_filter)}
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_near_dedup, op4_packing, op6_source_mixing, op8_quality_rules, op9_url_filter, op10_html_extract)}
 
 ORACLES = {
+    "op2_exact_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op1_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, coalesce('=' || source, '') AS site, i - 1 AS pos, string_split(text, chr(10))[i] AS line
