@@ -14,6 +14,7 @@ from lodestrata.llm.near_dedup import Near, near_dedup
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import quality
 from lodestrata.llm.topk import integer_vectors, top_k
+from lodestrata.llm.toxicity import toxicity
 from lodestrata.llm.url_filter import filter_urls
 
 
@@ -46,6 +47,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
@@ -63,7 +68,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_near_dedup, op4_packing, op6_source_mixing, op8_quality_rules, op9_url_filter, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_near_dedup, op4_packing, op6_source_mixing, op7_toxicity, op8_quality_rules, op9_url_filter, op10_html_extract)}
 
 ORACLES = {
     "op2_exact_topk": r"""
