@@ -13,6 +13,7 @@ from lodestrata.llm.mixing import mixing_digest
 from lodestrata.llm.near_dedup import Near, near_dedup
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import quality
+from lodestrata.llm.suffix_dedup import suffix_dedup
 from lodestrata.llm.topk import integer_vectors, top_k
 from lodestrata.llm.toxicity import toxicity
 from lodestrata.llm.url_filter import filter_urls
@@ -43,6 +44,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -68,7 +73,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_near_dedup, op4_packing, op6_source_mixing, op7_toxicity, op8_quality_rules, op9_url_filter, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_exact_topk, op3_near_dedup, op4_packing, op5_suffix_dedup, op6_source_mixing, op7_toxicity, op8_quality_rules, op9_url_filter, op10_html_extract)}
 
 ORACLES = {
     "op2_exact_topk": r"""
