@@ -7,19 +7,22 @@ documents; none reads anything but its input.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import table, written
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.mixing import mix
+from lodestrata.llm.near_dedup import near_dedup
+from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     kept = quality(docs).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs.doc_id == F.col("__id"), "left_semi")
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +34,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumns({"text": F.col("__text"), "n_chars": count}).select(docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near copies."""
+    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus; a document drawn more than once stands there as often."""
     return mix(docs).select(docs.columns)
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("source mixing", mix_sources)]
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their token ids, dealt to sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", dedup_lines),
+    ("near dedup", near_duplicates),
+    ("source mixing", mix_sources),
+    ("packing", pack_tokens),
+]
 
 #: Perplexities, sketches and dynamic programs are beyond SQL: the stages are tested against brute force.
 ORACLE_SQL = None
