@@ -1,0 +1 @@
+"""Level-of-detail geospatial tables on Spark."""
