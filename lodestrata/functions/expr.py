@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,9 +64,9 @@ def viewport(west: Column, south: Column, east: Column, north: Column) -> Column
 
 def row_hash(row: Column) -> Column:
     """ASG-06: row times a 64-bit constant modulo 2^64, folded by h ^ (h >> 30), as the signed bit pattern."""
-    two64 = F.lit(2**64).cast("decimal(38,0)")
-    h = F.pmod(row.cast("decimal(20,0)") * F.lit(HASH_MULTIPLIER).cast("decimal(20,0)"), two64)
-    signed = F.when(h >= F.lit(2**63).cast("decimal(38,0)"), h - two64).otherwise(h).cast("long")
+    big = lambda n: F.lit(Decimal(n)).cast("decimal(38,0)")
+    h = F.pmod(row.cast("decimal(20,0)") * F.lit(Decimal(HASH_MULTIPLIER)).cast("decimal(20,0)"), big(2**64))
+    signed = F.when(h >= big(2**63), h - big(2**64)).otherwise(h).cast("long")
     return signed.bitwiseXOR(F.shiftrightunsigned(signed, 30))
 
 

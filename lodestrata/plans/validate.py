@@ -130,6 +130,14 @@ def check(spark: SparkSession, path: str) -> Report:
     return report
 
 
+def faults(kind: str):
+    @F.arrow_udf("string")
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else problem(v, kind) for v in a.to_pylist()], pa.string())
+
+    return run
+
+
 def check_values(spark: SparkSession, path: str, md, geo: GeoMeta, report: Report) -> None:
     """VAL-10/VAL-11/VAL-13: coverage for each row group, and the first bad value of each LoD in file order."""
     o = geo.overviews
@@ -145,13 +153,7 @@ def check_values(spark: SparkSession, path: str, md, geo: GeoMeta, report: Repor
     for r in coverage_errors(coverage(flat, [x.name for x in o.lods]), bounds).orderBy("rg", "lod").limit(20).collect():
         report.errors.append(f"row group {r.rg}: lod {r.lod} has {r.nulls} nulls in {r.rows} rows")
     for x in o.lods:
-        kind = x.geometry_type
-
-        @F.arrow_udf("string")
-        def fault(a: pa.Array, kind: str = kind) -> pa.Array:
-            return pa.array([None if v is None else problem(v, kind) for v in a.to_pylist()], pa.string())
-
-        bad = flat.select("rg", ROW_INDEX, fault(F.col(x.name)).alias("message")).where("message IS NOT NULL")
+        bad = flat.select("rg", ROW_INDEX, faults(x.geometry_type)(F.col(x.name)).alias("message")).where("message IS NOT NULL")
         first = bad.agg(F.min(F.struct("rg", ROW_INDEX, "message")).alias("x")).first().x
         if first:
             report.errors.append(f"row group {first.rg}, row {first[ROW_INDEX]}: lod {x.name}: {first.message}")
