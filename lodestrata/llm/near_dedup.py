@@ -1,18 +1,19 @@
 """MinHash near-dedup with odd sketches.
 
-1. Each text becomes its set of word shingles (64-bit hashes), ``k`` MinHash
-   samples of it, ``bands`` band keys, and an odd sketch: sample i with value v flips
-   bit hash(i, v) of a bitmap, so the bitmap holds parities, and the population
-   count of the XOR of two sketches estimates how many samples differ: sharp
-   just where similarities are high.
+1. Each text becomes its set of word shingles (64-bit hashes), MinHash band keys, and
+   an odd sketch: each MinHash sample (the least hash of each of ``bins`` bins of one
+   permutation; a set of at most that many shingles is its own sample) flips the bit of
+   a bitmap that its hash names, so the bitmap holds parities, and the population count
+   of the XOR of two sketches tells how many samples differ, sharply where similarities are high.
 2. Texts of equal sets are one class, represented by the least id.
 3. Band keys give candidates. First every member of a key is paired with the key's
-   least member only (a star); later rounds look only at keys whose members
-   are still in several components, in blocks of bounded size, and pair a member with its
-   most similar members of other components by sketch; the last round takes every
-   pair of members of different components whose sketches do not rule it out.
-4. Candidates pass if their sketches allow the threshold (by ``slack``, some six
-   standard deviations below it); passing pairs are confirmed on full sets.
+   least member only (a star). Then only keys whose members are still in several components
+   are looked at, in blocks of bounded size: pairs of members of different components, each pair
+   in the first key that it shares. Where these keys are large, a first pass takes each
+   member's most similar partner only, which joins what a large group holds together.
+4. Candidates pass if their sketches do not rule out the threshold: for small sets the count
+   is a lower bound of the difference, so nothing is lost; for larger ones ``slack`` is six
+   standard deviations. Passing pairs are confirmed on full sets.
 5. Components of confirmed links come from star contraction.
 
 No group is paired with itself in full unless its members stay apart, nothing is capped, and
@@ -47,11 +48,10 @@ class Near:
     percent: int = 80
     bands: int = 32
     rows: int = 4
-    bits: int = 512
-    slack: float = 0.25
+    bins: int = 1024
+    bits: int = 2048
+    slack: float = 0.1
     block: int = 4096
-    best: int = 2
-    rounds: int = 3
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -88,41 +88,58 @@ class Sketcher:
             np.minimum(out, x.min(axis=0), out=out)
         return out
 
-    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, bytes]:
-        """(band keys, odd sketch) of a set that isn't empty."""
-        m = self.samples(s)
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, int, bytes]:
+        """(band keys, samples, odd sketch) of a set that isn't empty."""
         key = self.band.copy()
-        for col in m.reshape(self.how.bands, self.how.rows).T:
+        for col in self.samples(s).reshape(self.how.bands, self.how.rows).T:
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + col)
-        bit = mixed(m + self.mult) % np.uint64(self.how.bits)
-        odd = np.bincount(bit.astype(np.int64), minlength=self.how.bits) & 1
-        return key.view(np.int64), np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def may_link(xor_bits: np.ndarray, how: Near) -> np.ndarray:
-    """Estimated similarity from XOR population counts; 0 where parities are saturated."""
-    z = 1.0 - 2.0 * xor_bits / how.bits
-    differ = np.where(z > 0, -how.bits / 2.0 * np.log(np.maximum(z, 1e-9)), np.inf)  # 2 k (1 - J)
-    return np.maximum(0.0, 1.0 - differ / (2.0 * how.bands * how.rows))
+        x = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
+        if len(x) > self.how.bins:  # the least hash of each bin, bins being leading bits; a smaller set is its own sample
+            x = np.sort(x)
+            shift = np.uint64(64 - (self.how.bins - 1).bit_length())
+            x = x[np.append(True, (x[1:] >> shift) != (x[:-1] >> shift))]
+        bit = (mixed(x + np.uint64(1)) % np.uint64(self.how.bits)).astype(np.int64)
+        odd = np.bincount(bit, minlength=self.how.bits) & 1
+        return key.view(np.int64), len(x), np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(xor_bits: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, how: Near) -> np.ndarray:
+    """Upper estimates of the similarity of sets of n_a and n_b shingles with a and b samples, from XOR population counts.
+
+    Sets that are their own samples: parities that meet only hide differences, so the count is a lower bound of
+    the difference and no link is lost. Sampled sets: the estimate corrected for met parities, plus ``slack``. One of each: 1.
+    """
+    whole_a, whole_b = n_a <= how.bins, n_b <= how.bins
+    total = (n_a + n_b).astype(np.float64)
+    match = (total - xor_bits) / 2.0
+    exact = match / np.maximum(1.0, total - match)
+    z = np.maximum(1.0 - 2.0 * xor_bits / how.bits, 1e-9)
+    match = np.maximum(0.0, (a + b + how.bits / 2.0 * np.log(z)) / 2.0)
+    j = np.full(len(xor_bits), how.percent / 100)
+    for _ in range(6):  # share of the bins that either set fills: they follow from the union's size
+        filled = how.bins * -np.expm1(total / (1.0 + j) * np.log1p(-1.0 / how.bins))
+        j = np.minimum(1.0, match / np.maximum(1.0, filled))
+    return np.where(whole_a & whole_b, exact, np.where(whole_a | whole_b, 1.0, j + how.slack))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, how: Near) -> DataFrame:
-    """(id, n, fp, keys, odd) of each row: set size, fingerprint of the set, band keys, odd sketch."""
+    """(id, n, fp, keys, samples, odd) of each row: set size, fingerprint of the set, band keys, odd sketch and its samples."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(how)
         for b in batches:
-            n, fp, keys, odd = [], [], [], []
+            n, fp, keys, samples, odd = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, how.words)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                k, o = sketch(s) if len(s) else (None, None)
+                k, m, o = sketch(s) if len(s) else (None, None, None)
                 keys.append(k)
+                samples.append(m)
                 odd.append(o)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], names=["id", "n", "fp", "keys", "odd"])
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.int32()), pa.array(odd, pa.binary())], names=["id", "n", "fp", "keys", "samples", "odd"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {dict(docs.dtypes)[id_col]}, n long, fp binary, keys array<long>, odd binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {dict(docs.dtypes)[id_col]}, n long, fp binary, keys array<long>, samples int, odd binary")
 
 
 def full_sets(docs: DataFrame, how: Near) -> DataFrame:
@@ -148,7 +165,7 @@ class Linker:
         classes = self.signed.where(F.col("fp").isNotNull() & F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("rep"))
         self.classes = written(classes, "classes")
         one = self.signed.join(self.classes.select(F.col("rep").alias("id"), F.col("fp").alias("f")), "id").where("fp = f")
-        self.reps = written(one.groupBy("id").agg(F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("keys").alias("keys")), "reps")
+        self.reps = written(one.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "samples", "odd", "keys"))), "reps")
         members = self.reps.select("id", F.explode("keys").alias("key"))
         shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
         self.members = written(members.join(shared, "key"), "members")
@@ -156,7 +173,7 @@ class Linker:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough; sketches and sizes first."""
         how = self.how
-        side = lambda c: self.reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+        side = lambda c: self.reps.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "samples", "odd")))
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= how.percent * F.greatest("n_a", "n_b"))
         passing = written(sketch_filter(sized, how).select("a", "b"), "passing")
         wanted = passing.select(F.col("a").alias("id")).unionByName(passing.select(F.col("b").alias("id"))).distinct()
@@ -174,70 +191,79 @@ class Linker:
         removed(sets)
         return out
 
-    def open_pairs(self, comp: DataFrame, every: bool) -> DataFrame:
-        """Candidates (a, b), a < b, of keys whose members are in several components."""
-        m = self.members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def open_pairs(self, comp: DataFrame, best: int | None) -> DataFrame:
+        """Candidates (a, b), a < b, of keys whose members are in several components: all, or each member's best."""
+        m = self.placed(comp)
         spread = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        m = m.select("key", "id", "size", "component").join(spread, "key").join(self.reps.select("id", "odd"), "id")
+        m = m.join(spread, "key", "left_semi").join(self.reps, "id")
         parts = F.ceil(F.col("size") / self.how.block).cast("int")
-        block = F.pmod(F.xxhash64("id"), parts).cast("int")
-        other = F.explode(F.sequence(F.lit(0), parts - 1))
-        m = m.withColumn("mine", block).withColumn("other", other)
-        m = m.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id", "component", "odd", "mine")
+        m = m.withColumn("mine", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        m = m.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id", "component", "n", "samples", "odd", "keys", "mine")
         kind = dict(self.reps.dtypes)["id"]
-        how, best = self.how, None if every else self.how.best
-        return m.groupBy("key", "x", "y").applyInArrow(lambda t: apart(t, how, best), f"a {kind}, b {kind}").distinct()
+        how = self.how
+        return m.groupBy("key", "x", "y").applyInArrow(lambda t: apart(t, how, best), f"a {kind}, b {kind}")
+
+    def placed(self, comp: DataFrame) -> DataFrame:
+        m = self.members.join(comp.withColumnRenamed("node", "id"), "id", "left")
+        return m.select("key", "id", "size", F.coalesce("component", "id").alias("component"))
 
     def links(self) -> DataFrame:
-        how = self.how
         stars = self.members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
         tested = written(stars, "tested")
         links = self.confirmed(tested)
-        for turn in range(how.rounds + 1):
+        for best in (1, None):
             comp = written(components(links), "comp")
-            m = self.members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-            spread = m.groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            spread = self.placed(comp).groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
             rows, pairs = spread.agg(F.sum("size"), F.sum(F.col("size") * F.col("size"))).first()
             if not rows:
                 break
-            every = turn == how.rounds or pairs <= 64 * rows  # few pairs: all of them at once
-            new = written(self.open_pairs(comp, every).join(tested, ["a", "b"], "left_anti"), "new")
-            if not new.isEmpty():
-                tested = tested.unionByName(new)
-                links = links.unionByName(self.confirmed(new))
-            if every:
-                break
+            if best and pairs <= 64 * rows:  # small keys only: all their pairs at once
+                continue
+            new = self.open_pairs(comp, best).distinct().join(tested, ["a", "b"], "left_anti")
+            new = written(new, "new")
+            tested = tested.unionByName(new)
+            links = links.unionByName(self.confirmed(new))
         return links
 
 
 def sketch_filter(pairs: DataFrame, how: Near) -> DataFrame:
-    """Pairs whose sketches allow the threshold: XOR population count against its greatest allowed value."""
-    counts = np.arange(how.bits + 1)
-    most = int(counts[may_link(counts, how) >= how.percent / 100 - how.slack].max())
+    """Pairs whose sketches do not rule out the threshold."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("odd_a", "odd_b"))
-                yield b.filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most))
+                s_a, s_b, n_a, n_b = (b.column(c).to_numpy() for c in ("samples_a", "samples_b", "n_a", "n_b"))
+                like = may_link(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), s_a, s_b, n_a, n_b, how)
+                yield b.filter(pa.array(like >= how.percent / 100 - 1e-9))
 
     return pairs.mapInArrow(keep, pairs.schema)
 
 
 def apart(t: pa.Table, how: Near, best: int | None) -> pa.Table:
-    """Pairs of one block pair of a key: members of different components whose sketches allow a link; each member's best few, or all."""
+    """Pairs of one block pair of a key: members of different components whose sketches allow a link.
+
+    With ``best``, each member's best few. Else all, each where this key is the first that the pair shares.
+    """
     odd = np.frombuffer(b"".join(t.column("odd").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
     comp = np.unique(t.column("component").to_numpy(), return_inverse=True)[1]
-    mine, ids = t.column("mine").to_numpy(), t.column("id").to_numpy()
-    x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+    mine, ids, n, samples = (t.column(c).to_numpy() for c in ("mine", "id", "n", "samples"))
+    x, y, key = (t.column(c)[0].as_py() for c in ("x", "y", "key"))
+    band = int(np.flatnonzero(keys[0] == key)[0])
     left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
     a, b = [], []
     for i in left:
-        to = right[(comp[right] != comp[i])] if x != y or best is not None else right[(right > i) & (comp[right] != comp[i])]
+        to = right[comp[right] != comp[i]]
+        if x == y and best is None:
+            to = to[to > i]
+        to = to[100 * np.minimum(n[to], n[i]) >= how.percent * np.maximum(n[to], n[i])]
+        if best is None and band:
+            to = to[~(keys[to, :band] == keys[i, :band]).any(axis=1)]
         if not len(to):
             continue
-        like = may_link(np.bitwise_count(odd[to] ^ odd[i]).sum(axis=1), how)
-        ok = like >= how.percent / 100 - how.slack
+        like = may_link(np.bitwise_count(odd[to] ^ odd[i]).sum(axis=1, dtype=np.int64), samples[to], samples[i], n[to], n[i], how)
+        ok = like >= how.percent / 100 - 1e-9
         to, like = to[ok], like[ok]
         if best is not None and len(to) > best:
             to = to[np.argsort(-like, kind="stable")[:best]]
