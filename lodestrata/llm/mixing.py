@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import WORD
+from lodestrata.llm.common import WORD, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -92,6 +92,7 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("src"), size_of(F.col(text_col)).alias("size"))
     sized = sized.withColumn("key", hashed(F.lit(str(seed)), F.col("id").cast("string"))).withColumn("block", F.col("key") % blocks)
+    sized = written(sized, "sized")  # words are counted once; what follows reads narrow rows
     by_block = sized.groupBy("src", "block").agg(F.sum("size").alias("words"))
     totals = {r.src: (int(r.size), int(r.n)) for r in by_block.groupBy("src").agg(F.sum("words").alias("size"), F.count("*").alias("n")).collect()}
     target = targets_of({k: v[0] for k, v in totals.items()}, weights, max_repeats)
@@ -153,7 +154,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixing_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """For each row of docs: id, size, source_size, target, taken, n_shards (the shards that it goes to)."""
+    """For each row of docs: id, size, source_size, target and taken (the words that the mix takes, repeats counted)."""
     sized, draws, sources = mixing_plan(docs, id_col, text_col, source_col, **how)
     per_block = draws.groupBy("src", "block").agg(
         F.sum(F.when(F.col("upto").isNull(), 1).otherwise(0)).alias("times"), F.max("upto").alias("upto"),
