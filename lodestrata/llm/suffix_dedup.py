@@ -35,14 +35,15 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import written
 from lodestrata.llm.gsaca import suffix_array
 
-#: Stands between segments; no byte of UTF-8.
+#: Stands between segments; no byte of UTF-8. ABOVE puts it below all bytes of UTF-8.
 GAP = b"\xff"
+ABOVE = bytes([*range(2, 256), 0, 1])
 
 
 @dataclass(frozen=True)
 class Repeats:
     length: int = 50
-    kmer: int = 24
+    kmer: int = 20
     slice: int = 1 << 18
 
 
@@ -89,40 +90,46 @@ def segments(text: bytes, how: Repeats) -> Iterator[tuple[np.ndarray, np.ndarray
         yield h[at[first]].view(np.int64), first + begin, last + begin
 
 
-def least_ids(group: dict[bytes, int], length: int) -> dict[bytes, np.ndarray]:
-    """For each segment of a group (segment to least id): the least id that has the string at each of its starts."""
+def least_ids(group: dict[bytes, int], length: int) -> dict[bytes, list[tuple[int, int, int]]]:
+    """For each segment of a group (segment to least id): runs (first, last, id) of its strings' starts, id the least that has them."""
     texts = list(group)
     if len(texts) == 1:
-        return {texts[0]: np.full(len(texts[0]) - length + 1, group[texts[0]], np.int64)}
+        return {texts[0]: [(0, len(texts[0]) - length, group[texts[0]])]}
     whole = GAP.join(texts) + GAP
-    out = {t: np.empty(len(t) - length + 1, np.int64) for t in texts}
-    begin, owner, at = [], np.empty(len(whole), np.int64), 0
+    out = [[0] * (len(t) - length + 1) for t in texts]
+    owner: list[int] = []
+    begin: list[int] = []
     for k, t in enumerate(texts):
-        begin.append(at)
-        owner[at : at + len(t) + 1] = k
-        at += len(t) + 1
+        begin.append(len(owner))
+        owner += [k] * (len(t) + 1)
     # every gap is smaller than any byte, and the end smaller still
-    order = suffix_array([1 if c == 255 else c + 2 for c in whole] + [0])
-    run: list[tuple[int, int]] = []
-    known, least = None, 0
-
-    def close() -> None:
-        for k, i in run:
-            out[texts[k]][i] = least
-
+    order = suffix_array([*whole.translate(ABOVE), 0])
+    run: list[tuple[list[int], int]] = []
+    known, least, ids = None, 0, list(group.values())
     for p in order[1:]:
-        k = int(owner[p])
+        k = owner[p]
         i = p - begin[k]
-        if i + length > len(texts[k]):
+        if i >= len(out[k]):
             continue
         string = whole[p : p + length]
         if string != known:
-            close()
-            run, known, least = [], string, group[texts[k]]
-        least = min(least, group[texts[k]])
-        run.append((k, i))
-    close()
-    return out
+            for o, at in run:
+                o[at] = least
+            run, known, least = [], string, ids[k]
+        elif ids[k] < least:
+            least = ids[k]
+        run.append((out[k], i))
+    for o, at in run:
+        o[at] = least
+    found = {}
+    for t, o in zip(texts, out, strict=True):
+        spans, at = [], 0
+        for i in range(1, len(o) + 1):
+            if i == len(o) or o[i] != o[at]:
+                spans.append((at, i - 1, o[at]))
+                at = i
+        found[t] = spans
+    return found
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,15 +200,16 @@ def repeated(segs: DataFrame, how: Repeats) -> DataFrame:
             if len(where) < 2:
                 continue
             found = least_ids(least, how.length)
-            same: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
             for i, start, seg in where:
-                if (seg, i) not in same:
-                    a, b = runs(found[seg] < i)
-                    same[seg, i] = list(zip(a.tolist(), (b + how.length - 1).tolist(), strict=True))
-                for a, b in same[seg, i]:
-                    ids.append(i)
-                    starts.append(start + a)
-                    stops.append(start + b)
+                spans = found[seg]
+                for a, b, first in spans:
+                    if first < i:
+                        if ids and ids[-1] == i and stops[-1] == start + a - 1 + how.length:  # goes on from the run before
+                            stops[-1] += b - a + 1
+                            continue
+                        ids.append(i)
+                        starts.append(start + a)
+                        stops.append(start + b + how.length)
             if len(ids) > 20_000:
                 yield out()
                 ids, starts, stops = [], [], []
@@ -259,7 +267,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = written(sorted_anchors.mapInArrow(several, "anchor long, id long"), "shared")
     wanted = shared.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
     segs = shared_segments(own.join(wanted, "id"), how).repartition(tasks, "anchor").sortWithinPartitions("anchor")
-    spans = written(repeated(segs, how), "spans").groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated(segs, how).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
