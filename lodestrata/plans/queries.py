@@ -571,6 +571,14 @@ def bbox_spatial_join(spark, sf_dir):
     return bbox_join(r.where("fid % 10 = 0"), r.where("fid % 10 = 3"), 4.0).select("l_fid", "r_fid")
 
 
+@register(f"""WITH {G3_SQL}
+SELECT a.fid AS l_fid, b.fid AS r_fid FROM g3 a JOIN g3 b ON a.xmax >= b.xmin AND a.xmin <= b.xmax AND a.ymax >= b.ymin AND a.ymin <= b.ymax AND a.fid < b.fid""")
+def bbox_self_join(spark, sf_dir):
+    """JOI-06: all rectangles against all others, each pair once."""
+    r = g3(spark, sf_dir)
+    return bbox_join(r, r, 4.0).where("l_fid < r_fid").select("l_fid", "r_fid")
+
+
 # --- whole plans
 
 

@@ -14,6 +14,7 @@ from lodestrata.operators.limits import first_rows, per_tile, read_budget
 from lodestrata.operators.pack import pack, str_order
 from lodestrata.operators.project import PathError, project
 from lodestrata.operators.spatial_join import bbox_join
+from lodestrata.plans import queries
 from lodestrata.plans.convert import Options, convert, convert_file
 from lodestrata.plans.tiles import parse_tile_url, render_tile, tile_url
 from lodestrata.plans.validate import check
@@ -224,3 +225,12 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     files = list((tmp_path / "out").iterdir())
     assert files and sum(pq.read_metadata(f).num_rows for f in files) == 20 and check(spark, str(files[0])).valid
+
+
+def test_bbox_self_join_has_every_pair(spark, tmp_path):
+    rows = [(i, i * 613 % 400, float(100_000 + i * 7919 % 400_000)) for i in range(1, 1800)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    boxes = queries.g3(spark, str(tmp_path)).collect()
+    want = {(a.fid, b.fid) for a in boxes for b in boxes if a.fid < b.fid and a.xmax >= b.xmin and a.xmin <= b.xmax and a.ymax >= b.ymin and a.ymin <= b.ymax}
+    got = [tuple(r) for r in queries.bbox_self_join(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
