@@ -176,7 +176,7 @@ def layer(name: str, features: Iterable[tuple[int | None, Geometry, dict]], z: i
     """GEO-33/SNK-15: one layer; features without commands are left out, an empty layer is still one."""
     keys: dict[str, int] = {}
     values: dict[str, int] = {}
-    body = field(15, 0, varint(2)) + field(1, 2, name.encode())
+    body = bytearray(field(15, 0, varint(2)) + field(1, 2, name.encode()))
     for fid, g, props in features:
         commands = geometry_commands(g, z, x, y)
         if not commands:
@@ -189,7 +189,7 @@ def layer(name: str, features: Iterable[tuple[int | None, Geometry, dict]], z: i
         body += field(2, 2, f)
     body += b"".join(field(3, 2, k.encode()) for k in keys)
     body += b"".join(field(4, 2, field(1, 2, v.encode())) for v in values)
-    return field(3, 2, body + field(5, 0, varint(EXTENT)))
+    return field(3, 2, bytes(body + field(5, 0, varint(EXTENT))))
 
 
 def decode(tile: bytes) -> dict[str, dict]:

@@ -670,8 +670,8 @@ def overview_read(spark, sf_dir):
 
 @register()
 def mvt_tiles(spark, sf_dir):
-    """SNK-15/GEO-29..GEO-34/LIM-04: tiles of zoom 2, with their size."""
-    p = M.per_tile(T.assign_tiles(g1(spark, sf_dir), 2).withColumnRenamed("fid", "row_index"), 500, ["tile_x", "tile_y"])
+    """SNK-15/GEO-29..GEO-34: tiles of zoom 2 with all their points, and their size."""
+    p = T.assign_tiles(g1(spark, sf_dir), 2).withColumnRenamed("fid", "row_index")
     g = F.struct(F.lit(1).cast("tinyint").alias("type"), F.array(F.array(F.array(F.struct("x", "y")))).alias("parts"))
     return T.render_tiles(p.withColumn("geometry", g), 2, ["event_type"], "events").select("z", "tile_x", "tile_y", F.length("tile").alias("bytes"), F.md5("tile").alias("md5"))
 

@@ -83,7 +83,7 @@ def tiles_of_boxes(rows: DataFrame, z: int) -> DataFrame:
 def render_tiles(rows: DataFrame, z: int, properties: Sequence[str], name: str = "layer", order: str = "row_index", spread: int = 16) -> DataFrame:
     """SNK-15/GEO-33/GEO-38: (z, tile_x, tile_y, tile) from rows (row_index, geometry, properties, tile_x, tile_y).
 
-    Limit rows for each tile first (per_tile): a tile is one value.
+    All rows are rendered; a tile is one value, so where tiles may grow too large, limit rows first (per_tile).
     """
     fields = [*properties]
 

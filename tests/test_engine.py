@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import expr as X
+from lodestrata.functions.mvt import decode
 from lodestrata.functions.register import register
 from lodestrata.functions.wkb import Geometry, write
 from lodestrata.operators import assign as A
@@ -234,3 +235,15 @@ def test_bbox_self_join_has_every_pair(spark, tmp_path):
     want = {(a.fid, b.fid) for a in boxes for b in boxes if a.fid < b.fid and a.xmax >= b.xmin and a.xmin <= b.xmax and a.ymax >= b.ymin and a.ymin <= b.ymax}
     got = [tuple(r) for r in queries.bbox_self_join(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) > 100 and set(got) == want
+
+
+def test_mvt_tiles_render_every_point(spark, monkeypatch, tmp_path):
+    n = 9000
+    rows = [(i, i * 31 % 500, "click", float(i % 97)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    tiles, render = [], queries.T.render_tiles
+    monkeypatch.setattr(queries.T, "render_tiles", lambda *a, **b: tiles.append(render(*a, **b)) or tiles[-1])
+    sizes = {(r.tile_x, r.tile_y): r.bytes for r in queries.mvt_tiles(spark, str(tmp_path)).collect()}
+    got = {(r.tile_x, r.tile_y): bytes(r.tile) for r in tiles[0].collect()}
+    seen = sorted(f["id"] for t in got.values() for f in decode(t)["events"]["features"])
+    assert seen == list(range(n)) and sizes == {k: len(v) for k, v in got.items()}
