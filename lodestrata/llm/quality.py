@@ -12,10 +12,10 @@ n-gram is unseen. A document passes if its perplexity lies within its
 language's band: the median log-perplexity plus and minus ``band`` times
 the distance between the quartiles (at least ``floor``).
 
-Symbols are code points below 2048, the rest fold into 2048 more; the number of
-n-grams is that of the languages' letter combinations, not of documents. It is
-counted before the arrays are made, and the order steps down by one while more
-than ``max_entries`` would be stored, so that what executors hold has a bound.
+Symbols are code points below 2048, the rest fold into 2048 more. The order is the
+same for every input, so a text is judged alike in small and large corpora; the
+arrays grow with the distinct n-grams of the input. They are built on the driver and
+broadcast: an input whose n-grams do not fit there fails, it is not judged by less.
 
 Null or empty text: no words, base_failed, perplexity null. A null language is a
 language of its own. Very long texts are counted and scored whole, in slices.
@@ -47,7 +47,6 @@ class Perplexity:
     order: int = 5
     band: float = 4.0
     floor: float = 0.4
-    max_entries: int = 30_000_000
 
 
 def symbols(text: str) -> np.ndarray:
@@ -226,12 +225,8 @@ class Model:
 
 
 def fit_model(counted: DataFrame, how: Perplexity) -> Model:
-    """Gather the counted n-grams, whose number is checked first, into sorted arrays."""
-    order = how.order
-    while order > 1 and counted.count() > how.max_entries:
-        counted = counted.groupBy("lang", F.col("key").bitwiseAND((1 << BITS * (order - 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        order -= 1
-    model, got = Model(order), {}
+    """Gather all counted n-grams into sorted arrays."""
+    model, got = Model(how.order), {}
     for b in counted.toArrow().to_batches():
         lang = b.column(0).to_numpy(zero_copy_only=False)
         for x in set(lang):

@@ -221,6 +221,14 @@ def test_quality(spark):
     assert Q.quality(df.limit(0)).count() == 0
 
 
+def test_order_does_not_depend_on_size(spark):
+    how = Q.Perplexity()
+    object.__setattr__(how, "max_entries", 5)  # a former cap on stored n-grams
+    docs = spark.createDataFrame([("en", "hello there, this is the hero")], "lang string, text string")
+    model = Q.fit_model(Q.count_grams(docs, "lang", "text", how.order), how)
+    assert model.order == how.order and len(model.of["en"]) == how.order
+
+
 # --- url filter
 
 
