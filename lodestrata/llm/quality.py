@@ -1,10 +1,13 @@
 """Quality rules: base counts and a perplexity band of a modified Kneser-Ney model.
 
 The model is over characters, one for each language. Spark counts the n-grams of
-every whole text that reads as prose (``trusted``: few symbols to the word, not
-mostly capitals; a model that has learnt junk finds junk likely), each task
-summing its own batches and Spark the tasks';
-lower orders hold continuation counts, discounts come from counts of
+every whole text, each task summing its own batches and Spark the tasks'. A model
+that has learnt junk as readily as prose finds junk likely, so a character's
+probability mixes two models: that of the texts which read as prose (``trusted``: few symbols
+to the word, not mostly capitals), and, with weight ``rest``, that of all texts.
+A language without such prose takes the pooled prose of all languages in its place; where
+no text at all reads as prose, the model of all texts stands alone. In each
+model lower orders hold continuation counts, discounts come from counts of
 counts as for modified Kneser-Ney, and each order is stored as a sorted array of
 64-bit keys (language, symbols) with log-probabilities and back-off weights.
 Scoring looks keys up by binary search, batch by batch, and backs off where an
@@ -47,6 +50,7 @@ class Perplexity:
     order: int = 5
     band: float = 4.0
     floor: float = 0.4
+    rest: float = 0.01
 
 
 def symbols(text: str) -> np.ndarray:
@@ -57,8 +61,8 @@ def symbols(text: str) -> np.ndarray:
 
 
 def trusted(text: str) -> bool:
-    """May the model learn from it: at most one symbol to ten words, at most half of it capitals."""
-    return 10 * len(SYMBOLS.findall(text)) <= text.count(" ") + 1 and 2 * len(CAPITALS.findall(text)) <= len(text.replace(" ", ""))
+    """Does it count as prose: at most one symbol to ten words (or to sixty characters, where words are not spaced), at most half of it capitals."""
+    return 10 * len(SYMBOLS.findall(text)) <= max(len(text.split()), len(text) // 6) + 1 and 2 * len(CAPITALS.findall(text)) <= len("".join(text.split()))
 
 
 def grams(text: str, order: int) -> np.ndarray:
@@ -113,37 +117,39 @@ def base_counts(text: str | None, width: int = 8) -> tuple[int, int, int, int, i
 
 
 def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> DataFrame:
-    """(lang, key, n): n-grams of the highest order over all whole texts."""
+    """(lang, key, n, prose): n-grams of the highest order over all whole texts, and over those that read as prose."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
-        kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, bool]]] = {}
+        kept: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         size = 0
 
         def fold() -> None:
             for lang, parts in held.items():
-                key, n = np.unique(np.concatenate(parts), return_counts=True)
+                key, where, n = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True, return_counts=True)
+                prose = np.bincount(where[np.repeat([p for _, p in parts], [len(g) for g, _ in parts])], minlength=len(key))
                 if lang in kept:
                     both, where = np.unique(np.concatenate([kept[lang][0], key]), return_inverse=True)
-                    key, n = both, np.bincount(where, np.concatenate([kept[lang][1], n])).astype(np.int64)
-                kept[lang] = key, n
+                    key, n, prose = both, *(np.bincount(where, np.concatenate(c)) for c in ((kept[lang][1], n), (kept[lang][2], prose)))
+                kept[lang] = key, n, prose
             held.clear()
 
         def out(lang: str) -> Iterator[pa.RecordBatch]:
-            key, n = kept.pop(lang)
+            key, *counts = kept.pop(lang)
             for i in range(0, len(key), 1 << 18):
                 k = key[i : i + (1 << 18)]
-                yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[i : i + (1 << 18)].astype(np.int64))], names=["lang", "key", "n"])
+                yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k), *(pa.array(c[i : i + (1 << 18)].astype(np.int64)) for c in counts)], names=["lang", "key", "n", "prose"])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for g in slices(text, order) if trusted(text) else ():
-                    held.setdefault(lang, []).append(g)
+                prose = trusted(text)
+                for g in slices(text, order):
+                    held.setdefault(lang, []).append((g, prose))
                     size += len(g)
                     if size > 4 * SLICE:
                         fold()
                         size = 0
-            if sum(len(k) for k, _ in kept.values()) > 8 * SLICE:  # bounded memory; Spark sums what is emitted
+            if sum(len(k) for k, _, _ in kept.values()) > 8 * SLICE:  # bounded memory; Spark sums what is emitted
                 fold()
                 for lang in list(kept):
                     yield from out(lang)
@@ -152,14 +158,14 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> Da
             yield from out(lang)
 
     rows = docs.where(F.col(text_col) != "").select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "lang string, key long, n long, prose long").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("prose").alias("prose"))
 
 
 class Model:
-    """Sorted key arrays with log-probabilities and back-off weights, by language and order."""
+    """Sorted key arrays with log-probabilities and back-off weights, by language and order: of all texts, and of prose."""
 
-    def __init__(self, order: int) -> None:
-        self.order, self.of = order, {}
+    def __init__(self, order: int, rest: float = 0.01) -> None:
+        self.order, self.rest, self.of, self.prose, self.pooled = order, rest, {}, {}, None
 
     @staticmethod
     def lower(key: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +173,9 @@ class Model:
         return np.unique(key & ((1 << BITS * (order - 1)) - 1), return_counts=True)
 
     def fit(self, lang: str, key: np.ndarray, n: np.ndarray) -> None:
+        self.of[lang] = self.tables(key, n)
+
+    def tables(self, key: np.ndarray, n: np.ndarray) -> list:
         at = np.argsort(key)
         counts = {self.order: (key[at], n[at].astype(np.float64))}
         for k in range(self.order, 1, -1):
@@ -191,7 +200,7 @@ class Model:
             p = (c - off) / total[where] + bow[where] * lower
             tables.append((key, np.log(p).astype(np.float32), heads, np.log(bow).astype(np.float32)))
             below = lambda q, t=list(tables): self.score(t, q)
-        self.of[lang] = tables
+        return tables
 
     @staticmethod
     def score(tables: list, q: np.ndarray) -> np.ndarray:
@@ -214,26 +223,37 @@ class Model:
 
     def perplexity(self, lang: str, text: str) -> float | None:
         """exp of the mean negative log-probability of a character; None for an empty text."""
-        tables, total, n = self.of.get(lang), 0.0, 0
+        tables, prose, total, n = self.of.get(lang), self.prose.get(lang, self.pooled), 0.0, 0
         if not text or tables is None:
             return None
         for g in slices(text, self.order):
             g, times = np.unique(g, return_counts=True)  # each once, in order: binary searches then walk memory forwards
-            total += float((self.score(tables, g) * times).sum())
+            logp = self.score(tables, g)
+            if prose is not None:
+                logp = np.logaddexp(np.log1p(-self.rest) + self.score(prose, g), np.log(self.rest) + logp)
+            total += float((logp * times).sum())
             n += int(times.sum())
         return float(np.exp(-total / n))
 
 
 def fit_model(counted: DataFrame, how: Perplexity) -> Model:
     """Gather all counted n-grams into sorted arrays."""
-    model, got = Model(how.order), {}
+    model, got = Model(how.order, how.rest), {}
     for b in counted.toArrow().to_batches():
         lang = b.column(0).to_numpy(zero_copy_only=False)
         for x in set(lang):
             m = lang == x
-            got.setdefault(x, []).append((b.column(1).to_numpy()[m], b.column(2).to_numpy()[m]))
+            got.setdefault(x, []).append([b.column(i).to_numpy()[m] for i in (1, 2, 3)])
+    good = []
     for lang in sorted(got):
-        model.fit(lang, np.concatenate([k for k, _ in got[lang]]), np.concatenate([n for _, n in got[lang]]))
+        key, n, prose = (np.concatenate(c) for c in zip(*got[lang], strict=True))
+        model.fit(lang, key, n)
+        good.append((key[prose > 0], prose[prose > 0]))
+        if len(good[-1][0]):
+            model.prose[lang] = model.tables(*good[-1])
+    if model.prose and len(model.prose) < len(got):
+        key, where = np.unique(np.concatenate([k for k, _ in good]), return_inverse=True)
+        model.pooled = model.tables(key, np.bincount(where, np.concatenate([n for _, n in good])))
     return model
 
 

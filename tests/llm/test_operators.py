@@ -229,6 +229,18 @@ def test_order_does_not_depend_on_size(spark):
     assert model.order == how.order and len(model.of["en"]) == how.order
 
 
+def test_every_text_is_counted(spark):
+    prose, code = "the hero is over there and the other hero is here", "a[i] = b & c | d; x = y * z; #define F(a) $a"
+    assert Q.trusted(prose) and not Q.trusted(code) and Q.trusted("words\n" * 20 + "100%") and Q.trusted("文" * 80 + "%")
+    docs = spark.createDataFrame([("en", prose), ("en", code), ("x", code)], "lang string, text string")
+    rows = Q.count_grams(docs, "lang", "text", 5).collect()
+    assert {x: sum(r.n for r in rows if r.lang == x) for x in ("en", "x")} == {"en": len(prose) + len(code), "x": len(code)}
+    assert sum(r.prose for r in rows if r.lang == "en") == len(prose)
+    m = Q.fit_model(Q.count_grams(docs, "lang", "text", 5), Q.Perplexity())
+    assert m.perplexity("x", code) is not None and m.pooled is not None
+    assert m.perplexity("en", prose) < m.perplexity("en", code) < m.perplexity("en", "%Q^%7~@!" * 6)
+
+
 # --- url filter
 
 
