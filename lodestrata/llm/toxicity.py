@@ -55,7 +55,6 @@ class Grammar:
     stems: tuple[int, ...] = (4, 5, 6)
     max_labelled: int = 60_000
     min_support: int = 4
-    min_share: float = 0.01
     min_odds: float = 3.0
 
 
@@ -237,9 +236,8 @@ def learn(labelled: DataFrame, how: Grammar = Grammar()) -> Model:
 
     summed = rows.mapInArrow(count, "f string, good long, bad long").groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    least = max(how.min_support, how.min_share * bad)
-    # few features are in a hundredth of the toxic documents: what comes to the driver has a bound
-    kept = summed.where(F.col("bad") >= least).select("f", odds.alias("w")).where(F.col("w") >= how.min_odds)
+    # the sample bounds what comes to the driver
+    kept = summed.where(F.col("bad") >= how.min_support).select("f", odds.alias("w")).where(F.col("w") >= how.min_odds)
     model = Model(how, {r.f: float(r.w) for r in kept.orderBy("f").collect()})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

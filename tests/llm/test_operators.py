@@ -168,6 +168,14 @@ def test_toxicity_learns(spark):
     assert X.toxicity(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_rare_insults_are_learnt(spark):
+    rows = [(i, f"zarg blurk w{i % 50} and then some more", 1) for i in range(1000)] + [(5000 + i, f"w{i % 50} vex{'abcdef'[i]}x quolm is here", 1) for i in range(6)]
+    rows += [(9000 + i, f"w{i % 50} x{i} plain and fine words", 0) for i in range(3000)]
+    rows = [(i, f"a{i} b{i} {t} c{i} d{i}", y) for i, t, y in rows]
+    m = X.learn(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert "quolm" in m.weights and m.clauses("you quolm")[0] == 1  # in six of a thousand toxic texts
+
+
 # --- quality
 
 
