@@ -2,7 +2,8 @@
 
 Transactions are the token sets of labelled urls, with the token ``block`` where
 the label says so. FP-growth mines their frequent sets; rules that end in
-``block`` and pass confidence, lift and support are kept, without those that a
+``block`` and pass confidence and support are kept, without those that say no
+more than the share of blocked urls (lift 1, unless all are blocked) and those that a
 shorter kept rule implies. Matching goes through an inverted index: each
 rule hangs on its rarest token, urls meet only the rules of tokens that they have,
 and a rule fires when all its tokens are there.
@@ -40,8 +41,6 @@ class Mining:
 
     min_support: float = 0.005
     min_confidence: float = 0.6
-    min_lift: float = 2.0
-    max_tokens: int = 3
 
 
 def host(url: Column) -> Column:
@@ -89,7 +88,7 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     )
     model = FPGrowth(itemsCol="items", minSupport=how.min_support, minConfidence=how.min_confidence).fit(items)
     rules = (
-        model.associationRules.where(F.array_contains("consequent", BLOCK) & (F.size("antecedent") <= how.max_tokens) & (F.col("lift") >= how.min_lift))
+        model.associationRules.where(F.array_contains("consequent", BLOCK) & ((F.col("lift") > 1 + 1e-9) | (F.col("confidence") >= 1)))
         .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
         .dropDuplicates(["antecedent"])
         .withColumn("rule_id", F.array_join("antecedent", " & "))

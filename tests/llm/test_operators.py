@@ -266,6 +266,18 @@ def test_url_filter(spark):
     assert filter_urls(new, labelled.limit(0)).count() == 2 and filter_urls(new.limit(0), labelled).count() == 0
 
 
+def test_url_rules_of_a_skewed_table_and_of_many_tokens(spark):
+    new = spark.createDataFrame([(1, "http://spam.org/casino/99"), (2, "http://ok.org/news/1")], "page_id long, url string")
+    labelled = spark.createDataFrame([(f"http://spam.org/casino/{i}", True) for i in range(70)] + [(f"http://ok.org/news/{i}", False) for i in range(30)], "url string, blocked boolean")
+    out = {r.page_id: (r.verdict, r.confidence) for r in filter_urls(new, labelled).collect()}
+    assert out == {1: ("block", 1.0), 2: ("allow", None)}  # lift is at most 1 / 0.7
+    keys = ["a", "b", "c", "d"]
+    rows = [("http://h.org/?" + "&".join(f"{k}=1" for k in keys), True)] * 20 + [("http://h.org/?" + "&".join(f"{k}=1" for k in keys if k != x), False) for x in keys] * 20
+    pages = spark.createDataFrame([(1, "http://h.org/?a=2&b=2&c=2&d=2"), (2, "http://h.org/?a=2&b=2&c=2")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in filter_urls(pages, spark.createDataFrame(rows, "url string, blocked boolean")).collect()}
+    assert got == {1: "block", 2: "allow"}  # only all four tokens are confident
+
+
 # --- html
 
 
