@@ -8,7 +8,8 @@ are weaker the farther apart they sit. The maximum flow saturates the cheapest c
 blocks still reachable from the source are the main text.
 
 Null or empty html, or a page without content: empty text. Unclosed and misnested
-elements, cut-off tags and comments are read as far as they go. Character references
+elements, cut-off tags and comments are read as far as they go; an unclosed head ends
+where something begins that cannot stand in it. Character references
 are decoded, white space within a block becomes one space, and blocks are joined by
 \\n. Very long pages are labelled whole: the graph has a constant number of edges a block.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|head)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</(?P=raw)\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""",
     re.S | re.I,
 )
@@ -35,6 +36,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(
 
 # Names of elements, roles and of classes or ids.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
+HEAD = frozenset("base basefont bgsound link meta noframes title".split())  # what a head may hold, besides raw elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AWAY = frozenset("aside button dialog fieldset footer form menu nav option select".split())
 ROLE_AWAY = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -113,6 +115,7 @@ def blocks_of(page: str) -> list[Block]:
     top = here = Element("#")
     parts: list[str] = []
     linked, links, at = 0, 0, 0
+    head: Element | None = None
 
     def end() -> None:
         nonlocal linked
@@ -122,9 +125,16 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
+    def body() -> None:
+        nonlocal here, head
+        end()
+        here, head = head.parent, None
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             t = escapes.unescape(page[at : m.start()])
+            if head and here is head and t.strip():
+                body()
             parts.append(t)
             if links:
                 linked += len(t.strip())
@@ -133,6 +143,16 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if head and tag not in HEAD:
+            if m["close"] and tag not in ("head", "body", "html", "br") or tag == "head" and not m["close"]:
+                continue
+            body()
+        if tag == "head":
+            if not m["close"]:
+                end()
+                here = head = element(tag, "", here)
+                head.hidden = True
+            continue
         if tag == "br" or (tag in VOID and tag != "hr"):
             parts.append(" " if tag in ("br", "img", "input", "wbr") else "")
             continue
@@ -167,6 +187,8 @@ def blocks_of(page: str) -> list[Block]:
         here = element(tag, m["attrs"], here)
         links += tag == "a"
     if at < len(page):
+        if head and here is head and page[at:].strip():
+            body()
         parts.append(escapes.unescape(page[at:]))
     end()
     return out

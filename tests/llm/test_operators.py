@@ -310,6 +310,14 @@ a number of words in it.<br>Still going.</p><div class="comments"><p>I disagree
     assert label([]) == [] and label([Block("x", Element("p"))]) in ([True], [False])
 
 
+def test_unclosed_head():
+    rest = "<article><p>Hello world text.</p></article>"
+    for head in ("<head><title>t</title><body>", "<head><title>t</title>", "<head><title>t<body>", "<head><meta a=b><style>p {}</style>", "<head><title>t</title></p></head><body>", "<head></head>"):
+        assert main_text(f"<html>{head}{rest}</body></html>") == "Hello world text.", head
+    text = "Bare words that go on for a good while after a head without its end tag."
+    assert main_text(f"<head><title>t</title>{text}") == text and main_text("<head><title>t") == ""
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Some text é.</p></article>", "z"), (2, None, None, None)], "page_id long, url string, html string, text2 string")
     got = {r.page_id: (r.url, r.text, r.n_chars, r.text2) for r in extract(df).collect()}
