@@ -6,36 +6,46 @@ that has learnt junk as readily as prose finds junk likely, so a character's
 probability mixes two models: that of the texts which read as prose (``trusted``: few symbols
 to the word, not mostly capitals), and, with weight ``rest``, that of all texts.
 A language without such prose takes the pooled prose of all languages in its place; where
-no text at all reads as prose, the model of all texts stands alone. In each
-model lower orders hold continuation counts, discounts come from counts of
-counts as for modified Kneser-Ney, and each order is stored as a sorted array of
-64-bit keys (language, symbols) with log-probabilities and back-off weights.
-Scoring looks keys up by binary search, batch by batch, and backs off where an
-n-gram is unseen. A document passes if its perplexity lies within its
+no text at all reads as prose, the model of all texts stands alone.
+
+The model is built by aggregations alone. Counts of the highest order give the continuation
+counts of each lower one; each order's contexts get their total and how many of their
+n-grams have count one, two and more; counts of counts give the discounts, as for modified
+Kneser-Ney. All of it is written to the shared folder as arrays sorted by a 64-bit hash of
+(model, language, order, symbols), cut into blocks. Workers hold the first hash of each block
+and a bounded number of blocks; they look n-grams up by binary search, many at a
+time, and remember the probabilities of the commonest in a table of fixed size. Neither the
+driver nor a worker ever holds the model, which grows with the distinct n-grams of the input.
+False hits need two equal hashes: odds of (entries / 2^64) a look-up.
+
+A document passes if its perplexity lies within its
 language's band: the median log-perplexity plus and minus ``band`` times
-the distance between the quartiles (at least ``floor``).
+the distance between the quartiles (at least ``floor``). Quartiles are exact, over
+log-perplexities rounded to 1/``grain``, from one count a language and rounded value.
 
 Symbols are code points below 2048, the rest fold into 2048 more. The order is the
-same for every input, so a text is judged alike in small and large corpora; the
-arrays grow with the distinct n-grams of the input. They are built on the driver and
-broadcast: an input whose n-grams do not fit there fails, it is not judged by less.
+same for every input, so a text is judged alike in small and large corpora.
 
 Null or empty text: no words, base_failed, perplexity null. A null language is a
-language of its own. Very long texts are counted and scored whole, in slices.
+language of its own. A null id is an id like others; repeated rows count as often as they stand there
+and are judged alike. Very long texts are counted and scored whole, in slices. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import written
+from lodestrata.llm.common import filesystem, removed, written
 
 BITS = 12
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -43,6 +53,7 @@ CAPITALS = re.compile(r"[A-Z\xC0-\xDE]")
 #: Characters in one numpy slice.
 SLICE = 1 << 20
 START = 1  # symbol before a text's first character
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 @dataclass(frozen=True)
@@ -51,6 +62,13 @@ class Perplexity:
     band: float = 4.0
     floor: float = 0.4
     rest: float = 0.01
+    grain: int = 1024
+    #: Rows of n-grams and of contexts that a worker holds.
+    held_grams: int = 8_000_000
+    held_heads: int = 3_000_000
+    #: log2 of the probabilities that a worker remembers for each language, and languages.
+    memo_bits: int = 20
+    memo_languages: int = 8
 
 
 def symbols(text: str) -> np.ndarray:
@@ -116,40 +134,49 @@ def base_counts(text: str | None, width: int = 8) -> tuple[int, int, int, int, i
     return n, len(b"".join(found).decode()), len(SYMBOLS.findall(text)), dup, repeat
 
 
+def summed(key: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their numbers (of ones, where n is None)."""
+    if n is None:
+        key = np.sort(key)
+    else:
+        at = np.argsort(key)
+        key, n = key[at], n[at]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n, first)
+
+
 def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> DataFrame:
     """(lang, key, n, prose): n-grams of the highest order over all whole texts, and over those that read as prose."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, bool]]] = {}
-        kept: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[np.ndarray]] = {}  # keys with prose or not as their last bit
+        kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
 
         def fold() -> None:
             for lang, parts in held.items():
-                key, where, n = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True, return_counts=True)
-                prose = np.bincount(where[np.repeat([p for _, p in parts], [len(g) for g, _ in parts])], minlength=len(key))
+                key, n = summed(np.concatenate(parts), None)
                 if lang in kept:
-                    both, where = np.unique(np.concatenate([kept[lang][0], key]), return_inverse=True)
-                    key, n, prose = both, *(np.bincount(where, np.concatenate(c)) for c in ((kept[lang][1], n), (kept[lang][2], prose)))
-                kept[lang] = key, n, prose
+                    key, n = summed(np.concatenate([kept[lang][0], key]), np.concatenate([kept[lang][1], n]))
+                kept[lang] = key, n
             held.clear()
 
         def out(lang: str) -> Iterator[pa.RecordBatch]:
-            key, *counts = kept.pop(lang)
+            key, n = kept.pop(lang)
             for i in range(0, len(key), 1 << 18):
-                k = key[i : i + (1 << 18)]
-                yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k), *(pa.array(c[i : i + (1 << 18)].astype(np.int64)) for c in counts)], names=["lang", "key", "n", "prose"])
+                k, c = key[i : i + (1 << 18)], n[i : i + (1 << 18)]
+                yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k >> 1), pa.array(c), pa.array(np.where(k & 1, c, 0))], names=["lang", "key", "n", "prose"])
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                prose = trusted(text)
+                prose = int(trusted(text))
                 for g in slices(text, order):
-                    held.setdefault(lang, []).append((g, prose))
+                    held.setdefault(lang, []).append(g << 1 | prose)
                     size += len(g)
                     if size > 4 * SLICE:
                         fold()
                         size = 0
-            if sum(len(k) for k, _, _ in kept.values()) > 8 * SLICE:  # bounded memory; Spark sums what is emitted
+            if sum(len(k) for k, _ in kept.values()) > 8 * SLICE:  # bounded memory; Spark sums what is emitted
                 fold()
                 for lang in list(kept):
                     yield from out(lang)
@@ -161,132 +188,240 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> Da
     return rows.mapInArrow(count, "lang string, key long, n long, prose long").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("prose").alias("prose"))
 
 
-class Model:
-    """Sorted key arrays with log-probabilities and back-off weights, by language and order: of all texts, and of prose."""
+@dataclass(frozen=True)
+class Tables:
+    """What workers need to find the model: files of sorted arrays, and of counts of counts."""
+
+    grams: list[str]
+    heads: list[str]
+    counts: list[str]
+
+
+def fit_model(counted: DataFrame, how: Perplexity) -> tuple[Tables, list[DataFrame]]:
+    """Write the sorted arrays of rows (lang, key, n, prose); the frames are for removal once scoring is done."""
+    good = counted.where("prose > 0")
+    top = counted.select(F.concat(F.lit("a:"), "lang").alias("part"), "key", F.col("n").alias("c"))
+    top = top.unionByName(good.select(F.concat(F.lit("p:"), "lang").alias("part"), "key", F.col("prose").alias("c")))
+    prose = counted.groupBy("lang").agg(F.max("prose").alias("most")).agg(F.max("most").alias("most"), F.min("most").alias("least")).first()
+    if prose.most and not prose.least:
+        top = top.unionByName(good.groupBy("key").agg(F.sum("prose").alias("c")).select(F.lit("q:").alias("part"), "key", "c"))
+    levels, level = [], top
+    for k in range(how.order, 0, -1):
+        levels.append((k, level))
+        if k > 1:  # continuation counts: how many symbols stand before each n-gram
+            low = F.col("key").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
+            level = written(level.select("part", low.alias("key")).groupBy("part", "key").agg(F.count("*").alias("c")), f"order{k - 1}")
+    place = lambda k: F.xxhash64(F.concat("part", F.lit(f":{k}")), "key").alias("hash")
+    of = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    alike = [of(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    kinds: dict[str, DataFrame] = {}
+    for k, level in levels:
+        heads = level.groupBy("part", F.shiftright("key", BITS).alias("key")).agg(F.sum("c").alias("total"), *alike[:2], of(F.col("c") > 2).alias("n3"))
+        new = {
+            "grams": level.select(place(k), F.col("c").cast("float").alias("c")),
+            "heads": heads.select(place(k), *(F.col(x).cast("float").alias(x) for x in ("total", "n1", "n2", "n3"))),
+            "alike": level.groupBy("part").agg(*alike).withColumn("k", F.lit(k)),
+        }
+        kinds = {x: kinds[x].unionByName(f) if x in kinds else f for x, f in new.items()}
+    tasks = max(1, int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = {"parquet.block.size": str(1 << 20), "compression": "uncompressed"}
+    frames = [
+        *(written(kinds[x].repartitionByRange(tasks, "hash").sortWithinPartitions("hash"), x, **blocks) for x in ("grams", "heads")),
+        written(kinds["alike"], "alike"),
+    ]
+    removed(*(level for _, level in levels[1:]))
+    return Tables(*(sorted(f.inputFiles()) for f in frames)), frames
+
+
+def opened(file: str) -> pq.ParquetFile:
+    fs, path = filesystem(file)
+    return pq.ParquetFile(fs.open_input_file(path))
+
+
+class SortedArrays:
+    """Rows (hash, values) in files that are sorted by hash, found by binary search; at most ``held`` rows stay in memory."""
+
+    def __init__(self, files: list[str], held: int) -> None:
+        self.files, self.held, self.rows, self.width = files, held, 0, 1
+        self.blocks: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+        first = []
+        for i, f in enumerate(files):
+            md = opened(f).metadata
+            self.width = md.num_columns - 1
+            first += [(md.row_group(g).column(0).statistics.min, i, g) for g in range(md.num_row_groups) if md.row_group(g).num_rows]
+        first.sort()
+        self.first, self.place = np.array([x[0] for x in first], np.int64), [x[1:] for x in first]
+
+    def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i in self.blocks:
+            self.blocks.move_to_end(i)
+            return self.blocks[i]
+        file, group = self.place[i]
+        t = opened(self.files[file]).read_row_group(group)
+        got = t.column(0).to_numpy(), np.column_stack([t.column(c).to_numpy() for c in range(1, t.num_columns)])
+        self.blocks[i] = got
+        self.rows += len(got[0])
+        while self.rows > self.held and len(self.blocks) > 1:
+            self.rows -= len(self.blocks.popitem(last=False)[1][0])
+        return got
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """Values of each hash, zeros where it isn't there."""
+        out = np.zeros((len(q), self.width), np.float32)
+        if not len(self.first) or not len(q):
+            return out
+        order = np.argsort(q)
+        q = q[order]
+        at = np.searchsorted(self.first, q, "right") - 1
+        edges = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        for a, b in zip(edges, np.append(edges[1:], len(q)), strict=True):
+            if at[a] >= 0:
+                key, values = self.block(int(at[a]))
+                j = np.minimum(np.searchsorted(key, q[a:b]), len(key) - 1)
+                hit = key[j] == q[a:b]
+                out[order[a:b][hit]] = values[j[hit]]
+        return out
 
-    def __init__(self, order: int, rest: float = 0.01) -> None:
-        self.order, self.rest, self.of, self.prose, self.pooled = order, rest, {}, {}, None
 
-    @staticmethod
-    def lower(key: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Continuation counts of the next lower order: how many symbols stand before each n-gram."""
-        return np.unique(key & ((1 << BITS * (order - 1)) - 1), return_counts=True)
+def hashes(name: str, key: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64(name, key) gives."""
+    seed = np.uint64(xxhash.xxh64_intdigest(name.encode(), 42))
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = turn(key.view(np.uint64) * p2, 31) * p1 ^ (seed + p5 + np.uint64(8))
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
-    def fit(self, lang: str, key: np.ndarray, n: np.ndarray) -> None:
-        self.of[lang] = self.tables(key, n)
 
-    def tables(self, key: np.ndarray, n: np.ndarray) -> list:
-        at = np.argsort(key)
-        counts = {self.order: (key[at], n[at].astype(np.float64))}
-        for k in range(self.order, 1, -1):
-            low, c = self.lower(*counts[k], k)
-            counts[k - 1] = low, c.astype(np.float64)
-        base = np.log(1.0 / (1 << BITS))
-        tables, below = [], None
-        for k in range(1, self.order + 1):
-            key, c = counts[k]
-            n1, n2, n3, n4 = (float(max(1, (c == i).sum())) for i in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2)
-            d = np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.0, 0.1, 0.2, 0.3], [0.0, 0.95, 1.9, 2.85])
-            off = d[np.minimum(c, 3).astype(int)]
-            ctx = key >> BITS
-            heads, where = np.unique(ctx, return_inverse=True)
-            total, held = np.bincount(where, c), np.bincount(where, off)
-            bow = held / total
-            if below is None:
-                lower = np.full(len(key), np.exp(base))
-            else:
-                lower = np.exp(below(key & ((1 << BITS * (k - 1)) - 1)))
-            p = (c - off) / total[where] + bow[where] * lower
-            tables.append((key, np.log(p).astype(np.float32), heads, np.log(bow).astype(np.float32)))
-            below = lambda q, t=list(tables): self.score(t, q)
-        return tables
-
-    @staticmethod
-    def score(tables: list, q: np.ndarray) -> np.ndarray:
-        """Log-probability of the last symbol of each packed n-gram of order len(tables)."""
-        out, add, left = np.zeros(len(q)), np.zeros(len(q)), np.arange(len(q))
-        for k in range(len(tables), 0, -1):
-            key, logp, heads, bow = tables[k - 1]
-            now = q[left] & ((1 << BITS * k) - 1)
-            i = np.minimum(np.searchsorted(key, now), len(key) - 1)
-            hit = key[i] == now
-            out[left[hit]] = logp[i[hit]] + add[left[hit]]
-            left, now = left[~hit], now[~hit]
-            if not len(left):
-                return out
-            head = now >> BITS
-            j = np.minimum(np.searchsorted(heads, head), len(heads) - 1)
-            add[left] += np.where(heads[j] == head, bow[j], 0.0)
-        out[left] = add[left] + np.log(1.0 / (1 << BITS))
+def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and more, from counts of counts."""
+    n1, n2, n3, n4 = (float(max(1, n)) for n in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0.0, 0.1, 0.2, 0.3], [0.0, 0.95, 1.9, 2.85])
+
+
+class Model:
+    """Probabilities from the sorted arrays, as a worker sees them."""
+
+    def __init__(self, tables: Tables, how: Perplexity) -> None:
+        self.how = how
+        self.grams, self.heads = SortedArrays(tables.grams, how.held_grams), SortedArrays(tables.heads, how.held_heads)
+        self.discount: dict[tuple[str, int], np.ndarray] = {}
+        for f in tables.counts:
+            for r in opened(f).read().to_pylist():
+                self.discount[r["part"], r["k"]] = discounts(r["n1"], r["n2"], r["n3"], r["n4"])
+        self.memo: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+    def probability(self, part: str, g: np.ndarray) -> np.ndarray:
+        """Of the last symbol of each packed n-gram, from the lowest order up: what an order does not give goes to the one below."""
+        p = np.full(len(g), 1.0 / (1 << BITS))
+        for k in range(1, self.how.order + 1):
+            key, back = np.unique(g & ((1 << BITS * k) - 1), return_inverse=True)
+            d, name = self.discount[part, k], f"{part}:{k}"
+            ctx, of = np.unique(key >> BITS, return_inverse=True)
+            total, n1, n2, n3 = self.heads.find(hashes(name, ctx)).astype(np.float64).T
+            known = total > 0
+            total = np.maximum(total, 1.0)
+            below = np.where(known, (d[1] * n1 + d[2] * n2 + d[3] * n3) / total, 1.0)
+            seen = np.flatnonzero(known[of])  # an n-gram is there only if its context is
+            own = np.zeros(len(key))
+            c = self.grams.find(hashes(name, key[seen]))[:, 0].astype(np.float64)
+            own[seen] = (c - d[np.minimum(c, 3).astype(int)]) / total[of[seen]]
+            p = own[back] + below[of][back] * p
+        return p
+
+    def logs(self, lang: str, g: np.ndarray) -> np.ndarray:
+        """Log-probabilities of both models' mixture for distinct n-grams."""
+        p = self.probability(f"a:{lang}", g)
+        prose = next((x for x in (f"p:{lang}", "q:") if (x, 1) in self.discount), None)
+        if prose:
+            p = (1 - self.how.rest) * self.probability(prose, g) + self.how.rest * p
+        return np.log(p)
+
+    def scores(self, lang: str, g: np.ndarray) -> np.ndarray:
+        """logs() of any n-grams, those met before from memory."""
+        if lang not in self.memo:
+            self.memo[lang] = np.full(1 << self.how.memo_bits, -1, np.int64), np.zeros(1 << self.how.memo_bits)
+            while len(self.memo) > self.how.memo_languages:
+                self.memo.popitem(last=False)
+        self.memo.move_to_end(lang)
+        key, value = self.memo[lang]
+        slot = ((g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.how.memo_bits)).view(np.int64)
+        out, miss = value[slot], np.flatnonzero(key[slot] != g)
+        if len(miss):
+            new, back = np.unique(g[miss], return_inverse=True)
+            logs = self.logs(lang, new)
+            out[miss] = logs[back]
+            slot = ((new.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.how.memo_bits)).view(np.int64)
+            key[slot] = new
+            value[slot[key[slot] == new]] = logs[key[slot] == new]  # of several new ones in a slot, the one that stands there
         return out
 
-    def perplexity(self, lang: str, text: str) -> float | None:
-        """exp of the mean negative log-probability of a character; None for an empty text."""
-        tables, prose, total, n = self.of.get(lang), self.prose.get(lang, self.pooled), 0.0, 0
-        if not text or tables is None:
-            return None
-        for g in slices(text, self.order):
-            g, times = np.unique(g, return_counts=True)  # each once, in order: binary searches then walk memory forwards
-            logp = self.score(tables, g)
-            if prose is not None:
-                logp = np.logaddexp(np.log1p(-self.rest) + self.score(prose, g), np.log(self.rest) + logp)
-            total += float((logp * times).sum())
-            n += int(times.sum())
-        return float(np.exp(-total / n))
-
-
-def fit_model(counted: DataFrame, how: Perplexity) -> Model:
-    """Gather all counted n-grams into sorted arrays."""
-    model, got = Model(how.order, how.rest), {}
-    for b in counted.toArrow().to_batches():
-        lang = b.column(0).to_numpy(zero_copy_only=False)
-        for x in set(lang):
-            m = lang == x
-            got.setdefault(x, []).append([b.column(i).to_numpy()[m] for i in (1, 2, 3)])
-    good = []
-    for lang in sorted(got):
-        key, n, prose = (np.concatenate(c) for c in zip(*got[lang], strict=True))
-        model.fit(lang, key, n)
-        good.append((key[prose > 0], prose[prose > 0]))
-        if len(good[-1][0]):
-            model.prose[lang] = model.tables(*good[-1])
-    if model.prose and len(model.prose) < len(got):
-        key, where = np.unique(np.concatenate([k for k, _ in good]), return_inverse=True)
-        model.pooled = model.tables(key, np.bincount(where, np.concatenate([n for _, n in good])))
-    return model
-
-
-def scored(docs: DataFrame, model: Model, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    def perplexities(self, langs: list[str], texts: list[str | None]) -> list[float | None]:
+        """exp of the mean negative log-probability of a character of each text; None for an empty one."""
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        held: dict[str, list[tuple[int, np.ndarray]]] = {}
+        size = 0
+
+        def settle() -> None:
+            for lang, parts in held.items():
+                s = self.scores(lang, np.concatenate([g for _, g in parts]))
+                at = 0
+                for i, g in parts:
+                    total[i] += s[at : at + len(g)].sum()
+                    n[i] += len(g)
+                    at += len(g)
+            held.clear()
+
+        for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
+            if text and (f"a:{lang}", 1) in self.discount:
+                for g in slices(text, self.how.order):
+                    held.setdefault(lang, []).append((i, g))
+                    size += len(g)
+                    if size > SLICE:
+                        settle()
+                        size = 0
+        settle()
+        return [float(np.exp(-t / k)) if k else None for t, k in zip(total, n, strict=True)]
+
+
+def scored(docs: DataFrame, tables: Tables, how: Perplexity, id_col: str, lang_col: str, text_col: str) -> DataFrame:
     """(id, lang, base counts, perplexity) of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(tables, how)
         for b in batches:
             lang, text = b.column(1).to_pylist(), b.column(2).to_pylist()
             base = np.array([base_counts(t) for t in text], np.int64).reshape(len(text), 5)
-            ppl = [held.value.perplexity(x, t) for x, t in zip(lang, text, strict=True)]
-            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(base[:, i]) for i in range(5)), pa.array(ppl, pa.float64())], names=["id", "lang", *names, "perplexity"])
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(base[:, i]) for i in range(5)), pa.array(model.perplexities(lang, text), pa.float64())], names=["id", "lang", *COUNTS, "perplexity"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, lang string, {', '.join(f'{n} long' for n in names)}, perplexity double")
+    return rows.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, lang string, {', '.join(f'{n} long' for n in COUNTS)}, perplexity double")
+
+
+def bands_of(rows: DataFrame, how: Perplexity) -> DataFrame:
+    """(lang, low, high) of rows (lang, perplexity): from the least rounded logarithms that a quarter, half and three quarters do not exceed."""
+    counts = rows.groupBy("lang", F.round(F.log("perplexity") * how.grain).cast("int").alias("step")).agg(F.count("*").alias("n"))
+    # one row for each rounded value: some ten thousand a language at most
+    w = Window.partitionBy("lang")
+    upto = counts.withColumns({"upto": F.sum("n").over(w.orderBy("step")), "all": F.sum("n").over(w)})
+    q1, q2, q3 = (F.min(F.when(4 * F.col("upto") >= i * F.col("all"), F.col("step"))) / how.grain for i in (1, 2, 3))
+    wide = F.greatest(how.band * (F.col("q3") - F.col("q1")), F.lit(how.floor))
+    return upto.groupBy("lang").agg(q1.alias("q1"), q2.alias("q2"), q3.alias("q3")).select("lang", F.exp(F.col("q2") - wide).alias("low"), F.exp(F.col("q2") + wide).alias("high"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", how: Perplexity = Perplexity()) -> DataFrame:
     """Verdicts of every row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, low, high."""
-    counted = written(count_grams(docs, lang_col, text_col, how.order), "grams")
-    rows = written(scored(docs, fit_model(counted, how), id_col, lang_col, text_col), "scored")
+    counted = written(count_grams(docs, lang_col, text_col, how.order), "counted")
+    tables, frames = fit_model(counted, how)
+    rows = written(scored(docs, tables, how, id_col, lang_col, text_col), "scored")
+    removed(counted, *frames)
     rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    logp = F.log("perplexity")
-    bands = (
-        rows.where(~F.col("base_failed") & F.col("perplexity").isNotNull()).groupBy("lang")
-        .agg(F.percentile_approx(logp, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
-        .withColumn("wide", F.greatest(how.band * (F.col("q")[2] - F.col("q")[0]), F.lit(how.floor)))
-        .select("lang", F.exp(F.col("q")[1] - F.col("wide")).alias("low"), F.exp(F.col("q")[1] + F.col("wide")).alias("high"))
-    )
+    bands = written(bands_of(rows.where(~F.col("base_failed") & F.col("perplexity").isNotNull()), how), "bands")
     inside = F.col("perplexity").between(F.col("low"), F.col("high"))
-    return rows.join(F.broadcast(bands), "lang", "left").select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"), "perplexity", "low", "high",
-    )
+    return rows.join(bands, "lang", "left").select(
+        F.col("id").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"), "perplexity", "low", "high"
+    )

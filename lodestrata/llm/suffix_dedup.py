@@ -1,22 +1,26 @@
 """Suffix-array dedup of long byte strings that repeat across documents.
 
-1. Equal texts are one: all but the one of least id lose every byte (if long enough).
+1. Equal texts are one: all but those of least id lose every byte (if long enough).
 2. Every string of ``length`` bytes has an anchor, the k-mer of least hash within it, which only its
    content decides. Each text thus falls into segments, runs of
    strings with the same anchor. One shuffle of (anchor, id) finds the anchors that several
-   texts have; all other segments hold nothing that repeats.
+   texts have; all other segments hold nothing that repeats. An anchor that a batch of texts has
+   more than once sends one row for the batch, so no anchor fills a task.
 3. The remaining segments meet by anchor. There, equal segments collapse into one with its least
    id, and the suffix array of the distinct ones, built by linear grouping, brings
    equal strings next to each other; the least id of such a run decides which
-   occurrences go.
-4. The removed runs of each text come together again as intervals, and are cut out.
-
-Groups are streamed from sorted partitions, one at a time. What a hot anchor costs follows its
-distinct segments and one (id, offset) for each text that has it.
+   occurrences go. Groups are streamed from sorted partitions, one at a time.
+4. Anchors of more than ``hot`` texts don't meet in one task. Their equal segments collapse by
+   partial aggregation, each distinct one is cut into its strings, the least id of each string's 128-bit hash is an
+   aggregation too, and joins that split large partitions carry the result back. This is a choice of plan:
+   both ways find the same strings.
+5. The removed runs of each text come together again as intervals, and are cut out. Texts lie in
+   buckets by id, so that only ids, anchors and intervals move to them.
 
 Texts are UTF-8 bytes, null is empty, matches never cross texts. Texts shorter than
-``length`` lose nothing. Rows that share an id and text share their fate; give unique ids.
-Extra columns are not read.
+``length`` lose nothing. Each row is judged: rows that share an id never remove each other's bytes,
+equal or not. A null id is larger than no other and smaller than none: such a row loses nothing and
+takes nothing from others. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+import uuid
 from itertools import groupby
 
 import numpy as np
@@ -32,11 +37,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import written
+from lodestrata.llm.common import removed, shared_dir, written
 from lodestrata.llm.gsaca import suffix_array
 
 #: Stands between segments; no byte of UTF-8. ABOVE puts it below all bytes of UTF-8.
 GAP = b"\xff"
+#: Bits of a place in a text; above them stands the text's tag.
+TAG = 40
 ABOVE = bytes([*range(2, 256), 0, 1])
 
 
@@ -45,6 +52,7 @@ class Repeats:
     length: int = 50
     kmer: int = 20
     slice: int = 1 << 18
+    hot: int = 20_000
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -137,33 +145,90 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Kinds of rows about anchors: one text has it; several texts of a batch have it (the id is their number); an id that wants it; it is hot.
+ONE, SEVERAL, WANTED, HOT = range(4)
+
+
+def anchor_rows(anchors: np.ndarray, ids: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(kind, pa.int8())], names=["anchor", "id", "kind"])
+
+
 def anchored(texts: DataFrame, how: Repeats) -> DataFrame:
-    """(anchor, id): the distinct anchors of each text."""
+    """(anchor, id, kind): the distinct anchors of each text. Those that several texts of a batch have are wanted at once, and reported with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            a, i = np.concatenate(anchors), np.concatenate(ids)
+            order = np.argsort(a)
+            a, i = a[order], i[order]
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            n = np.diff(np.append(first, len(a)))
+            many = n > 1
+            more = np.repeat(many, n)
+            kind = np.concatenate([np.full((~more).sum(), ONE), np.full(many.sum(), SEVERAL), np.full(more.sum(), WANTED)])
+            return anchor_rows(np.concatenate([a[~more], a[first[many]], a[more]]), np.concatenate([i[~more], n[many], i[more]]), kind)
+
+        anchors, ids, size = [], [], 0
         for b in batches:
-            anchors, ids, size = [], [], 0
             for i, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = [a for a, _, _ in segments(zstandard.decompress(z), how)]
                 if parts:
-                    a = np.unique(np.concatenate(parts), return_counts=True)[0]
+                    a = np.sort(np.concatenate(parts))
+                    a = a[np.append(True, a[1:] != a[:-1])]
                     anchors.append(a)
                     ids.append(np.full(len(a), i, np.int64))
                     size += len(a)
-                if size > 1 << 18:
-                    yield pa.record_batch([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(ids))], names=["anchor", "id"])
+                if size > 1 << 20:
+                    yield out()
                     anchors, ids, size = [], [], 0
-            if anchors:
-                yield pa.record_batch([pa.array(np.concatenate(anchors)), pa.array(np.concatenate(ids))], names=["anchor", "id"])
+        if anchors:
+            yield out()
+
+    return texts.select("id", "z").mapInArrow(run, "anchor long, id long, kind byte")
 
-    return texts.select("id", "z").mapInArrow(run, "anchor long, id long")
+
+def several(how: Repeats):
+    """Over rows in the order of their anchors: those to be wanted, as more than one text has their anchor, and which anchors are hot. Holds one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, alone, total = None, None, 0  # the anchor that may go on, its only text so far if it has just one, its number of texts
+
+        def hot(anchor: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            some = n > how.hot
+            return anchor_rows(anchor[some], n[some], np.full(some.sum(), HOT))
+
+        for b in batches:
+            a, i, kind = (b.column(c).to_numpy() for c in range(3))
+            ready = kind == WANTED
+            yield anchor_rows(a[ready], i[ready], kind[ready])
+            a, i, kind = a[~ready], i[~ready], kind[~ready]
+            if not len(a):
+                continue
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            n = np.add.reduceat(np.where(kind == SEVERAL, i, 1), first)
+            if a[0] == now:
+                n[0] += total
+                if alone is not None:
+                    yield anchor_rows([now], [alone], [WANTED])
+            elif now is not None:
+                yield hot(np.array([now]), np.array([total]))
+            wanted = (np.repeat(n, np.diff(np.append(first, len(a)))) > 1) & (kind == ONE)
+            yield anchor_rows(a[wanted], i[wanted], np.full(wanted.sum(), WANTED))
+            yield hot(a[first[:-1]], n[:-1])
+            now, total = a[-1], n[-1]
+            alone = i[-1] if total == 1 else None
+        if now is not None:
+            yield hot(np.array([now]), np.array([total]))
+
+    return run
 
 
 def shared_segments(texts: DataFrame, how: Repeats) -> DataFrame:
-    """(anchor, id, start, segment) of rows (id, z, anchors): the segments whose anchor is among them."""
+    """(anchor, id, start, segment) of rows (id, z, tag, anchors): the segments whose anchor is among them. The start has the text's tag in its leading bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            tags = b.column("tag").to_pylist()
             for r in range(b.num_rows):
                 i, text = b.column("id")[r].as_py(), zstandard.decompress(b.column("z")[r].as_py())
                 wanted = np.sort(b.column("anchors")[r].values.to_numpy())
@@ -172,11 +237,36 @@ def shared_segments(texts: DataFrame, how: Repeats) -> DataFrame:
                     hit = np.flatnonzero(wanted[at] == a)
                     if len(hit):
                         some = [text[x : y + how.length] for x, y in zip(first[hit].tolist(), last[hit].tolist(), strict=True)]
-                        yield pa.record_batch([pa.array(a[hit]), pa.array(np.full(len(hit), i, np.int64)), pa.array(first[hit]), pa.array(some, pa.binary())], names=["anchor", "id", "start", "segment"])
+                        start = first[hit] + (tags[r] << TAG)
+                        yield pa.record_batch([pa.array(a[hit]), pa.array(np.full(len(hit), i, np.int64)), pa.array(start), pa.array(some, pa.binary())], names=["anchor", "id", "start", "segment"])
 
     return texts.mapInArrow(run, "anchor long, id long, start long, segment binary")
 
 
+def repeated_hot(segs: DataFrame, how: Repeats) -> DataFrame:
+    """(id, start, stop): bytes to remove, by aggregations and joins that no anchor, segment or string can fill a task of."""
+    segs = written(segs, "hot_segments")
+    distinct = written(segs.groupBy("segment").agg(F.min("id").alias("least")), "hot_distinct")
+    at = F.sequence(F.lit(1), F.octet_length("segment") - how.length + 1)
+    # at most as many strings a segment as a k-mer has places in a string
+    strings = distinct.select("segment", "least", F.posexplode(F.transform(at, lambda i: F.unhex(F.md5(F.substring("segment", i, how.length))))).alias("pos", "string"))
+    first = written(strings.groupBy("string").agg(F.min("least").alias("first")), "hot_strings")
+    found = strings.join(first, "string").groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbours of one least id become one interval."""
+        for b in batches:
+            spans = []
+            for f in b.column(1).to_pylist():
+                edge = [k for k in range(len(f) + 1) if k in (0, len(f)) or f[k]["first"] != f[k - 1]["first"]]
+                spans.append([{"a": x, "b": y - 1 + how.length, "first": f[x]["first"]} for x, y in zip(edge, edge[1:], strict=False)])
+            yield pa.record_batch([b.column(0), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64())])))], names=["segment", "spans"])
+
+    found = written(found.mapInArrow(run, "segment binary, spans array<struct<a: long, b: long, first: long>>"), "hot_found")
+    out = segs.join(found, "segment").select("id", "start", F.explode("spans").alias("s")).where(F.col("s.first") < F.col("id"))
+    return out.select("id", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("stop"))
+
+
 def repeated(segs: DataFrame, how: Repeats) -> DataFrame:
     """(id, start, stop): bytes to remove, from segments sorted by anchor within partitions."""
 
@@ -229,55 +319,70 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), len(runs(gone)[0])
 
 
+def bucketed(df: DataFrame, tasks: int) -> DataFrame:
+    """``df``, dealt by id, as a table in the shared folder with one bucket a task: joins on id leave it where it is."""
+    spark = df.sparkSession
+    name = f"suffix_texts_{uuid.uuid4().hex}"
+    df.write.bucketBy(tasks, "id").option("path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Repeats = Repeats(), with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row; ids are longs."""
     spark = docs.sparkSession
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    print_of = F.unhex(F.md5(F.col("text").cast("binary")))
-    long_enough = F.octet_length("text") >= how.length
-    first = rows.where(long_enough).select("id", print_of.alias("fp")).groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    reps = first.select(F.col("rep").alias("id"))
-    copies = rows.where(long_enough).select("id", print_of.alias("fp")).join(first.where("n > 1").select("fp", "rep"), "fp").where("id <> rep").select("id")
+    prints = rows.where(F.col("id").isNotNull()).select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("fp"), (F.octet_length("text") >= how.length).alias("long"))
+    prints = written(prints, "prints")
+    first = prints.where("long").groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("fp", "rep")
+    first = written(first, "first")
+    copies = prints.where("long").join(first, "fp").where("id <> rep").select("id", "fp").distinct()
+    twins = prints.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("id")  # ids of several texts
+    marks = copies.withColumns({"copy": F.lit(True), "twin": F.lit(False)}).unionByName(prints.join(twins, "id").select("id", "fp").distinct().withColumns({"copy": F.lit(False), "twin": F.lit(True)}))
+    marks = marks.groupBy("id", "fp").agg(F.max("copy").alias("copy"), F.max("twin").alias("twin"))
+    marks = written(marks.groupBy("id").agg(F.collect_list(F.struct("fp", "copy", "twin")).alias("marks")), "marks")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([c.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "z"])
-
-    packed = rows.mapInArrow(squeeze, "id long, z binary")
-    alone = copies.select("id", F.lit(True).alias("copy"))
-    texts = written(packed.join(alone, "id", "left"), "texts")
-    own = texts.where("copy IS NULL").select("id", "z")
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose anchor the row before or after has too, in sorted partitions."""
-        held: pa.RecordBatch | None = None
-        for b in batches:
-            if held is not None and held.num_rows:
-                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            a = b.column(0).to_numpy()
-            keep = len(a) - int(np.searchsorted(a, a[-1])) if len(a) else 0  # the last anchor may go on
-            done, held = b.slice(0, len(a) - keep), b.slice(len(a) - keep)
-            yield done.filter(pa.array(twice(a[: len(a) - keep])))
-        if held is not None:
-            yield held.filter(pa.array(twice(held.column(0).to_numpy())))
-
-    sorted_anchors = anchored(own, how).repartition(tasks, "anchor").sortWithinPartitions("anchor")
-    shared = written(sorted_anchors.mapInArrow(several, "anchor long, id long"), "shared")
-    wanted = shared.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    segs = shared_segments(own.join(wanted, "id"), how).repartition(tasks, "anchor").sortWithinPartitions("anchor")
-    spans = repeated(segs, how).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+            raw = [t.encode() for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([c.compress(t) for t in raw], pa.binary()), pa.array([hashlib.md5(t).digest() for t in raw], pa.binary())], names=["id", "z", "fp"])
+
+    packed = rows.mapInArrow(squeeze, "id long, z binary, fp binary")
+    mine = F.filter("marks", lambda m: m["fp"] == F.col("fp"))[0]
+    # the tag tells an id's texts from each other
+    tag = F.when(mine["twin"], F.conv(F.substring(F.hex("fp"), 1, 5), 16, 10).cast("long") + 1)
+    texts = packed.join(marks.hint("merge"), "id", "left").select("id", "z", F.coalesce(mine["copy"], F.lit(False)).alias("copy"), F.coalesce(tag, F.lit(0)).cast("long").alias("tag"))
+    texts = bucketed(texts, tasks)
+    removed(first, prints, marks)
+    own = texts.where(~F.col("copy") & F.col("id").isNotNull()).select("id", "z", "tag")
+
+    place = F.when(F.col("kind") == WANTED, F.col("id")).otherwise(F.col("anchor"))
+    by_anchor = anchored(own, how).repartition(tasks, place).sortWithinPartitions("anchor")
+    shared = written(by_anchor.mapInArrow(several(how), "anchor long, id long, kind byte"), "shared")
+    hot = shared.where(F.col("kind") == HOT).select("anchor")
+    wants = shared.where(F.col("kind") == WANTED).select("anchor", "id")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        hot = written(hot, "hot_anchors")
+        heated, wants = wants.join(hot, "anchor", "left_semi"), wants.join(hot, "anchor", "left_anti")
+    segments_of = lambda w: shared_segments(own.join(w.groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "id"), how)
+    spans = repeated(segments_of(wants).repartition(tasks, "anchor").sortWithinPartitions("anchor"), how)
+    if any_hot:
+        spans = spans.unionByName(repeated_hot(segments_of(heated), how))
+    # texts move for no join: their id decides the bucket
+    of_id = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for z, copy, spans in zip(*(b.column(n).to_pylist() for n in ("z", "copy", "spans")), strict=True):
+            for z, copy, tag, spans in zip(*(b.column(n).to_pylist() for n in ("z", "copy", "tag", "spans")), strict=True):
                 text = zstandard.decompress(z)
                 if copy:
                     left, gone, n = b"", len(text), 1
                 else:
-                    left, gone, n = cut(text, [(s["start"], s["stop"]) for s in spans or ()])
+                    base = tag << TAG
+                    left, gone, n = cut(text, [(s["start"] - base, s["stop"] - base) for s in spans or () if s["start"] >> TAG == tag])
                 for k, v in zip(got, (len(text), gone, n, hashlib.sha256(left).hexdigest(), left), strict=True):
                     got[k].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -285,13 +390,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column("id"), *arrays[: 4 + with_text]], names=[id_col, *list(got)[: 4 + with_text]])
 
     schema = f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(spans, "id", "left").mapInArrow(finish, schema)
-
-
-def twice(a: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(a), bool)
-    if len(a) > 1:
-        same = a[1:] == a[:-1]
-        out[1:] |= same
-        out[:-1] |= same
-    return out
+    return texts.join(of_id, "id", "left").mapInArrow(finish, schema)

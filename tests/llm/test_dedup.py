@@ -11,7 +11,7 @@ from lodestrata.llm.components import components
 from lodestrata.llm.gsaca import suffix_array
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.near_dedup import Near, near_dedup, shingles
-from lodestrata.llm.suffix_dedup import Repeats, kmer_hashes, runs, suffix_dedup
+from lodestrata.llm.suffix_dedup import Repeats, anchor_rows, kmer_hashes, runs, several, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -121,23 +121,53 @@ def test_kmer_hashes_depend_on_content_alone():
     assert a[2] == a[12] and len(set(a.tolist())) == len(a) - 1
 
 
-@pytest.mark.parametrize("how", [Repeats(), Repeats(length=20, kmer=7), Repeats(length=30, kmer=11, slice=64)])
-def test_suffix_dedup(spark, how):
-    rows = texts()
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup(frame(spark, rows), how=how).collect()}
-    seen, want = {}, {}
+def suffix_brute(rows, length):
+    first, want = {}, []
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - length + 1):
+            if i is not None:
+                first[b[k : k + length]] = min(i, first.get(b[k : k + length], i))
     for i, t in rows:
         b = (t or "").encode()
         mark = np.zeros(len(b), bool)
-        for k in range(len(b) - how.length + 1):
-            if b[k : k + how.length] in seen:
-                mark[k : k + how.length] = True
-        for k in range(len(b) - how.length + 1):
-            seen[b[k : k + how.length]] = i
+        for k in range(len(b) - length + 1):
+            if i is not None and first[b[k : k + length]] < i:
+                mark[k : k + length] = True
         left = bytes(c for c, m in zip(b, mark) if not m)
-        want[i] = (len(b), int(mark.sum()), len(runs(mark)[0]), hashlib.sha256(left).hexdigest())
-    assert got == want
-    assert suffix_dedup(frame(spark, [])).count() == 0
+        want.append((i, len(b), int(mark.sum()), len(runs(mark)[0]), hashlib.sha256(left).hexdigest()))
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("how", [Repeats(), Repeats(length=20, kmer=7), Repeats(length=30, kmer=11, slice=64), Repeats(hot=2), Repeats(length=20, kmer=7, hot=1)])
+def test_suffix_dedup(spark, how):
+    rows = texts()
+    assert sorted(map(tuple, suffix_dedup(frame(spark, rows), how=how).collect()), key=str) == suffix_brute(rows, how.length)
+
+
+@pytest.mark.parametrize("how", [Repeats(), Repeats(hot=2)])
+def test_suffix_dedup_of_nothing_nulls_and_repeated_ids(spark, how):
+    assert suffix_dedup(frame(spark, []), how=how).count() == 0
+    t, u = "".join(chr(97 + k * k % 26) for k in range(99)), "0123456789" * 12
+    rows = [(1, t), (2, t), (2, t), (None, t), (None, u), (3, u), (3, f"{t[:70]}x{u}"), (3, f"{t[:70]}x{u}"), (4, u + t), (None, None), (5, u[:49])]
+    assert sorted(map(tuple, suffix_dedup(frame(spark, rows), how=how).collect()), key=str) == suffix_brute(rows, 50)
+
+
+def test_several_streams_runs_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    for _ in range(200):
+        rows = sorted((rng.randint(1, 6), rng.randint(100, 120) if kind == 0 else rng.randint(2, 4) if kind == 1 else rng.randint(200, 300), kind) for kind in (rng.choice((0, 0, 1, 2)) for _ in range(rng.randint(1, 25))))
+        batches, left = [], list(rows)
+        while left:
+            n = rng.randint(1, 5)
+            batches.append(anchor_rows(*(np.array(c, np.int64) for c in zip(*left[:n]))))
+            left = left[n:]
+        got = [r for b in several(Repeats(hot=3))(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        total = {a: sum(i if k == 1 else 1 for x, i, k in rows if x == a and k < 2) for a, _, _ in rows}
+        want = [(a, i, 2) for a, i, k in rows if k == 2 or (k == 0 and total[a] > 1)] + [(a, n, 3) for a, n in total.items() if n > 3]
+        assert sorted(got) == sorted(want), rows
 
 
 def test_line_dedup(spark):
@@ -157,3 +187,11 @@ def test_line_dedup(spark):
         n = len((t or "").split("\n")) - len(kept)
         assert got[i] == (None if t is None else "\n".join(kept), n, "k"), i
     assert line_dedup(df.limit(0))[0].count() == 0
+
+
+def test_line_dedup_of_null_ids_and_clashing_names(spark):
+    rows = [(i if i else None, f"all\nown {i}\nall\n", f"s{i}") for i in range(12)]
+    df = spark.createDataFrame([(i, t, s, "a", "b", "c") for i, t, s in rows], "doc_id long, text string, source string, line_dedup_dropped string, line_dedup_id string, id string")
+    out, text, n = line_dedup(df, min_sites=10)
+    got = {r.doc_id: (r.new, r.n, r.line_dedup_dropped, r.line_dedup_id, r.id) for r in out.select("*", text.alias("new"), n.alias("n")).collect()}
+    assert got[None] == ("all\nown 0\n", 1, "a", "b", "c") and all(got[i] == (f"own {i}\n", 2, "a", "b", "c") for i in range(1, 12))
