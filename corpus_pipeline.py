@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and reread as the next one's docs. All but the last return the columns of
 documents; none reads anything but its input.
+
+Nulls: a null text has no words and goes with the quality rules; a null source or lang is one of
+its own; a null doc_id links with nothing and stays. Empty texts go, very long ones are judged whole,
+an empty table gives an empty result. Rows that share an id share their fate. Extra columns
+stay until the packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import table, written
+from lodestrata.llm.common import free_names, table, written
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.mixing import mix
 from lodestrata.llm.near_dedup import near_dedup
@@ -19,25 +24,30 @@ from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import quality
 
 
+def having(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id ``kept`` has; a null id is an id like others."""
+    (name,) = free_names(docs.columns, "kept_id")
+    return docs.join(kept.select(F.col("doc_id").alias(name)), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = quality(docs).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
+    """Documents that the quality rules keep. Rows that share an id go if all of them are rejected."""
+    return having(docs, quality(docs).where("kept"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site boilerplate; a document that this leaves without words goes."""
     rows, text, n_removed = line_dedup(docs)
-    out = rows.withColumn("__text", text).withColumn("__n", n_removed)
-    out = out.where((F.col("__n") == 0) | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    count = F.when(F.col("__n") == 0, F.col("n_chars")).otherwise(F.length("__text")).cast("long")
-    return out.withColumns({"text": F.col("__text"), "n_chars": count}).select(docs.columns)
+    new, n = free_names(rows.columns, "new_text", "n_removed")
+    out = rows.withColumn(new, text).withColumn(n, n_removed)
+    out = out.where((F.col(n) == 0) | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    count = F.when(F.col(n) == 0, F.col("n_chars")).otherwise(F.length(new)).cast("long")
+    return out.withColumns({"text": F.col(new), "n_chars": count}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group of near copies."""
-    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("__id")), "left_semi")
+    return having(docs, near_dedup(docs).where("kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
