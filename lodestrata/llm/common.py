@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.sources.shared import filesystem, removed, shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "filesystem", "free_names", "removed", "shared_dir", "table", "words", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "bucketed", "filesystem", "free_names", "removed", "shared_dir", "table", "words", "written"]
 
 #: A word, wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +40,12 @@ def free_names(columns: Sequence[str], *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df``, dealt by a column, as a table in the shared folder with one bucket a task: joins on the column leave it where it is."""
+    spark = df.sparkSession
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(tasks, column).option("path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(name)
+    return spark.table(name)

@@ -5,20 +5,23 @@
    permutation; a set of at most that many shingles is its own sample) flips the bit of
    a bitmap that its hash names, so the bitmap holds parities, and the population count
    of the XOR of two sketches tells how many samples differ, sharply where similarities are high.
-2. Texts of equal sets are one class, represented by the least id.
+2. Texts of equal sets are one class, represented by the least id. Representatives lie in
+   buckets by id, so that only ids move to their sketches.
 3. Band keys give candidates. First every member of a key is paired with the key's
-   least member only (a star). Then only keys whose members are still in several components
+   least member only (a star; the members of a large key with the least of their part, these with the key's).
+   Then only keys whose members are still in several components
    are looked at, in blocks of bounded size: pairs of members of different components, each pair
    in the first key that it shares. Where these keys are large, a first pass takes each
    member's most similar partner only, which joins what a large group holds together.
 4. Candidates pass if their sketches do not rule out the threshold: for small sets the count
    is a lower bound of the difference, so nothing is lost; for larger ones ``slack`` is six
-   standard deviations. Passing pairs are confirmed on full sets.
+   standard deviations. Passing pairs are confirmed on full sets, which one more scan of the texts
+   gives: it looks the ids up in a sorted array, and other texts don't move.
 5. Components of confirmed links come from star contraction.
 
 No group is paired with itself in full unless its members stay apart, nothing is capped, and
-links are never gathered. A band misses a pair of the threshold with odds of
-(1 - 0.8^4)^32, five in 10^8.
+links are never gathered. The bands miss a pair of the threshold with odds of
+(1 - 0.8^3)^20, six in 10^7.
 
 Null, empty and wordless texts: empty set, linked with nothing, kept. Fewer words
 than a shingle: the whole sequence is one shingle. Rows that share an id share their fate.
@@ -33,11 +36,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import LOWER, UPPER, removed, written
+from lodestrata.llm.common import LOWER, UPPER, bucketed, removed, written
 from lodestrata.llm.components import components
+from lodestrata.llm.sorted_arrays import SortedArrays, sorted_table
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -46,12 +50,13 @@ FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 class Near:
     words: int = 5
     percent: int = 80
-    bands: int = 32
-    rows: int = 4
+    bands: int = 20
+    rows: int = 3
     bins: int = 1024
     bits: int = 2048
     slack: float = 0.1
-    block: int = 4096
+    block: int = 2048
+    star: int = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -142,17 +147,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, how: Near) -> DataFr
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {dict(docs.dtypes)[id_col]}, n long, fp binary, keys array<long>, samples int, odd binary")
 
 
-def full_sets(docs: DataFrame, how: Near) -> DataFrame:
-    """(id, shingles) of rows (id, text)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
+    """(id, fp, shingles) of those rows (id, text) whose id is among ``wanted``; fp tells texts of one id from each other."""
+    ids = sorted_table(wanted.select(F.xxhash64("id").alias("hash"), F.lit(1.0).cast("float").alias("there")).distinct(), "wanted")
+    files = sorted(ids.inputFiles())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = SortedArrays(files, 4_000_000)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i in range(0, len(texts), 64):  # long sets: small batches
-                part = [shingles(t, how.words).view(np.int64) for t in texts[i : i + 64]]
-                yield pa.record_batch([ids.slice(i, 64), pa.array(part, pa.list_(pa.int64()))], names=["id", "shingles"])
+            b = b.filter(pa.array(index.find(b.column(2).to_numpy())[:, 0] > 0))
+            for i in range(0, b.num_rows, 64):  # long sets: small batches
+                part = [shingles(t, how.words) for t in b.column(1).slice(i, 64).to_pylist()]
+                fp = [xxhash.xxh3_128_digest(s.tobytes()) for s in part]
+                yield pa.record_batch([b.column(0).slice(i, 64), pa.array(fp, pa.binary()), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64()))], names=["id", "fp", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(sets, f"id {dict(docs.dtypes)['id']}, shingles array<long>")
+    out = docs.where(F.col("id").isNotNull()).select("id", "text", F.xxhash64("id").alias("hash")).mapInArrow(sets, f"id {dict(docs.dtypes)['id']}, fp binary, shingles array<long>")
+    out = written(out, "sets")
+    removed(ids)
+    return out
 
 
 class Linker:
@@ -161,34 +173,46 @@ class Linker:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, how: Near) -> None:
         self.how = how
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        self.signed = written(signatures(docs, id_col, text_col, how), "signed")
-        classes = self.signed.where(F.col("fp").isNotNull() & F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("rep"))
+        signed = written(signatures(docs, id_col, text_col, how), "signed")
+        self.sized = written(signed.select("id", "n", "fp"), "sized")
+        classes = self.sized.where(F.col("fp").isNotNull() & F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("rep"))
         self.classes = written(classes, "classes")
-        one = self.signed.join(self.classes.select(F.col("rep").alias("id"), F.col("fp").alias("f")), "id").where("fp = f")
-        self.reps = written(one.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "samples", "odd", "keys"))), "reps")
-        members = self.reps.select("id", F.explode("keys").alias("key"))
-        shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+        one = signed.join(self.classes.select(F.col("rep").alias("id"), F.col("fp").alias("f")).hint("merge"), "id").where("fp = f")
+        one = one.groupBy("id").agg(F.min_by(F.struct("n", "fp", "samples", "odd", "keys"), "fp").alias("x")).select("id", "x.*")
+        self.reps = bucketed(one, "id", "reps")
+        removed(signed)
+        members = self.reps.select("id", "n", F.explode("keys").alias("key"))
+        shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("hub")).where("size > 1")
+        shared = written(shared, "shared_keys")
         self.members = written(members.join(shared, "key"), "members")
+        removed(shared)
+
+    def stars(self) -> DataFrame:
+        """(a, b): each member of a key with the least of its part of the key, and these with the key's least."""
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / self.how.star))
+        m = self.members.withColumn("part", part)
+        m = m.withColumn("lead", F.min(F.struct("id", "n")).over(Window.partitionBy("key", "part")))
+        to = F.when(F.col("id") == F.col("lead.id"), F.col("hub")).otherwise(F.col("lead"))
+        pairs = m.select(to["id"].alias("a"), F.col("id").alias("b"), to["n"].alias("n_a"), F.col("n").alias("n_b")).where("a <> b")
+        return pairs.where(100 * F.least("n_a", "n_b") >= self.how.percent * F.greatest("n_a", "n_b")).select("a", "b").distinct()
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough; sketches and sizes first."""
         how = self.how
-        side = lambda c: self.reps.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "samples", "odd")))
+        side = lambda c: self.reps.select(F.col("id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "fp", "samples", "odd")))
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= how.percent * F.greatest("n_a", "n_b"))
-        passing = written(sketch_filter(sized, how).select("a", "b"), "passing")
-        wanted = passing.select(F.col("a").alias("id")).unionByName(passing.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.join(wanted, "id", "left_semi").join(self.classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-        sets = written(full_sets(texts, how), "sets")
+        passing = written(sketch_filter(sized, how).select("a", "b", "fp_a", "fp_b"), "passing")
+        sets = full_sets(self.docs, passing.select(F.col("a").alias("id")).unionByName(passing.select(F.col("b").alias("id"))), how)
+        of = lambda c: sets.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("shingles").alias(f"s_{c}"))
         common = F.size(F.array_intersect("s_a", "s_b"))
         linked = (
-            passing.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b")), "b")
+            passing.join(of("a"), ["a", "fp_a"]).join(of("b"), ["b", "fp_b"])
             .select("a", "b", common.alias("both"), (F.size("s_a") + F.size("s_b")).alias("total"))
             .where(100 * F.col("both") >= how.percent * (F.col("total") - F.col("both")))
-            .select("a", "b")
+            .select("a", "b").distinct()
         )
         out = written(linked, "linked")
-        removed(sets)
+        removed(sets, passing)
         return out
 
     def open_pairs(self, comp: DataFrame, best: int | None) -> DataFrame:
@@ -204,25 +228,28 @@ class Linker:
         return m.groupBy("key", "x", "y").applyInArrow(lambda t: apart(t, how, best), f"a {kind}, b {kind}")
 
     def placed(self, comp: DataFrame) -> DataFrame:
-        m = self.members.join(comp.withColumnRenamed("node", "id"), "id", "left")
+        m = self.members.select("key", "id", "size").join(comp.withColumnRenamed("node", "id"), "id", "left")
         return m.select("key", "id", "size", F.coalesce("component", "id").alias("component"))
 
     def links(self) -> DataFrame:
-        stars = self.members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        tested = written(stars, "tested")
+        tested = written(self.stars(), "tested")
         links = self.confirmed(tested)
         for best in (1, None):
             comp = written(components(links), "comp")
             spread = self.placed(comp).groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
             rows, pairs = spread.agg(F.sum("size"), F.sum(F.col("size") * F.col("size"))).first()
             if not rows:
+                removed(comp)
                 break
             if best and pairs <= 64 * rows:  # small keys only: all their pairs at once
+                removed(comp)
                 continue
             new = self.open_pairs(comp, best).distinct().join(tested, ["a", "b"], "left_anti")
             new = written(new, "new")
+            removed(comp)
             tested = tested.unionByName(new)
             links = links.unionByName(self.confirmed(new))
+        removed(tested, self.members)
         return links
 
 
@@ -276,10 +303,13 @@ def apart(t: pa.Table, how: Near, best: int | None) -> pa.Table:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Near = Near()) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row; component_id: the least id reachable over links."""
     linker = Linker(docs, id_col, text_col, how)
-    comp = written(components(linker.links()), "comp").select(F.col("node").alias("rep"), "component")
-    of_class = linker.classes.join(comp, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    links = linker.links()
+    comp = components(links).select(F.col("node").alias("rep"), "component")
+    of_class = written(linker.classes.join(comp, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component")), "components")
+    removed(linker.classes, linker.reps, links)
+    # a class of very many copies is one row here: the join may split the other side
     return (
-        linker.signed.select("id", "n", "fp").join(of_class, "fp", "left")
+        linker.sized.join(of_class, "fp", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
     )

@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-import uuid
 from itertools import groupby
 
 import numpy as np
@@ -37,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import removed, shared_dir, written
+from lodestrata.llm.common import bucketed, removed, written
 from lodestrata.llm.gsaca import suffix_array
 
 #: Stands between segments; no byte of UTF-8. ABOVE puts it below all bytes of UTF-8.
@@ -319,14 +318,6 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), len(runs(gone)[0])
 
 
-def bucketed(df: DataFrame, tasks: int) -> DataFrame:
-    """``df``, dealt by id, as a table in the shared folder with one bucket a task: joins on id leave it where it is."""
-    spark = df.sparkSession
-    name = f"suffix_texts_{uuid.uuid4().hex}"
-    df.write.bucketBy(tasks, "id").option("path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Repeats = Repeats(), with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row; ids are longs."""
     spark = docs.sparkSession
@@ -353,7 +344,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the tag tells an id's texts from each other
     tag = F.when(mine["twin"], F.conv(F.substring(F.hex("fp"), 1, 5), 16, 10).cast("long") + 1)
     texts = packed.join(marks.hint("merge"), "id", "left").select("id", "z", F.coalesce(mine["copy"], F.lit(False)).alias("copy"), F.coalesce(tag, F.lit(0)).cast("long").alias("tag"))
-    texts = bucketed(texts, tasks)
+    texts = bucketed(texts, "id", "suffix_texts")
     removed(first, prints, marks)
     own = texts.where(~F.col("copy") & F.col("id").isNotNull()).select("id", "z", "tag")
 

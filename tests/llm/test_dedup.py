@@ -59,7 +59,7 @@ def near_brute(rows, n, percent=80):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize("how", [Near(words=4), Near(words=5), Near(words=4, bins=16, bits=256, slack=0.8, block=8)])
+@pytest.mark.parametrize("how", [Near(words=4), Near(words=5), Near(words=4, bins=16, bits=256, slack=0.8, block=8, star=3)])
 def test_near_dedup(spark, how):
     rows = texts()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(frame(spark, rows), how=how).collect()}
@@ -75,10 +75,33 @@ def test_near_dedup_of_a_large_group(spark):
         for _ in range(2):
             w[rng.randrange(60)] = f"x{i}{rng.random()}"
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(frame(spark, rows), how=Near(words=4, block=64)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(frame(spark, rows), how=Near(words=4, block=64, star=16)).collect()}
     assert got == near_brute(rows, 4)
 
 
+def test_near_dedup_of_sets_larger_than_a_sketch(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(6):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice((1100, 1500, 2600)))]
+        for edits in (0, 20, 60, 75, 150):  # four shingles each
+            w = list(base)
+            for i in rng.sample(range(len(w)), edits * len(w) // 1500):
+                w[i] = f"x{rng.randrange(10**9)}"
+            rows.append((10 * k + len(rows), " ".join(w)))
+    want = near_brute(rows, 4)
+    assert 6 < len({c for _, c, _ in want.values()}) < len(rows) and min(n for n, _, _ in want.values()) > 1024
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup(frame(spark, rows), how=Near(words=4)).collect()}
+    assert got == want
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (3, b), (4, "z y")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True)]
+
+
 def test_near_dedup_of_nothing_and_nulls(spark):
     assert near_dedup(frame(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f")], "doc_id long, text string")
