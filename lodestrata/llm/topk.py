@@ -13,11 +13,17 @@ the local cosine threshold is t / (|q| l):
   (the largest of q's), found in the bucket's sorted coordinate lists;
 * else length pruning: only the bucket's vectors of length t / |q| or more.
 
-What is left is verified by exact integer products. Ties go to the smaller id.
+What is left is verified by exact integer products: vectors hold whole numbers, and
+products are taken in floating point only where they cannot round. A score beyond the range of a
+long becomes its nearest end. Ties go to the smaller id.
+
+Block pairs are formed by number. A bucket is sent once for each ``share`` query blocks that it meets,
+in the smallest whole-number type that holds it, and the query blocks stream past it.
 
 A vector that is null, or holds a null or a non-finite component, takes no part; vectors
-of different dimension never meet. A query with fewer candidates returns all. Repeated
-ids are candidates of their own, but a query never meets its own id. Extra columns are not read.
+of different dimension never meet, empty ones and null ids meet nothing. A query with fewer candidates returns all. Repeated
+ids are candidates of their own, but a query never meets its own id, and queries that share an id are one
+query each of whose vectors' candidates count. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,13 +44,20 @@ from lodestrata.llm.common import written
 class TopK:
     k: int = 20
     bucket: int = 4096
-    queries: int = 2048
+    queries: int = 1024
+    share: int = 16
     focus: int = 3
     coordinate: float = 0.7
 
 
+def smallest(v: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the smallest type that holds them."""
+    most = np.abs(v).max(initial=0.0)
+    return v.astype(next((t for t, top in ((np.int8, 2**7), (np.int16, 2**15), (np.int32, 2**31)) if most < top), np.float64))
+
+
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(block, dim, longest, ids, norms, vectors) of rows (id, v), by dimension and falling length."""
+    """(block, dim, longest, ids, norms, kind, vectors) of rows (id, v), by dimension and falling length."""
     spark = rows.sparkSession
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     ordered = rows.withColumns({"dim": F.size("v"), "norm": F.sqrt(length)}).where("dim > 0")
@@ -57,10 +70,10 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             nonlocal name
             t = pa.Table.from_batches(held)
-            v, norm = t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64), t.column("norm").to_numpy()
+            v, norm = smallest(t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64)), t.column("norm").to_numpy()
             name += 1
-            columns = [pa.array([name]), pa.array([dim], pa.int32()), pa.array([norm[0]]), pa.array([t.column("id").to_numpy()], pa.list_(pa.int64())), pa.array([norm], pa.list_(pa.float64())), pa.array([v.tobytes()])]
-            return pa.record_batch(columns, names=["name", "dim", "longest", "ids", "norms", "vectors"])
+            columns = [pa.array([name]), pa.array([dim], pa.int32()), pa.array([norm[0]]), pa.array([t.column("id").to_numpy()], pa.list_(pa.int64())), pa.array([norm], pa.list_(pa.float64())), pa.array([v.dtype.str]), pa.array([v.tobytes()])]
+            return pa.record_batch(columns, names=["name", "dim", "longest", "ids", "norms", "kind", "vectors"])
 
         for b in batches:
             at = 0
@@ -77,7 +90,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         if held:
             yield out()
 
-    cut_rows = written(ordered.mapInArrow(cut, "name long, dim int, longest double, ids array<long>, norms array<double>, vectors binary"), "cut")
+    cut_rows = written(ordered.mapInArrow(cut, "name long, dim int, longest double, ids array<long>, norms array<double>, kind string, vectors binary"), "cut")
     # numbers need the blocks' lengths alone: one narrow row for thousands of vectors
     number = Window.partitionBy("dim").orderBy(F.desc("longest"), "name")
     named = cut_rows.select("dim", "longest", "name").withColumn("block", F.row_number().over(number) - 1)
@@ -92,16 +105,25 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return pick[np.lexsort((ids[pick], -scores[pick]))][:k]
 
 
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where they cannot round, else in 64-bit integers."""
-    if q.size and p.size and q.shape[1] * np.abs(q).max() * np.abs(p).max() < 2.0**53:
-        return q @ p.T
-    return (q.astype(np.int64) @ p.astype(np.int64).T).astype(np.float64)
+    """Exact products of whole numbers as longs; beyond a long's range, its nearest end."""
+    bound = float(q.shape[1]) * np.abs(q).max(initial=0.0) * np.abs(p).max(initial=0.0)
+    if bound < 2.0**24:
+        return (q.astype(np.float32) @ p.astype(np.float32).T).astype(np.int64)
+    if bound < 2.0**53:
+        return (q @ p.T).astype(np.int64)
+    if bound < 2.0**62:
+        return q.astype(np.int64) @ p.astype(np.int64).T
+    whole = lambda m: np.array([[int(x) for x in r] for r in m.tolist()], object).reshape(m.shape)
+    return np.clip(whole(q) @ whole(p).T, LEAST, MOST).astype(np.int64).reshape(len(q), len(p))
 
 
 class Bucket:
-    def __init__(self, ids: list[int], vectors: bytes, dim: int) -> None:
-        self.ids, self.v = np.array(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
+    def __init__(self, ids: list[int], v: np.ndarray) -> None:
+        self.ids, self.v = np.array(ids, np.int64), v
         self.norm = np.sqrt((self.v * self.v).sum(axis=1))
         self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -129,8 +151,9 @@ class Bucket:
         """(query index, ids, scores) of the best candidates that reach each query's least score."""
         qn = np.sqrt((q * q).sum(axis=1))
         longest = self.norm.max(initial=0.0)
+        score = np.where(least == LEAST, -np.inf, least.astype(np.float64))
         with np.errstate(divide="ignore", invalid="ignore"):
-            theta = np.where(qn * longest > 0, least / (qn * longest), np.where(least > 0, np.inf, -np.inf))
+            theta = np.where(qn * longest > 0, score / (qn * longest), np.where(least > 0, np.inf, -np.inf))
         by_length = np.flatnonzero((theta <= 1 + 1e-9) & (theta < how.coordinate))
         by_coordinate = np.flatnonzero((theta <= 1 + 1e-9) & (theta >= how.coordinate))
         for at in range(0, len(by_length), 256):
@@ -152,23 +175,37 @@ class Bucket:
         return i, ids[best], got[best]
 
 
-def search(pairs: DataFrame, how: TopK) -> DataFrame:
-    """(query_id, vec_id, score) of rows that hold a query block, its least scores and a bucket."""
+def vectors(kind: str, raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, kind).astype(np.float64).reshape(-1, dim)
+
+
+def search(pairs: DataFrame, bucket: DataFrame, asked: DataFrame, how: TopK) -> DataFrame:
+    """(query_id, vec_id, score) of the pairs (dim, q_block, block) of a query block, asked with its least scores, and a bucket."""
+    tasks = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.withColumn("part", F.floor(F.col("q_block") / how.share).cast("int"))
+    held = pairs.select("dim", "block", "part").distinct().join(bucket.select("dim", "block", "ids", "kind", "vectors"), ["dim", "block"])
+    held = held.select("dim", "block", "part", F.lit(-1).alias("turn"), "ids", "kind", "vectors", F.array().cast("array<long>").alias("least"))
+    passing = pairs.join(asked.select("dim", F.col("block").alias("q_block"), "ids", "kind", "vectors", "least"), ["dim", "q_block"])
+    passing = passing.select("dim", "block", "part", F.col("q_block").cast("int").alias("turn"), "ids", "kind", "vectors", "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Bucket | None = None
         for b in batches:
             for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                qid, q = np.array(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"], np.float64).reshape(-1, r["dim"])
-                least = np.array(r["least"], np.float64)
-                a, c, s = [], [], []
-                for i, ids, got in Bucket(r["ids"], r["vectors"], r["dim"]).search(qid, q, least, how):
+                v = vectors(r["kind"], r["vectors"], r["dim"])
+                if r["turn"] < 0:  # the queries that follow, up to the next bucket, are its own
+                    now = Bucket(r["ids"], v)
+                    continue
+                qid, a, c, s = np.array(r["ids"], np.int64), [], [], []
+                for i, ids, got in now.search(qid, v, np.array(r["least"], np.int64), how):
                     a.append(np.full(len(ids), qid[i]))
                     c.append(ids)
-                    s.append(got.astype(np.int64))
+                    s.append(got)
                 if a:
                     yield pa.record_batch([pa.array(np.concatenate(x)) for x in (a, c, s)], names=["query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    rows = held.unionByName(passing).repartition(tasks, "dim", "block", "part").sortWithinPartitions("dim", "block", "part", "turn")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -178,32 +215,32 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(rows: DataFrame, is_query: Column, how: TopK = TopK()) -> DataFrame:
     """(query_id, rank, vec_id, score) for rows (id, v array<double>): each query's k best of all other rows."""
-    tasks = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
     bucket = written(blocks(rows, how.bucket), "buckets")
-    asked = blocks(rows.where(is_query), how.queries).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("norms").alias("q_norms"), F.col("vectors").alias("q_vectors"))
-    asked = written(asked, "queries")
-    payload, side = bucket.select("dim", "block", "ids", "vectors"), asked.select("dim", "q_block", "q_ids", "q_vectors")
-    nothing = F.transform("q_ids", lambda _: F.lit(float("-inf")))
-    first = search(side.join(payload.where("block = 0"), "dim").withColumn("least", nothing).repartition(tasks), how)
+    asked = written(blocks(rows.where(is_query), how.queries), "queries")
+    ends = F.transform("ids", lambda _: F.lit(LEAST).cast("long"))
+    first = search(asked.select("dim", F.col("block").alias("q_block"), F.lit(0).alias("block")), bucket, asked.withColumn("least", ends), how)
     first = written(ranked(first, how.k), "first")
-    reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("s")).where(F.col("n") >= how.k)
-    member = asked.select("dim", "q_block", F.posexplode(F.arrays_zip("q_ids", "q_norms")).alias("pos", "q"))
-    member = member.select("dim", "q_block", "pos", F.col("q.q_ids").alias("query_id"), F.col("q.q_norms").alias("norm"))
-    score = F.coalesce("s", F.lit(float("-inf")))
+    reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).where(F.col("n") >= how.k)
+    member = asked.select("dim", F.col("block").alias("q_block"), F.posexplode(F.arrays_zip("ids", "norms")).alias("pos", "q"))
+    member = member.select("dim", "q_block", "pos", F.col("q.ids").alias("query_id"), F.col("q.norms").alias("norm"))
     # a block's queries come together again: as many rows as a block holds
     least = (
         member.join(reached.select("query_id", "s"), "query_id", "left").groupBy("dim", "q_block")
         .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", score.alias("s")))), lambda x: x["s"]).alias("least"),
-            F.min(F.when(score <= 0, 0.0).otherwise(score / F.col("norm"))).alias("need"),
+            F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("s", F.lit(LEAST).cast("long")).alias("s")))), lambda x: x["s"]).alias("least"),
+            F.min(F.when(F.coalesce("s", F.lit(0)) <= 0, 0.0).otherwise(F.col("s") / F.col("norm"))).alias("need"),
         )
     )
     least = written(least, "least")
-    # block pairs are formed by number, and only where some length can reach some threshold
-    reachable = bucket.where("block > 0").select("dim", "block", "longest")
-    pair = least.select("dim", "q_block", "need").join(reachable, "dim").where(F.col("longest") >= F.col("need") * (1 - 1e-12))
-    work = pair.select("dim", "q_block", "block").join(payload, ["dim", "block"]).join(side, ["dim", "q_block"]).join(least.drop("need"), ["dim", "q_block"])
-    found = search(work.repartition(tasks), how).unionByName(first.select("query_id", "vec_id", "score"))
+    # block pairs are formed by number: those buckets, the longest first, whose length can reach some threshold
+    lengths = bucket.where("block > 0").groupBy("dim").agg(F.collect_list("longest").alias("lengths"))
+    lengths = written(lengths, "lengths")  # one number a bucket
+    last = F.size(F.filter("lengths", lambda x: x >= F.col("need") * (1 - 1e-12)))
+    pair = least.select("dim", "q_block", "need").join(lengths, "dim").withColumn("last", last).where("last > 0")
+    pair = pair.select("dim", "q_block", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("block"))
+    asked = asked.join(least.select("dim", F.col("q_block").alias("block"), "least"), ["dim", "block"])
+    found = search(pair, bucket, asked, how).unionByName(first.select("query_id", "vec_id", "score"))
     return ranked(found, how.k).select("query_id", "rank", "vec_id", "score")
 
 

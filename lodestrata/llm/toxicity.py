@@ -1,12 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols of a small alphabet: I (insult), T (threat), G (someone
+Words become symbols: I (insult), T (threat), G (someone
 addressed or spoken of), N (negation), R (reported speech), W (any other). Insult words and
 word stems, with their weights, are learnt from labels: log-odds of the share of
-toxic and of other documents that hold them. Five weighted transducers over that alphabet, for insult,
-threat, target, negation and reported speech, are composed into one machine; the
-weight of a clause is that of the path that the machine takes over it. So an insult that is
-denied or quoted weighs less, one aimed at somebody weighs more, and a threat weighs
+toxic and of other documents that hold them. Five weighted transducers read one tape and write the next:
+
+* reported speech marks insults and threats that follow a verb of saying;
+* negation marks those just after a negation;
+* target marks those just after somebody is named;
+* threat turns somebody named just after a threat into an attack, with the threat's marks;
+* insult weighs: marked insults, aimed threats and attacks.
+
+They are composed into one machine, so each word is read once; the weight of a clause is that of the path that the machine
+takes over it. So an insult or threat that is denied or quoted weighs less, one aimed at somebody weighs more, and a threat weighs
 only with a target. A document's score is a logistic function, fitted on labels, of the
 number of matched clauses, their greatest weight and their total.
 
@@ -15,7 +21,8 @@ one for each text opening and one for each text ending, so that copies count onc
 
 Null or empty texts match nothing and get the score of no match. Without labels of
 both kinds nothing is learnt and every score is 0. Very long texts are scored whole, clause by
-clause. Repeated rows score alike; extra columns are not read.
+clause. Repeated rows score alike, labels that disagree count as toxic, a null id is held out;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -58,55 +65,91 @@ class Grammar:
     min_odds: float = 3.0
 
 
+#: Symbols of the inner tapes: a kind, A being an attack, and marks: reported, denied, aimed.
+KINDS = SYMBOLS + "A"
+TAPE = [k + "".join(m) for k in KINDS for n in range(4) for m in itertools.combinations("rda", n)]
+Step = tuple[int, str, float, float]  # next state, symbol written, factor on the word's weight, added weight
+
+
+def marked(symbol: str, *marks: str) -> str:
+    return symbol[0] + "".join(m for m in "rda" if m in symbol[1:] or m in marks)
+
+
 class Transducer:
-    """Deterministic, over SYMBOLS: delta[state][symbol] = (next state, factor on the word's weight, added weight)."""
+    """Deterministic: delta[state][symbol read] is a Step. State 0 begins."""
 
-    def __init__(self, delta: list[dict[str, tuple[int, float, float]]]) -> None:
+    def __init__(self, delta: list[dict[str, Step]]) -> None:
         self.delta = delta
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both at once: factors multiply, added weights add; only reachable pairs of states."""
+        """What this one writes the other reads; factors multiply, added weights add; only reachable pairs of states."""
         number = {(0, 0): 0}
         todo, delta = [(0, 0)], []
         while len(delta) < len(todo):
             a, b = todo[len(delta)]
             row = {}
-            for s in SYMBOLS:
-                (x, f, w), (y, g, v) = self.delta[a][s], other.delta[b][s]
+            for symbol, (x, tape, f, w) in self.delta[a].items():
+                y, out, g, v = other.delta[b][tape]
                 if (x, y) not in number:
                     number[x, y] = len(todo)
                     todo.append((x, y))
-                row[s] = number[x, y], f * g, w + v
+                row[symbol] = number[x, y], out, f * g, w + v
             delta.append(row)
         return Transducer(delta)
 
+    def run(self, tape: list[str]) -> list[tuple[str, float, float]]:
+        """(symbol written, factor, added weight) of each symbol read."""
+        state, out = 0, []
+        for symbol in tape:
+            state, *rest = self.delta[state][symbol]
+            out.append(tuple(rest))
+        return out
+
     def weigh(self, clause: list[tuple[str, float]]) -> float:
         state, total = 0, 0.0
         for symbol, weight in clause:
-            state, factor, more = self.delta[state][symbol]
+            state, _, factor, more = self.delta[state][symbol]
             total += factor * weight + more
         return total
 
 
+def within_reach(reach: int, opens: str, mark: str) -> Transducer:
+    """Marks insults and threats up to ``reach`` words after one of kind ``opens``."""
+    row = lambda k: {s: (reach if s[0] == opens else max(0, k - 1), marked(s, mark) if k and s[0] in "IT" else s, 1.0, 0.0) for s in TAPE}
+    return Transducer([row(k) for k in range(reach + 1)])
+
+
+def cascade(how: Grammar) -> list[Transducer]:
+    """Reported speech, negation, target, threat, insult; the first reads SYMBOLS alone."""
+    told = [{s: (int(k or s == "R"), marked(s, "r") if k and s in "IT" else s, 1.0, 0.0) for s in SYMBOLS} for k in (0, 1)]  # to the clause's end
+    negation, target = within_reach(how.reach, "N", "d"), within_reach(how.reach, "G", "a")
+    # states of threat: none, or the last threat's marks and how far it still reaches
+    states = [("", 0)] + [(m, k) for m in ("", "r", "d", "rd") for k in range(1, how.reach + 1)]
+    at = {x: i for i, x in enumerate(states)}
+    attack = []
+    for marks, k in states:
+        row = {}
+        for s in TAPE:
+            if s[0] == "T":
+                row[s] = at[s[1:].replace("a", ""), how.reach], s, 1.0, 0.0
+            elif s[0] == "G" and k:
+                row[s] = at[marks, k - 1] if k > 1 else 0, marked("A", *marks), 1.0, 0.0
+            else:
+                row[s] = at[marks, k - 1] if k > 1 else 0, s, 1.0, 0.0
+        attack.append(row)
+    weights = {}
+    for s in TAPE:
+        factor = (how.reported if "r" in s else 1.0) * (how.denied if "d" in s else 1.0)
+        aimed = "a" in s
+        more = {"I": how.target * aimed, "T": how.threat * aimed, "A": how.threat}.get(s[0], 0.0)
+        weights[s] = 0, s, factor, factor * more
+    return [Transducer(told), negation, target, Transducer(attack), Transducer([weights])]
+
+
 def grammar(how: Grammar) -> Transducer:
-    """insult o threat o target o negation o reported speech."""
-    stay = {s: (0, 1.0, 0.0) for s in SYMBOLS}
-    insult = Transducer([stay])  # passes each word's own weight on
-
-    def fading(opens: str, closes: dict[str, tuple[float, float]]) -> Transducer:
-        """After ``opens``, for ``reach`` words, the words in ``closes`` get a factor and an added weight."""
-        rows = [{s: (how.reach if s == opens else 0, 1.0, 0.0) for s in SYMBOLS}]
-        for k in range(1, how.reach + 1):
-            rows.append({s: (how.reach if s == opens else k - 1, *closes.get(s, (1.0, 0.0))) for s in SYMBOLS})
-        return Transducer(rows)
-
-    threat = fading("T", {"G": (1.0, how.threat)})
-    target = fading("G", {"I": (1.0, how.target), "T": (1.0, how.threat)})
-    negation = fading("N", {"I": (how.denied, 0.0), "T": (how.denied, 0.0)})
-    told = {s: (1, how.reported if s == "I" else 1.0, 0.0) for s in SYMBOLS}  # to the clause's end
-    reported = Transducer([{s: (1 if s == "R" else 0, 1.0, 0.0) for s in SYMBOLS}, told])
-    machine = insult
-    for t in (threat, target, negation, reported):
+    """The composition of the cascade."""
+    machine, *rest = cascade(how)
+    for t in rest:
         machine = machine.compose(t)
     return machine
 
@@ -194,7 +237,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def held_out(i: int | None) -> bool:
-    return zlib.crc32(str(i).encode()) % 5 == 0
+    """Never learnt from: a fifth of the ids, and null ones."""
+    return i is None or zlib.crc32(str(i).encode()) % 5 == 0
 
 
 def sample(labelled: DataFrame, how: Grammar) -> DataFrame:
@@ -271,6 +315,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def toxicity(docs: DataFrame, labels: DataFrame, how: Grammar = Grammar()) -> DataFrame:
     """Score docs (doc_id, text) with what labels (doc_id, toxic) teach, outside the held-out fifth."""
     taught = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    taught = taught.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("y")).groupBy("__id").agg(F.max("y").alias("y"))
-    labelled = docs.select("doc_id", "text").join(taught, docs.doc_id == F.col("__id")).select(F.col("doc_id").alias("id"), "text", "y")
+    taught = taught.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    labelled = docs.select(F.col("doc_id").alias("id"), "text").join(taught, "id")
     return score(docs, learn(labelled, how))

@@ -5,12 +5,14 @@ the label says so. FP-growth mines their frequent sets; rules that end in
 ``block`` and pass confidence and support are kept, without those that say no
 more than the share of blocked urls (lift 1, unless all are blocked) and those that a
 shorter kept rule implies. Matching goes through an inverted index: each
-rule hangs on its rarest token, urls meet only the rules of tokens that they have,
-and a rule fires when all its tokens are there.
+rule hangs on its rarest token, distinct urls meet only the rules of tokens that they have,
+and a rule fires when all its tokens are there. The index and what fires are written tables of known size:
+where they are small, Spark sends them to the urls, and no common token or url gathers rows in one task; else
+it joins by key and may split the partition of a common one.
 
 Null url, url without ``://``: host and path are empty, no rule fits, no token
-exists, the verdict is allow. Repeated rows are judged row by row. An empty or
-unlabelled table mines no rule.
+exists, the verdict is allow. Very long urls are read whole. Repeated rows are judged row by row, a null page_id like any
+other. An empty or unlabelled table mines no rule. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ascii_lower
+from lodestrata.llm.common import ascii_lower, removed, written
 
 #: Fixed values of the contract: verdict, host, path.
 HOST_RULES = (
@@ -53,7 +55,7 @@ def path(url: Column) -> Column:
 
 def fixed_rule(h: Column, p: Column, rules=HOST_RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; null where none does."""
-    rule = verdict = None
+    rule = verdict = F.lit(None).cast("string") if not rules else None
     for v, rh, rp in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
         fits = ((h == rh) | h.endswith(f".{rh}")) & p.startswith(rp)
         rule = F.when(fits, rh + rp) if rule is None else rule.when(fits, rh + rp)
@@ -112,6 +114,7 @@ def matched(urls: DataFrame, rules: DataFrame, frequency: DataFrame) -> DataFram
         .groupBy("rule_id", "antecedent", "confidence")
         .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     )
+    index = written(index, "rule_index")
     return (
         urls.select("id", "tokens", F.explode("tokens").alias("token"))
         .join(index, "token")
@@ -126,11 +129,13 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, how: Mining = Mining(), r
 
     Returns page_id, host, path, rule, verdict, n_rules (mined rules that fire), confidence (the best of these).
     """
-    url_of = labelled.select(tokens(F.col("url")).alias("tokens"), "blocked")
-    mined = mine(url_of, how)
+    url_of = written(labelled.select(tokens(F.col("url")).alias("tokens"), "blocked"), "labelled_urls")
+    mined = written(mine(url_of, how), "rules")
     frequency = url_of.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     # The verdict depends on the url alone: distinct urls meet the rules once.
     hits = matched(pages.select(F.col("url").alias("id")).where(F.col("id").isNotNull()).distinct().select("id", tokens(F.col("id")).alias("tokens")), mined, frequency)
+    hits = written(hits, "fired")
+    removed(url_of, mined)
     h, p = host(F.col("url")), path(F.col("url"))
     own = pages.select("page_id", "url", h.alias("host"), p.alias("path"))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)

@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, quality as Q, toxicity as X
-from lodestrata.llm.html_extract import Block, Element, Flow, extract, label, main_text
+from lodestrata.llm.html_extract import Block, Cut, Element, Flow, blocks_of, distance, extract, label, log_odds, main_text
 from lodestrata.llm.packing import Encoder, Packing, pack, rest, windows
-from lodestrata.llm.topk import TopK, integer_vectors, top_k
-from lodestrata.llm.url_filter import Mining, filter_urls
+from lodestrata.llm.topk import TopK, integer_vectors, products, top_k
+from lodestrata.llm.url_filter import Mining, filter_urls, tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -38,6 +38,27 @@ def test_top_k(spark, how):
     assert top_k(df.select("id", "v").limit(0), F.col("id") % 20 == 0, how).count() == 0
 
 
+@pytest.mark.parametrize("top", [1, 100, 10**5, 10**8, 2**31, 10**12])
+def test_products_are_exact(top):
+    rng = np.random.default_rng(top)
+    q, p = (rng.integers(-top, top + 1, (n, 5)) for n in (7, 11))
+    want = [[max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x, y)))) for y in p] for x in q]
+    assert products(q.astype(float), p.astype(float)).tolist() == want
+    assert products(np.zeros((0, 3)), np.ones((2, 3))).shape == (0, 2)
+
+
+def test_top_k_of_large_numbers_and_nulls(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-(2**30), 2**30, 4)]) for i in range(60)] + [(i, rows_of) for i, rows_of in ((100, [2.0**29 + 1] * 4), (101, [2.0**29] * 4), (None, [1.0] * 4), (102, None), (103, []))]
+    got = {}
+    for r in top_k(spark.createDataFrame(rows, "id long, v array<double>"), F.col("id") % 20 == 0, TopK(k=7, bucket=16, queries=2, share=2)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    vec = {i: [int(x) for x in v] for i, v in rows if i is not None and v}
+    for q in (i for i in vec if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(vec[q], v)), i) for i, v in vec.items() if i != q)[:7]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 # --- packing
 
 
@@ -195,6 +216,39 @@ def test_grammar():
     assert m.clauses(None) == m.clauses("") == (0, 0.0, 0.0) and 0 <= m.score("") < 0.5 < m.score("idiot idiot idiot idiot")
 
 
+def test_composition_is_the_cascade_of_tapes():
+    how, rng = X.Grammar(), random.Random(13)
+    machines, whole = X.cascade(how), X.grammar(how)
+    for _ in range(500):
+        clause = [(rng.choice(X.SYMBOLS), rng.random()) for _ in range(rng.randint(1, 12))]
+        tape, factor, more = [s for s, _ in clause], [1.0] * len(clause), [0.0] * len(clause)
+        for m in machines:
+            out = m.run(tape)
+            tape = [o[0] for o in out]
+            factor, more = [f * o[1] for f, o in zip(factor, out)], [a + o[2] for a, o in zip(more, out)]
+        assert [o[0] for o in whole.run([s for s, _ in clause])] == tape
+        assert whole.weigh(clause) == pytest.approx(sum(f * w + a for (_, w), f, a in zip(clause, factor, more)))
+
+
+def test_tapes():
+    tape = lambda s: [o[0] for o in X.grammar(X.Grammar()).run(list(s))]
+    assert tape("GWI") == ["G", "W", "Ia"] and tape("GWWWI")[-1] == "I" and tape("NI")[-1] == "Id" and tape("RWWWWI")[-1] == "Ir"
+    assert tape("TG") == ["T", "A"] and tape("NTG") == ["N", "Td", "Ad"] and tape("TWWWG")[-1] == "G" and tape("RGT") == ["R", "G", "Tra"]
+    w = lambda s: X.grammar(X.Grammar()).weigh([(c, 2.0 * (c == "I")) for c in s])
+    assert w("I") == 2 < w("GI") and w("TW") == 0 < w("RTG") < w("TG") and w("NTG") < w("TG") and w("G") == 0
+
+
+def test_labels_of_ties_null_ids_and_repeated_rows(spark):
+    rng = random.Random(19)
+    text = lambda bad: " ".join([f"w{rng.randrange(300)}" for _ in range(30)] + ["zarg blurk"] * bad)
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "n") for i, t, _ in rows] + [(1, rows[1][1], "n"), (None, "you zarg blurk", "n"), (None, None, "n")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y, 5) for i, _, y in rows] + [(1, 1, 5), (None, 1, 5), (2, None, 5)], "doc_id long, toxic int, y int")
+    out = X.toxicity(docs, labels).collect()
+    assert len(out) == 403 and len({r.score for r in out if r.doc_id == 1}) == 1
+    assert all(r.held_out for r in out if r.doc_id is None) and sorted(r.predicted for r in out if r.doc_id is None) == [0, 1]
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -393,6 +447,42 @@ def test_url_rules_of_a_skewed_table_and_of_many_tokens(spark):
     assert got == {1: "block", 2: "allow"}  # only all four tokens are confident
 
 
+def brute_rules(labelled, how):
+    """All frequent token sets that confidently block, without those that a shorter one implies."""
+    from itertools import combinations
+
+    rows = [(t, b) for t, b in labelled if t]
+    share, kept = sum(b for _, b in rows) / len(rows), {}
+    for n in range(1, max(map(lambda r: len(r[0]), rows)) + 1):
+        for c in {c for t, _ in rows for c in combinations(sorted(t), n)}:
+            has = [b for t, b in rows if set(c) <= set(t)]
+            confidence = sum(has) / len(has)
+            if sum(has) / len(rows) >= how.min_support and confidence >= how.min_confidence and (confidence > share + 1e-9 or confidence >= 1):
+                kept[c] = confidence
+    return {c: f for c, f in kept.items() if not any(set(d) < set(c) for d in kept)}
+
+
+def test_url_filter_equals_brute_force(spark):
+    rng = random.Random(31)
+    url = lambda: f"{rng.choice(['http', 'https'])}://{rng.choice(['a', 'b', 'www'])}.{rng.choice(['x.org', 'y.org', 'z.de'])}/{rng.choice(['news', 'casino', 'blog'])}/{rng.randrange(99)}" + rng.choice(["", "?ref=1", "?buy=1&ref=2", "#top"])
+    urls = [url() for _ in range(150)]
+    bad = lambda u: ("casino" in u and rng.random() < 0.9) or ("buy" in u and "y.org" in u) or rng.random() < 0.1
+    labelled = spark.createDataFrame([(u, bad(u)) for u in urls], "url string, blocked boolean")
+    how = Mining(min_support=0.02, min_confidence=0.6)
+    token_of = labelled.select("url", tokens(F.col("url")).alias("t"), "blocked").collect()
+    rules = brute_rules([(r.t, r.blocked) for r in token_of], how)
+    assert len(rules) > 3
+    long = "http://b.x.org/casino/" + "a/" * 3000
+    more = [url() for _ in range(60)] + [urls[0]] * 5 + [None, "", long]
+    pages = spark.createDataFrame([(i, u, "r", True) for i, u in enumerate(more)], "page_id long, url string, rule string, n_rules boolean")
+    of = {r.url: set(r.t) for r in pages.select("url", tokens(F.col("url")).alias("t")).collect()}
+    out = filter_urls(pages, labelled, how, rules=()).collect()
+    assert len(out) == len(more)
+    for r in out:
+        fired = [f for c, f in rules.items() if set(c) <= of[more[r.page_id]]]
+        assert (r.verdict, r.n_rules, r.rule) == ("block" if fired else "allow", len(fired), None) and (r.confidence or 0) == pytest.approx(max(fired, default=0))
+
+
 # --- html
 
 
@@ -425,6 +515,64 @@ a number of words in it.<br>Still going.</p><div class="comments"><p>I disagree
     assert label([]) == [] and label([Block("x", Element("p"))]) in ([True], [False])
 
 
+LONG = "This paragraph goes on for quite a while, as those of articles do, with commas and full stops. It has a second sentence and a third, so that it is clearly running text that a reader came for, and not a label of any kind."
+
+
+def test_wrappers_do_not_hide_the_article():
+    other = "<nav><a href=x>Home</a></nav><footer>All rights</footer>"
+    for page in (
+        f'<div class="main has-sidebar"><article><p>{LONG}</p></article></div>',
+        f'<div class="content margin-bottom"><p>{LONG}</p></div>',
+        f"<form action=x><div><p>{LONG}</p></div></form>",
+        f'<div class="with-comments textBottom"><main><p>{LONG}</p></main></div>',
+        f'<div id="page-header-menu"><main><p>{LONG}</p></main></div>',
+    ):
+        assert main_text(f"<body>{other}{page}{other}</body>") == LONG, page
+    titled = f'<div class="post"><header class="entry-header"><h1>Its own title</h1></header><p>{LONG}</p></div>'
+    assert main_text(f"<header><p>Site name</p></header>{titled}<footer>x</footer>") == f"Its own title\n{LONG}"
+    assert main_text(f"<header>Site</header><article><header><h1>Title</h1></header><p>{LONG}</p></article>") == f"Title\n{LONG}"
+
+
+def test_boilerplate_of_every_kind_goes():
+    away = ['<div class="sidebar">', '<div id="comments"><article>', '<section class="post-comments">', '<div class="cookieNotice">', '<div class="advert">', "<aside>", "<nav>", '<div role="banner">', '<div class="site-footer">', '<div class="newsletter-box">', "<form>", '<ul class="menu">', '<div hidden>', '<div style="display: none">', "<noscript>"]
+    for start in away:
+        tags = re.findall(r"<(\w+)", start)
+        end = "".join(f"</{t}>" for t in reversed(tags))
+        some = "A few words that stand beside the article and are not a part of it at all."
+        page = f"<body><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>{start}<p>{some}</p>{end}</body>"
+        assert main_text(page) == f"Title\n{LONG}\n{LONG}", start
+        inside = f"<body><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{start}<p>{some}</p>{end}</article></body>"
+        if start not in ("<form>",):
+            assert some not in main_text(inside), start
+
+
+def test_labels_are_a_minimum_cut():
+    rng = random.Random(14)
+    for _ in range(30):
+        items = [rng.choice([f"<p>{LONG[: rng.randint(5, 200)]}</p>", "<nav><a href=x>menu</a></nav>", "<div class=legal><p>small print</p></div>", "<article><h2>head</h2></article>", "<li><a>link</a> text"]) for _ in range(rng.randint(1, 8))]
+        blocks = blocks_of("".join(items), Cut())
+        z = [log_odds(b, Cut()) for b in blocks]
+        links = [(i - k, i, Cut().near / (1 + distance(blocks[i - k].at, blocks[i].at, Cut().far)) / k + (k == 1) * Cut().adjacent / (1 + (blocks[i - 1].at is not blocks[i].at))) for i in range(len(blocks)) for k in (1, 2) if i >= k]
+        cost = lambda side: sum(np.log1p(np.exp(-x if s else x)) for s, x in zip(side, z)) + sum(w for i, j, w in links if side[i] != side[j])
+        best = min(cost([bool(m >> i & 1) for i in range(len(z))]) for m in range(1 << len(z)))
+        assert cost(label(blocks)) == pytest.approx(best)
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>", "<b>", "<p><b>", "<li><div>", "<td><i>", "</p></x>"):
+        def took(n):
+            began = time.process_time()
+            main_text(unit * n + f"<p>{LONG}")
+            return time.process_time() - began
+
+        took(500)
+        assert took(16_000) < 40 * took(2_000) + 0.3, unit
+    text = main_text("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>")
+    assert text == "\n".join([LONG] * 3000)
+
+
 def test_unclosed_head():
     rest = "<article><p>Hello world text.</p></article>"
     for head in ("<head><title>t</title><body>", "<head><title>t</title>", "<head><title>t<body>", "<head><meta a=b><style>p {}</style>", "<head><title>t</title></p></head><body>", "<head></head>"):
