@@ -44,7 +44,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], out: str, within: Sequen
     before = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inner = Window.partitionBy(*keys).orderBy(*order)
-    return ranged.withColumn("__nth", F.row_number().over(inner)).join(F.broadcast(starts), keys).withColumn(out, (F.col("__start") + F.col("__nth") - 1).cast("long")).drop("__range", "__nth", "__start")
+    return ranged.withColumn("__nth", F.row_number().over(inner)).join(starts, keys).withColumn(out, (F.col("__start") + F.col("__nth") - 1).cast("long")).drop("__range", "__nth", "__start")
 
 
 def priority(rank: Column, box: Sequence[Column], fid: Column) -> list[Column]:

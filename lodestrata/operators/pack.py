@@ -70,7 +70,7 @@ def split_pass(nodes: DataFrame, m: int, local_rows: int) -> DataFrame:
     small = nodes.where(F.col("size") <= local_rows)
     node = ["level", "start"]
     extent = big.groupBy(*node).agg((F.max("xmax") - F.min("xmin") >= F.max("ymax") - F.min("ymin")).alias("wide"))
-    big = big.join(F.broadcast(extent), node)
+    big = big.join(extent, node)
     center = F.when(F.col("wide"), (F.col("xmin") + F.col("xmax")) / 2).otherwise((F.col("ymin") + F.col("ymax")) / 2)
     reverse = F.when(F.col("wide"), F.col("rev_x")).otherwise(F.col("rev_y"))
     big = big.withColumn("__key", F.when(reverse, -center).otherwise(center))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.expr import bbox_intersects, lit
+from lodestrata.operators.assign import global_rank
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -31,9 +32,17 @@ def hits(footer: DataFrame, queries: DataFrame) -> DataFrame:
     return f.join(q, meets)
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """AGG-07: element int(p (n - 1)) of the sorted values, an array column."""
-    return F.element_at(F.array_sort(values), F.floor(lit(p) * (F.size(values) - 1)).cast("int") + 1)
+def lower_percentiles(rows: DataFrame, wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """AGG-07: one row with, for each name, element int(p (n - 1)) of a column's sorted values, nulls left out.
+
+    Values are numbered in sorted, counted ranges; no task sees them all.
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*").where("v IS NOT NULL")
+    at = global_rank(long, [F.asc("v")], "at", ["name"])
+    n = {r["name"]: r.n for r in at.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    here = lambda c, p: (F.col("name") == c) & (F.col("at") == int(p * (n.get(c, 0) - 1)))
+    return at.agg(*(F.max(F.when(here(c, p), F.col("v"))).alias(k) for k, (c, p) in wanted.items()))
 
 
 def selectivity(hit: DataFrame, queries: DataFrame) -> DataFrame:
@@ -47,8 +56,10 @@ def shape_stats(footer: DataFrame) -> DataFrame:
     w, h = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
     floor = lit(1e-12)
     aspect = F.greatest(F.greatest(w, floor) / F.greatest(h, floor), F.greatest(h, floor) / F.greatest(w, floor))
-    lists = footer.where("xmin IS NOT NULL").select((w * h).alias("area"), aspect.alias("aspect")).agg(F.sum("area").alias("area_sum"), F.collect_list("area").alias("a"), F.collect_list("aspect").alias("b"))
-    return lists.select("area_sum", nearest_rank(F.col("a"), 0.5).alias("area_median"), nearest_rank(F.col("a"), 0.95).alias("area_p95"), nearest_rank(F.col("b"), 0.5).alias("aspect_median"), nearest_rank(F.col("b"), 0.95).alias("aspect_p95"), F.array_max("b").alias("aspect_max"))
+    shapes = footer.where("xmin IS NOT NULL").select((w * h).alias("area"), aspect.alias("aspect"))
+    total = shapes.agg(F.sum("area").alias("area_sum")).first().area_sum
+    wanted = {"area_median": ("area", 0.5), "area_p95": ("area", 0.95), "aspect_median": ("aspect", 0.5), "aspect_p95": ("aspect", 0.95), "aspect_max": ("aspect", 1.0)}
+    return lower_percentiles(shapes, wanted).select(F.lit(total).cast("double").alias("area_sum"), *wanted)
 
 
 def contiguity(hit: DataFrame) -> DataFrame:

@@ -5,28 +5,33 @@ Derived sources: G1 points (events), G2 lines (one for each user), G3 rectangles
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import expr as X
+from lodestrata.functions import topology
+from lodestrata.functions.geoarrow import to_ipc, to_table
 from lodestrata.functions.geojson import display, feature_json, geometry_json
 from lodestrata.functions.overview import Grid, overview_parts
-from lodestrata.functions.wkb import to_wkb, wkb_bbox, wkb_geometry
+from lodestrata.functions.wkb import parse, to_wkb, wkb_bbox, wkb_geometry
 from lodestrata.operators import assign as A
 from lodestrata.operators import levels as L
 from lodestrata.operators import limits as M
+from lodestrata.operators import pages as P
 from lodestrata.operators import stats as S
+from lodestrata.operators.assign import global_rank
 from lodestrata.operators.pack import chunks, pack
 from lodestrata.operators.project import project
 from lodestrata.operators.spatial_join import bbox_join
 from lodestrata.plans import tiles as T
 from lodestrata.plans.convert import Options, convert
 from lodestrata.plans.validate import check
-from lodestrata.sources.reader import LodTable
+from lodestrata.sources.reader import LodFolder, LodTable
+from lodestrata.sources.shared import deleted, shared_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,9 +40,10 @@ ORACLES: dict[str, str] = {}
 LADDER = (8.0, 4.0, 2.0, 1.0, 0.5)
 ODD_LADDER = (50.0, 17.0, 6.0, 2.1, 0.7)
 BOX = (-20.0, -15.0, 40.0, 30.0)
-LEVELS = ((0, 1, 1000.0), (1, 4, 100.0), (2, 9, 10.0))
-TARGETS = (1e9, 1000.0, 500.0, 100.0, 50.0, 10.0, 1.0)
-LODS = (("l0", (0,)), ("l1", (1, 2)))
+#: The second level has no row group of its own.
+LEVELS = ((0, 2, 640.0), (1, 2, 160.0), (2, 7, 40.0), (3, 12, 2.5))
+TARGETS = (1e6, 640.0, 639.0, 160.0, 97.0, 40.0, 12.0, 2.5, 0.3)
+LODS = (("coarse", (0, 1)), ("fine", (2, 3)))
 BOXES = tuple((q, -180.0 + 60 * q, -85.0 + 20 * q, -180.0 + 60 * q + w, -85.0 + 20 * q + w) for q, w in enumerate((3.0, 10.0, 30.0, 60.0, 90.0, 500.0)))
 
 
@@ -185,7 +191,7 @@ def viewport_bbox(spark, sf_dir):
 SELECT target::DOUBLE AS target, s.level::INT AS level, l.row_group_end::BIGINT AS row_group_end FROM (
   SELECT target, coalesce(max(level) FILTER (WHERE resolution >= target), 0) AS level FROM t, levels GROUP BY target) s JOIN levels l USING (level)""")
 def level_select(spark, sf_dir):
-    """LVL-01/LVL-04/LVL-07."""
+    """LVL-01/LVL-04."""
     return L.select_level(level_table(spark), values(spark, [(t,) for t in TARGETS], "target double"))
 
 
@@ -196,7 +202,7 @@ def level_row_groups(spark, sf_dir):
     return L.level_row_groups(level_table(spark))
 
 
-LODS_SQL = "lods(lod, level) AS (VALUES ('l0', 0), ('l1', 1), ('l1', 2))"
+LODS_SQL = "lods(lod, level) AS (VALUES " + ", ".join(f"('{n}', {i})" for n, of in LODS for i in of) + ")"
 
 
 @register(f"WITH {LEVELS_SQL}, {LODS_SQL} SELECT lod, max(row_group_end)::BIGINT AS row_group_end FROM levels JOIN lods USING (level) GROUP BY lod")
@@ -207,7 +213,7 @@ def lod_boundary(spark, sf_dir):
 
 @register(f"WITH {G1_SQL} SELECT fid, CASE WHEN fid < 100 THEN 0 WHEN fid < 700 THEN 1 WHEN fid < 3000 THEN 2 ELSE 3 END::INT AS level FROM g1")
 def row_to_level(spark, sf_dir):
-    """LVL-09/LVL-10/JOI-05/JOI-08."""
+    """LVL-09/LVL-10/JOI-05."""
     ends = values(spark, [(0, 0, 100), (1, 100, 700), (2, 700, 3000), (3, 3000, 2**62)], "level int, row_start long, row_end long")
     return L.row_to_level(g1(spark, sf_dir).select(F.col("fid").alias("row_index")), ends).select(F.col("row_index").alias("fid"), "level")
 
@@ -502,8 +508,8 @@ def gap_clusters(spark, sf_dir):
 @register(f"WITH {G3_SQL}, v AS (SELECT list_sort(list((xmax - xmin) * (ymax - ymin))) AS a FROM g3) SELECT a[floor(0.95e0 * (len(a) - 1))::BIGINT + 1] AS p95, a[floor(0.5e0 * (len(a) - 1))::BIGINT + 1] AS p50 FROM v")
 def p95_lower(spark, sf_dir):
     """AGG-07."""
-    v = g3(spark, sf_dir).agg(F.collect_list((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("a"))
-    return v.select(S.nearest_rank(F.col("a"), 0.95).alias("p95"), S.nearest_rank(F.col("a"), 0.5).alias("p50"))
+    v = g3(spark, sf_dir).select(((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("a"))
+    return S.lower_percentiles(v, {"p95": ("a", 0.95), "p50": ("a", 0.5)})
 
 
 @register(f"""WITH {RG_SQL}, s AS (SELECT (xmax - xmin) * (ymax - ymin) AS area, greatest((xmax - xmin) / (ymax - ymin), (ymax - ymin) / (xmax - xmin)) AS aspect FROM f), l AS (SELECT sum(area) AS area_sum, list_sort(list(area)) AS a, list_sort(list(aspect)) AS b FROM s)
@@ -513,6 +519,10 @@ def rowgroup_shape(spark, sf_dir):
     return S.shape_stats(footer_of(spark, sf_dir)).withColumn("area_sum", F.round("area_sum", 6))
 
 
+def byte_ranges(spark, sf_dir) -> DataFrame:
+    return source(spark, sf_dir, "orders").selectExpr("o_custkey % 7 AS k", "(o_orderkey * 977) % 1000000 AS start", "(o_orderkey * 977) % 1000000 + 40 + o_custkey % 90 AS stop")
+
+
 RANGE_SQL = "r AS (SELECT o_custkey % 7 AS k, (o_orderkey * 977) % 1000000 AS start, (o_orderkey * 977) % 1000000 + 40 + o_custkey % 90 AS stop FROM orders)"
 
 
@@ -521,8 +531,50 @@ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 64 THEN 1 ELSE 0
 SELECT k, min(start) AS start, max(stop) AS stop, count(*) AS n FROM g GROUP BY k, part""")
 def range_merge(spark, sf_dir):
     """IO-01/SET-02."""
-    o = source(spark, sf_dir, "orders").selectExpr("o_custkey % 7 AS k", "(o_orderkey * 977) % 1000000 AS start", "(o_orderkey * 977) % 1000000 + 40 + o_custkey % 90 AS stop")
-    return S.merge_ranges(o, 64, ["k"])
+    return S.merge_ranges(byte_ranges(spark, sf_dir), 64, ["k"])
+
+
+PAGE_SQL = f"{G3_SQL}, p AS (SELECT *, floor((row_number() OVER (ORDER BY fid) - 1) / 1000)::BIGINT AS rg, ((row_number() OVER (ORDER BY fid) - 1) % 1000)::BIGINT AS row FROM g3)"
+
+
+def paged(spark, sf_dir) -> DataFrame:
+    """Rectangles with their row group of a thousand and their row in it."""
+    rows = global_rank(g3(spark, sf_dir), [F.asc("fid")], "at")
+    return rows.withColumns({"rg": F.floor(F.col("at") / 1000), "row": F.col("at") % 1000})
+
+
+@register(f"""WITH {PAGE_SQL}, a AS (SELECT rg, row // 100 AS page, min(row) AS f, max(row) AS l FROM p GROUP BY 1, 2), b AS (SELECT rg, row // 130 AS page, min(row) AS f, max(row) AS l FROM p GROUP BY 1, 2)
+SELECT a.rg, a.page AS covering_page, b.page AS other_page FROM a JOIN b ON a.rg = b.rg AND a.f <= b.l AND a.l >= b.f""")
+def page_overlap(spark, sf_dir):
+    """JOI-08/INS-02: pages of 100 rows of one column against pages of 130 of another."""
+    rows = paged(spark, sf_dir).select("rg", "row")
+    return P.page_overlap(P.pages_of(rows, 100), P.pages_of(rows, 130))
+
+
+@register(f"""WITH {PAGE_SQL}, k AS (SELECT rg, row, row - row_number() OVER (PARTITION BY rg ORDER BY row) AS island FROM p WHERE xmax >= -90 AND xmin <= 120)
+SELECT rg, min(row) AS start, max(row) + 1 AS stop FROM k GROUP BY rg, island""")
+def selection_ranges(spark, sf_dir):
+    """FLT-06: runs of selected rows in each row group."""
+    return P.selection_ranges(paged(spark, sf_dir).select("rg", "row", ((F.col("xmax") >= -90) & (F.col("xmin") <= 120)).alias("kept")))
+
+
+@register(f"""WITH RECURSIVE {RANGE_SQL}, d AS (SELECT DISTINCT k, start, stop FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY start, stop) AS i FROM d),
+s AS (SELECT k, i, start AS b, stop AS e, 0::BIGINT AS waste FROM o WHERE i = 1 UNION ALL
+  SELECT o.k, o.i, CASE WHEN j THEN b ELSE start END, CASE WHEN j THEN greatest(e, stop) ELSE stop END, CASE WHEN j THEN waste + greatest(0, start - e) ELSE 0 END
+  FROM (SELECT o.*, s.b, s.e, s.waste, greatest(0, o.start - s.e) <= 64 AND s.waste + greatest(0, o.start - s.e) <= 200 AND greatest(s.e, o.stop) - s.b <= 2000 AS j FROM s JOIN o ON o.k = s.k AND o.i = s.i + 1) o)
+SELECT k, b AS start, max(e)::BIGINT AS stop, count(*) AS n FROM s GROUP BY k, b""")
+def range_budgets(spark, sf_dir):
+    """IO-01: requests by gap, extra bytes and size."""
+    return P.coalesce_ranges(byte_ranges(spark, sf_dir).distinct(), 64, 200, 2000, "k")
+
+
+@register(f"""WITH {RANGE_SQL}, m AS (SELECT *, max(stop) OVER (PARTITION BY k ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 64 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS part FROM m)
+SELECT DISTINCT k, start, stop, request, start - request AS "offset" FROM (SELECT *, min(start) OVER (PARTITION BY k, part) AS request FROM g) x""")
+def range_slices(spark, sf_dir):
+    """IO-02: where each range lies in the merged one."""
+    r = byte_ranges(spark, sf_dir).distinct()
+    return P.slices_of(r, S.merge_ranges(r, 64, ["k"]), "k")
 
 
 @register(f"WITH {RG_SQL.replace('rn / 1000', 'rn / 100')} SELECT rg, rows, xmin, ymin, xmax, ymax FROM f WHERE {IN_BOX}")
@@ -563,12 +615,12 @@ def lod_meta_check(spark, sf_dir):
     return L.check_lods(levels, lods).withColumn("n_lods", F.col("n_lods").cast("int"))
 
 
-@register(f"""WITH {G3_SQL}, a AS (SELECT * FROM g3 WHERE fid % 10 = 0), b AS (SELECT * FROM g3 WHERE fid % 10 = 3)
-SELECT a.fid AS l_fid, b.fid AS r_fid FROM a JOIN b ON a.xmax >= b.xmin AND a.xmin <= b.xmax AND a.ymax >= b.ymin AND a.ymin <= b.ymax""")
+@register(f"""WITH {G1_SQL}, {G3_SQL}
+SELECT g1.fid AS l_fid, g3.fid AS r_fid FROM g1 JOIN g3 ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax""")
 def bbox_spatial_join(spark, sf_dir):
-    """JOI-06: every tenth rectangle against every tenth other."""
-    r = g3(spark, sf_dir)
-    return bbox_join(r.where("fid % 10 = 0"), r.where("fid % 10 = 3"), 4.0).select("l_fid", "r_fid")
+    """JOI-06: all points against all rectangles."""
+    p = g1(spark, sf_dir).select("fid", F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
+    return bbox_join(p, g3(spark, sf_dir), 4.0).select("l_fid", "r_fid")
 
 
 @register(f"""WITH {G3_SQL}
@@ -587,26 +639,27 @@ def geo(kind: str) -> dict:
 
 
 def converted(spark, rows: DataFrame, kind: str, o: Options) -> str:
-    """A file in a folder that is the driver's own: inputs of these queries are small tables."""
-    folder = tempfile.mkdtemp(prefix="lodestrata-query-")
-    path = f"{folder}/layout.parquet"
+    """A file, or a folder of them, in the folder that driver and executors share."""
+    path = shared_path(spark, "layout") + (".parquet" if o.files == 1 else "")
     convert(rows, path, geo(kind), o).count()
     return path
 
 
 def taken(df: DataFrame, path: str) -> DataFrame:
-    """The rows of a query over a temporary file, which then goes."""
-    from lodestrata.sources.shared import written
-
+    """The rows of a query over a converted file, which then goes."""
     out = written(df, "result")
-    shutil.rmtree(path.rsplit("/", 1)[0], ignore_errors=True)
+    deleted(df.sparkSession, path)
     return out
 
 
+def g1_wkb(spark, sf_dir) -> DataFrame:
+    return g1(spark, sf_dir).withColumn("geometry", to_wkb(F.lit(1), F.array(F.array(F.array(F.struct("x", "y"))))))
+
+
 @register(f"WITH {G1_SQL} SELECT fid AS id, x, y, event_type FROM g1")
 def convert_roundtrip(spark, sf_dir):
     """SNK-01..SNK-12, SRC-01..SRC-11: points through a file and back, nothing lost."""
-    p = g1(spark, sf_dir).withColumn("geometry", to_wkb(F.lit(1), F.array(F.array(F.array(F.struct("x", "y")))))).select("fid", F.col("fid").alias("id"), "event_type", "priority", "geometry")
+    p = g1_wkb(spark, sf_dir).select("fid", F.col("fid").alias("id"), "event_type", "priority", "geometry")
     path = converted(spark, p, "Point", Options(LADDER, row_group_size=1000, page_rows=100, min_root_features=64, priority="priority"))
     t = LodTable.open(spark, path)
     at = F.col("geometry.parts")[0][0][0]
@@ -616,7 +669,7 @@ def convert_roundtrip(spark, sf_dir):
 @register(f"{thin_sql(LADDER).replace('SELECT h1.fid,', 'SELECT h1.fid, h1.x, h1.y,')}".replace("WITH ", "WITH z AS (WITH ", 1) + f") SELECT fid AS id, x, y FROM z WHERE level <= 2 AND x BETWEEN {BOX[0]}e0 AND {BOX[2]}e0 AND y BETWEEN {BOX[1]}e0 AND {BOX[3]}e0")
 def viewport_read(spark, sf_dir):
     """The flagship: thin, pack, write, then read a viewport at a resolution. SRC-11/LVL-01/FLT-09/LIM-01."""
-    p = g1(spark, sf_dir).withColumn("geometry", to_wkb(F.lit(1), F.array(F.array(F.array(F.struct("x", "y")))))).select("fid", F.col("fid").alias("id"), "x", "y", "priority", "geometry")
+    p = g1_wkb(spark, sf_dir).select("fid", F.col("fid").alias("id"), "x", "y", "priority", "geometry")
     path = converted(spark, p, "Point", Options(LADDER, row_group_size=200, page_rows=50, min_root_features=1, priority="priority"))
     t = LodTable.open(spark, path)
     return taken(t.read(t.select_level(2.0), BOX, ["id", "x", "y"], geometry=False).drop("row_index"), path)
@@ -630,6 +683,75 @@ def file_bbox_scan(spark, sf_dir):
     return taken(t.scan().where(X.bbox_intersects(*(F.col(f"bbox.{c}") for c in S.BOX), BOX)).select("id"), path)
 
 
+FILES_OPTIONS = Options(LADDER, row_group_size=300, page_rows=50, min_root_features=1, priority="priority", files=4)
+
+
+@register(f"{thin_sql(LADDER).replace('SELECT h1.fid,', 'SELECT h1.fid, h1.x, h1.y,')}".replace("WITH ", "WITH z AS (WITH ", 1) + f") SELECT fid AS id, x, y FROM z WHERE level <= 3 AND x BETWEEN {BOX[0]}e0 AND {BOX[2]}e0 AND y BETWEEN {BOX[1]}e0 AND {BOX[3]}e0")
+def multi_file_read(spark, sf_dir):
+    """SRC-09/SRC-11/LVL-05: a layout of several files, of which a viewport reads each one's level prefix."""
+    p = g1_wkb(spark, sf_dir).select("fid", F.col("fid").alias("id"), "x", "y", "priority", "geometry")
+    path = converted(spark, p, "Point", FILES_OPTIONS)
+    t = LodFolder.open(spark, path)
+    return taken(t.read(t.select_level(1.0), BOX, ["id", "x", "y"], geometry=False).drop("row_index"), path)
+
+
+@register(f"WITH {G1_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY fid) - 1 AS row_index, count(*) OVER () AS n FROM g1) SELECT row_index, fid AS id, event_type FROM n WHERE row_index IN (0, n // 3, n - 1)")
+def point_lookup(spark, sf_dir):
+    """SRC-12: single rows by their absolute index, of a file whose only node keeps the source order."""
+    p = g1_wkb(spark, sf_dir).select("fid", F.col("fid").alias("id"), "event_type", "geometry")
+    path = converted(spark, p, "Point", Options((1.0,), row_group_size=10_000_000, page_rows=10_000_000))
+    t = LodTable.open(spark, path)
+    n = t.md.num_rows
+    rows = [t.read_row(i, ["id", "event_type"]) for i in sorted({0, n // 3, n - 1})]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return taken(out, path)
+
+
+@register(f"WITH {G1_SQL} SELECT fid, x, y, event_type, 'geoarrow.point' AS kind FROM g1")
+def geoarrow(spark, sf_dir):
+    """SNK-16/SNK-17/GEO-35/GEO-36: points as GeoArrow streams and back."""
+    rows = g1_wkb(spark, sf_dir).select("fid", "event_type", "geometry")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                table = to_table([parse(w) for w in b.column(2).to_pylist()], pa.table({"event_type": b.column(1)}), b.column(0).to_pylist(), "fid")
+                back = pa.ipc.open_stream(to_ipc(table)).read_all()
+                xy = back.column("geometry").combine_chunks().flatten().to_numpy().reshape(len(back), -1)
+                kind = back.schema.field("geometry").metadata[b"ARROW:extension:name"].decode()
+                yield pa.record_batch([back.column("fid").combine_chunks(), pa.array(xy[:, 0]), pa.array(xy[:, 1]), back.column("event_type").combine_chunks(), pa.array([kind] * len(back))], names=["fid", "x", "y", "event_type", "kind"])
+
+    return rows.mapInArrow(run, "fid long, x double, y double, event_type string, kind string")
+
+
+@register("""WITH r AS (SELECT o_orderkey AS fid, 10 + o_orderkey % 17 AS s, o_custkey % 23 AS dx, o_orderkey % 13 AS dy, 5 + o_custkey % 11 AS t FROM orders),
+i AS (SELECT *, greatest(0, least(s, dx + t) - dx) * greatest(0, least(s, dy + t) - dy) AS both FROM r)
+SELECT fid, (s * s + t * t - both)::DOUBLE AS union_area, (s * s - both)::DOUBLE AS difference_area FROM i""")
+def overlay_area(spark, sf_dir):
+    """GEO-26/SET-03: areas of the union of two squares, and of one with the other as a hole."""
+    o = source(spark, sf_dir, "orders").selectExpr("o_orderkey AS fid", "10 + o_orderkey % 17 AS s", "o_custkey % 23 AS dx", "o_orderkey % 13 AS dy", "5 + o_custkey % 11 AS t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+        area = lambda made: sum(abs(topology.area2(p[0])) - sum(abs(topology.area2(h)) for h in p[1:]) for p in made) / 2
+        for b in batches:
+            pairs = [(square(0, 0, s), square(x, y, t)) for _, s, x, y, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.record_batch([b.column(0), pa.array([area(topology.normalize([[p], [q]])) for p, q in pairs], pa.float64()), pa.array([area(topology.normalize([[p, q]])) for p, q in pairs], pa.float64())], names=["fid", "union_area", "difference_area"])
+
+    return o.mapInArrow(run, "fid long, union_area double, difference_area double")
+
+
+@register(f"{thin_sql(LADDER)}".replace("WITH ", "WITH z AS (WITH ", 1) + ") SELECT level, count(*) AS rows FROM z GROUP BY level")
+def file_levels(spark, sf_dir):
+    """LVL-09/AGG-04/SRC-16: rows of a converted file by the level that their place in it tells."""
+    p = g1_wkb(spark, sf_dir).select("fid", F.col("fid").alias("id"), "priority", "geometry")
+    path = converted(spark, p, "Point", Options(LADDER, row_group_size=500, page_rows=100, min_root_features=1, priority="priority"))
+    t = LodTable.open(spark, path)
+    return taken(t.row_levels(t.read(columns=["id"], geometry=False)).groupBy("level").agg(F.count("*").alias("rows")), path)
+
+
 def overview_summary(rows: DataFrame, resolution: float) -> DataFrame:
     parts = overview_parts(F.col("geometry"), Grid.of(resolution))
     out = rows.select("fid", parts.alias("p"))
@@ -655,17 +777,25 @@ def validate_overviews(spark, sf_dir):
     """VAL-01..VAL-13, SNK-13: multipolygons with overviews convert to a valid file."""
     path = converted(spark, g4_wkb(spark, sf_dir).select("fid", F.col("fid").alias("id"), "geometry"), "MultiPolygon", Options(LADDER, row_group_size=500, page_rows=100, min_root_features=64))
     r = check(spark, path)
-    shutil.rmtree(path.rsplit("/", 1)[0], ignore_errors=True)
+    deleted(spark, path)
     return values(spark, [(len(r.errors), len(r.warnings), r.overviews_validated)], "errors long, warnings long, overviews_validated boolean")
 
 
-@register()
+@register(f"""WITH {G2_SQL}, b AS (SELECT fid, max(x) - min(x) AS w, max(y) - min(y) AS h, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM g2 GROUP BY fid), v AS (SELECT *, {visible_sql(1.0)} AS level FROM b)
+SELECT fid AS id, 5::TINYINT AS type, true AS near FROM v WHERE level <= 2""")
 def overview_read(spark, sf_dir):
-    """SRC-11 with useOverview: dequantized renderings at a coarse level."""
-    path = converted(spark, g4_wkb(spark, sf_dir).select("fid", F.col("fid").alias("id"), "geometry"), "MultiPolygon", Options(LADDER, row_group_size=500, page_rows=100, min_root_features=64))
+    """SRC-11/GEO-05/PRJ-07/LVL-14 with useOverview: the rows of a level prefix with that level's dequantized
+    renderings, whose boxes lie within a cell and the tolerance of the lines' own."""
+    lines = g2_lines(spark, sf_dir)
+    rows = lines.select("fid", F.col("fid").alias("id"), to_wkb(F.lit(2), F.array(F.array("line"))).alias("geometry"))
+    path = converted(spark, rows, "LineString", Options(LADDER, row_group_size=50, page_rows=10, min_root_features=1, line_factor=1.0))
     t = LodTable.open(spark, path)
     df = t.read(t.select_level(2.0), None, ["id"], use_overview=True)
-    return taken(df.select("row_index", "id", F.size("geometry.parts").alias("n_parts")), path)
+    ends = lambda p, c, f: f(F.transform(p, lambda q: q[c]))
+    shown = df.select("id", "geometry.type", F.flatten(F.flatten("geometry.parts")).alias("p"))
+    both = shown.join(lines.select(F.col("fid").alias("id"), "line"), "id")
+    close = [F.abs(ends(F.col("p"), c, f) - ends(F.col("line"), c, f)) <= 2.0 for c in "xy" for f in (F.array_min, F.array_max)]
+    return taken(both.select("id", "type", (close[0] & close[1] & close[2] & close[3]).alias("near")), path)
 
 
 @register()

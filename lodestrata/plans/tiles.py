@@ -80,7 +80,7 @@ def tiles_of_boxes(rows: DataFrame, z: int) -> DataFrame:
     return out.drop("__lo", "__hi")
 
 
-def render_tiles(rows: DataFrame, z: int, properties: Sequence[str], name: str = "layer", order: str = "row_index", spread: int = 16) -> DataFrame:
+def render_tiles(rows: DataFrame, z: int, properties: Sequence[str], name: str = "layer", order: str = "row_index") -> DataFrame:
     """SNK-15/GEO-33/GEO-38: (z, tile_x, tile_y, tile) from rows (row_index, geometry, properties, tile_x, tile_y).
 
     All rows are rendered; a tile is one value, so where tiles may grow too large, limit rows first (per_tile).
@@ -97,16 +97,15 @@ def render_tiles(rows: DataFrame, z: int, properties: Sequence[str], name: str =
 
 
 def render_tile(spark: SparkSession, url: str, tables: dict[str, LodTable]) -> bytes:
-    """FN-03/FN-04: bytes of one tile of a URL; tables keeps opened files, the last eight."""
+    """FN-03: bytes of one tile of a URL; tables keeps opened files, the eight last used. Rows of the tile come to the driver one partition at a time."""
     layers, z, x, y = parse_tile_url(url)
     box, resolution = tile_window(z, x, y)
     out = b""
     for one in layers:
-        if one["url"] not in tables:
-            while len(tables) >= 8:
-                tables.pop(next(iter(tables)))
-            tables[one["url"]] = LodTable.open(spark, one["url"])
-        t = tables[one["url"]]
+        t = tables.pop(one["url"], None) or LodTable.open(spark, one["url"])
+        tables[one["url"]] = t  # JOI-09: the last used stands last
+        while len(tables) > 8:
+            tables.pop(next(iter(tables)))
         props = one.get("properties")
         df = t.read(t.select_level(resolution), box, props, use_overview=True, max_rows=one.get("max_rows"))
         names = [c for c in df.columns if c not in ("row_index", "geometry")]

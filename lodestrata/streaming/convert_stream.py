@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lodestrata.plans.convert import Options, convert
+from lodestrata.sources.shared import removed, written
 
 
 def convert_stream(stream: DataFrame, folder: str, geo: dict, options: Options = Options()) -> DataStreamWriter:
@@ -18,11 +19,11 @@ def convert_stream(stream: DataFrame, folder: str, geo: dict, options: Options =
 
     def one(batch: DataFrame, number: int) -> None:
         rows = batch if "fid" in batch.columns else batch.withColumn("fid", F.monotonically_increasing_id())
-        rows = rows.persist()  # ids must not change between the passes of one batch
+        rows = written(rows, "batch")  # ids must not change between the passes of one batch, whatever executors are lost
         try:
             if not rows.isEmpty():
                 convert(rows, f"{folder.rstrip('/')}/batch-{number:08d}.parquet", geo, options)
         finally:
-            rows.unpersist()
+            removed(rows)
 
     return stream.writeStream.foreachBatch(one)

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from lodestrata.functions.mvt import decode
 from lodestrata.functions.register import register
 from lodestrata.functions.wkb import Geometry, write
 from lodestrata.operators import assign as A
+from lodestrata.operators import stats as S
 from lodestrata.operators.limits import first_rows, per_tile, read_budget
 from lodestrata.operators.pack import pack, str_order
 from lodestrata.operators.project import PathError, project
@@ -19,7 +22,9 @@ from lodestrata.plans import queries
 from lodestrata.plans.convert import Options, convert, convert_file
 from lodestrata.plans.tiles import parse_tile_url, render_tile, tile_url
 from lodestrata.plans.validate import check
-from lodestrata.sources.reader import LodTable
+from lodestrata.sources.datasource import plain, pruned, read_row_groups
+from lodestrata.sources.meta import MetaError
+from lodestrata.sources.reader import LodFolder, LodTable
 from lodestrata.streaming.convert_stream import convert_stream
 
 
@@ -32,45 +37,77 @@ def levels(df):
     return [r.level for r in df.orderBy("fid").collect()]
 
 
-def test_thinning(spark):
-    assert levels(A.thin_points(points(spark, [(0, 0, 0), (1000, 1000, 0)]), [100.0, 50.0], 1)) == [0, 0]
-    assert sorted(levels(A.thin_points(points(spark, [(10, 10, 0), (20, 20, 0)]), [100.0, 10.0], 1))) == [0, 1]
-    assert levels(A.thin_points(points(spark, [(10, 10, 1), (20, 20, 5)]), [100.0, 10.0], 1)) == [1, 0]
+def hashed(row):
+    h = row * 0x9E3779B97F4A7C15 % 2**64
+    return h ^ (h >> 30)
 
 
-def test_thinning_does_not_depend_on_partitions_or_form(spark):
-    rows = [((37 * i % 512) / 3, (71 * i % 512) / 3, 17 * i % 23) for i in range(257)]
-    want = levels(A.thin_points(points(spark, rows), [100.0, 25.0, 5.0, 1.0], 1))
-    assert levels(A.thin_points(points(spark, rows).repartition(7), [100.0, 25.0, 5.0, 1.0], 1)) == want
-    nested = levels(A.thin_points(points(spark, rows), [64.0, 16.0, 4.0, 1.0], 1))
-    assert levels(A.thin_points(points(spark, rows), [64.0, 16.0, 4.0, 1.0], 1, force_general=True)) == nested
+def thinned(rows, ladder, factor):
+    """Level by level: the best point that is left of each cell without a point."""
+    level = {}
+    for k, r in enumerate(ladder[:-1]):
+        cell = lambda i, pitch=r * factor: (math.floor(rows[i][0] / pitch), math.floor(rows[i][1] / pitch))
+        full, best = {cell(i) for i in level}, {}
+        for i in range(len(rows)):
+            if i not in level and cell(i) not in full:
+                best[cell(i)] = max(best.get(cell(i), -1), i, key=lambda i: (rows[i][2], hashed(i), i) if i >= 0 else (-1,))
+        level |= dict.fromkeys(best.values(), k)
+    return [level.get(i, len(ladder) - 1) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("ladder", [[32.0, 8.0, 4.0, 0.5], [90.0, 31.0, 7.0, 2.0], [5.0]])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_thinning_equals_brute_force(spark, ladder, seed):
+    rng = random.Random(seed)
+    rows = [(rng.uniform(-150, 150), rng.uniform(-150, 150), rng.randrange(6)) for _ in range(180)]
+    want = thinned(rows, ladder, 1.5)
+    assert levels(A.thin_points(points(spark, rows), ladder, 1.5)) == want
+    assert levels(A.thin_points(points(spark, rows).repartition(5), ladder, 1.5, force_general=True)) == want
 
 
 def test_visibility(spark):
-    df = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 1.0), (1, -15.0, -15.0, 25.0, 25.0), (2, 3.0, 3.0, 3.0, 3.0), (3, None, None, None, None)], "fid long, xmin double, ymin double, xmax double, ymax double")
-    got = df.select("fid", X.visible_level(F.lit(2), [F.col(c) for c in A.BOX], [10.0, 0.5, 0.1]).alias("level"))
-    assert levels(got) == [2 if 2 < 4 * 0.5**2 * 4 else 1, 0, 0, 2] or levels(got)[1:] == [0, 0, 2]
+    rng = random.Random(6)
+    boxes = [(x, y, x + rng.choice([0, 0.3, 2, 30]), y + rng.choice([0, 0.2, 1, 9])) for x, y in ((rng.uniform(-50, 50), rng.uniform(-50, 50)) for _ in range(60))]
+    df = spark.createDataFrame([*((i, *b) for i, b in enumerate(boxes)), (60, None, None, None, None)], "fid long, xmin double, ymin double, xmax double, ymax double")
+    ladder, factor = [7.0, 0.9, 0.06], 3.0
+    got = df.select("fid", X.visible_level(F.lit(2), [F.col(c) for c in A.BOX], ladder, 4.0, factor).alias("level"))
+    size = [(b[2] - b[0]) ** 2 + (b[3] - b[1]) ** 2 for b in boxes]
+    want = [next((k for k, r in enumerate(ladder) if d >= (factor * r) ** 2), 2) if d > 0 else 0 for d in size]
+    assert levels(got)[:60] == want
 
 
 def test_ranks(spark):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate([10, None, 30, 20])], "fid long, v int")
+    values = [7, 3, None, 7, 12, -4, 3]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "fid long, v int")
     rank = lambda d: [r["rank"] for r in A.priority_rank(df, "v", d).orderBy("fid").collect()]
-    assert rank(True) == [1, 0, 3, 2] and rank(False) == [3, 0, 1, 2]
+    for down in (True, False):
+        order = sorted({v for v in values if v is not None}, reverse=not down)
+        assert rank(down) == [0 if v is None else order.index(v) + 1 for v in values]
     with pytest.raises(ValueError):
         A.priority_rank(df.withColumn("v", F.struct("v")), "v")
 
 
-def test_folding(spark):
-    fold = lambda rows, n, m: levels(A.fold_root(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "fid long, level int"), n, m))
-    assert fold([0, 0, 2, 2, 3, 4], 5, 4) == [2, 2, 2, 2, 3, 4]
-    assert fold([0, 1, 1], 5, 2048) == [4, 4, 4] and fold([1, 1, 3], 4, 1) == [1, 1, 3]
+@pytest.mark.parametrize("rows, n, least", [([3, 1, 1, 5, 3, 3], 6, 3), ([0, 4], 5, 100), ([2, 2], 3, 2), ([1, 0, 2], 3, 1)])
+def test_folding(spark, rows, n, least):
+    got = levels(A.fold_root(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "fid long, level int"), n, least))
+    root = next((k for k in range(n) if sum(x <= k for x in rows) >= least), n - 1)
+    assert got == [max(x, root) for x in rows]
 
 
 def test_packing():
     rng = np.random.default_rng(1)
-    box = np.repeat(rng.random((17, 2)), 2, axis=0).reshape(17, 4)
-    assert sorted(str_order(box, np.arange(17), 10, False, True)) == list(range(17))
-    assert list(str_order(box[:5], np.arange(5), 10, False, True)) == list(range(5))
+    box = np.repeat(rng.random((53, 2)), 2, axis=0).reshape(53, 4)
+    assert sorted(str_order(box, np.arange(53), 8, False, True)) == list(range(53))
+    assert list(str_order(box[:7], np.arange(7), 8, False, True)) == list(range(7))
+
+
+def test_percentiles_are_elements(spark):
+    rng = random.Random(3)
+    values = [rng.choice([None, rng.random(), 0.5]) for _ in range(101)]
+    some = sorted(v for v in values if v is not None)
+    out = S.lower_percentiles(spark.createDataFrame([(v, 1.0) for v in values], "v double, w double"), {"a": ("v", 0.5), "b": ("v", 0.95), "c": ("w", 1.0)}).first()
+    assert tuple(out) == (some[int(0.5 * (len(some) - 1))], some[int(0.95 * (len(some) - 1))], 1.0)
+    assert S.lower_percentiles(spark.createDataFrame([], "v double"), {"a": ("v", 0.5)}).first().a is None
 
 
 def test_packing_distributed_equals_local(spark):
@@ -247,3 +284,76 @@ def test_mvt_tiles_render_every_point(spark, monkeypatch, tmp_path):
     got = {(r.tile_x, r.tile_y): bytes(r.tile) for r in tiles[0].collect()}
     seen = sorted(f["id"] for t in got.values() for f in decode(t)["events"]["features"])
     assert seen == list(range(n)) and sizes == {k: len(v) for k, v in got.items()}
+
+
+def lines_file(spark, tmp_path, files=1):
+    rng = random.Random(17)
+    rows = []
+    for i in range(60):
+        x, y, n = rng.uniform(-80, 80), rng.uniform(-60, 60), rng.randint(2, 9)
+        line = np.array([(x + k * rng.uniform(0.1, 4), y + rng.uniform(-2, 2)) for k in range(n)])
+        rows.append((i, i, f"n{i}", write(Geometry(2, [[line]]))))
+    df = spark.createDataFrame(rows, "fid long, id long, name string, geometry binary").withColumn("tags", F.struct(F.col("name").alias("a"), F.col("id").alias("b")))
+    path = str(tmp_path / ("lines.parquet" if files == 1 else "lines"))
+    convert(df, path, geo("LineString"), Options((8.0, 2.0, 0.5), row_group_size=7, page_rows=2, min_root_features=1, line_factor=1.0, files=files)).count()
+    return path
+
+
+def test_an_overview_read_fetches_one_rendering(spark, tmp_path):
+    t = LodTable.open(spark, lines_file(spark, tmp_path))
+    df = t.read(0, None, ["tags.b"], use_overview=True)
+    assert df.count() == t.level_ends()[0] > 0
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "geometry#" in plan  # the decoded column, not the file's
+    one, all_of_it = t.traced(0, None, ["tags.b", "overviews.l0"]), t.traced(0, None, ["tags", "overviews", "geometry"])
+    assert one["row_groups"] == all_of_it["row_groups"] and one["bytes"] < all_of_it["bytes"] / 3
+    with pytest.raises(MetaError):
+        t.check_protected(["id", "geometry"], {"geometry"})
+    source = pruned(plain(t.arrow_schema), ["tags.b", "overviews.l0"])
+    assert [f.name for f in source.field("overviews").type] == ["l0"] and [f.name for f in source.field("tags").type] == ["b"]
+
+
+def test_a_box_and_a_limit_reach_the_file(spark, tmp_path):
+    path = lines_file(spark, tmp_path)
+    t = LodTable.open(spark, path)
+    every = t.scan().collect()
+    for box in ((-20, -20, 30, 30), (0, 0, 1, 1), (-500, -500, 500, 500), (300, 300, 301, 301)):
+        hit = [r.id for r in every if r.bbox.xmax >= box[0] and r.bbox.xmin <= box[2] and r.bbox.ymax >= box[1] and r.bbox.ymin <= box[3]]
+        assert [r.id for r in t.read(bbox=box, columns=["id"], geometry=False).orderBy("row_index").collect()] == hit
+        assert [r.id for r in t.read(bbox=box, columns=["id"], geometry=False, max_rows=5).orderBy("row_index").collect()] == hit[:5]
+        source = read_row_groups(spark, path, t.parts(t.candidates(None, box)), ["bbox", "id"], t.geo.covering, box)
+        assert sorted(r.id for r in source.collect()) == sorted(hit)  # nothing else leaves the file
+    assert read_row_groups(spark, path, t.parts(range(t.num_row_groups)), ["id"], limit=2).count() == 2 * t.num_row_groups
+    assert [r.id for r in t.read(columns=["id"], geometry=False, max_rows=11).orderBy("row_index").collect()] == [r.id for r in every[:11]]
+
+
+def test_many_files_are_one_table(spark, tmp_path):
+    one, many = LodTable.open(spark, lines_file(spark, tmp_path)), LodFolder.open(spark, lines_file(spark, tmp_path, files=3))
+    assert len(many.tables) == 3 and many.inspect()["rows"] == 60
+    for level in range(3):
+        for box in (None, (-30, -30, 20, 20)):
+            for overview in (False, True):
+                rows = lambda t: sorted((r.id, str(r.geometry)) for r in t.read(level, box, ["id"], use_overview=overview).collect())
+                assert rows(many) == rows(one)
+    read = many.read(columns=["id"], geometry=False)
+    assert sorted(r.row_index for r in read.collect()) == list(range(60))
+    assert many.read_row(37, ["id"]).count() == 1 and many.read(columns=["id"], geometry=False, max_rows=4).count() == 4
+    with pytest.raises(MetaError):
+        LodFolder([one, LodTable.open(spark, converted_points(spark, tmp_path))])
+
+
+def converted_points(spark, tmp_path):
+    path = str(tmp_path / "points.parquet")
+    df = spark.createDataFrame([(i, i, write(Geometry(1, [[np.array([[i, i]], float)]]))) for i in range(9)], "fid long, id long, geometry binary")
+    convert(df, path, geo("Point"), Options((1.0,), row_group_size=4, page_rows=2)).count()
+    return path
+
+
+def test_a_folder_is_numbered_file_by_file(spark, tmp_path):
+    for k in range(3):
+        t = pa.table({"id": list(range(10 * k, 10 * k + 5 + k)), "geometry": pa.array([write(Geometry(1, [[np.array([[i, k]], float)]])) for i in range(5 + k)], pa.binary())})
+        (tmp_path / "in").mkdir(exist_ok=True)
+        pq.write_table(t.replace_schema_metadata({"geo": json.dumps(geo("Point"))}), tmp_path / "in" / f"{k}.parquet")
+    out = str(tmp_path / "out.parquet")
+    assert convert_file(spark, str(tmp_path / "in"), out, Options((4.0, 1.0), row_group_size=5, page_rows=2, min_root_features=1)).first().rows == 18
+    assert sorted(r.id for r in LodTable.open(spark, out).read(columns=["id"]).collect()) == sorted(i for k in range(3) for i in range(10 * k, 10 * k + 5 + k))
