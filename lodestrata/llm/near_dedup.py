@@ -215,11 +215,9 @@ class Linker:
         removed(sets, passing)
         return out
 
-    def open_pairs(self, comp: DataFrame, best: int | None) -> DataFrame:
-        """Candidates (a, b), a < b, of keys whose members are in several components: all, or each member's best."""
-        m = self.placed(comp)
-        spread = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        m = m.join(spread, "key", "left_semi").join(self.reps, "id")
+    def open_pairs(self, comp: DataFrame, spread: DataFrame, best: int | None) -> DataFrame:
+        """Candidates (a, b), a < b, of the keys ``spread``, whose members are in several components: all, or each member's best."""
+        m = self.placed(comp).join(spread, "key", "left_semi").join(self.reps, "id")
         parts = F.ceil(F.col("size") / self.how.block).cast("int")
         m = m.withColumn("mine", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         m = m.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "id", "component", "n", "samples", "odd", "keys", "mine")
@@ -237,16 +235,17 @@ class Linker:
         for best in (1, None):
             comp = written(components(links), "comp")
             spread = self.placed(comp).groupBy("key", "size").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            spread = written(spread.select("key", "size"), "spread")
             rows, pairs = spread.agg(F.sum("size"), F.sum(F.col("size") * F.col("size"))).first()
             if not rows:
-                removed(comp)
+                removed(comp, spread)
                 break
             if best and pairs <= 64 * rows:  # small keys only: all their pairs at once
-                removed(comp)
+                removed(comp, spread)
                 continue
-            new = self.open_pairs(comp, best).distinct().join(tested, ["a", "b"], "left_anti")
+            new = self.open_pairs(comp, spread.select("key"), best).distinct().join(tested, ["a", "b"], "left_anti")
             new = written(new, "new")
-            removed(comp)
+            removed(comp, spread)
             tested = tested.unionByName(new)
             links = links.unionByName(self.confirmed(new))
         removed(tested, self.members)

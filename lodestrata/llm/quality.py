@@ -21,7 +21,7 @@ False hits need two equal hashes: odds of (entries / 2^64) a look-up.
 A document passes if its perplexity lies within its
 language's band: the median log-perplexity plus and minus ``band`` times
 the distance between the quartiles (at least ``floor``). Quartiles are exact, over
-log-perplexities rounded to 1/``grain``, from one count a language and rounded value.
+log-perplexities rounded to 1/``grain``.
 
 Symbols are code points below 2048, the rest fold into 2048 more. The order is the
 same for every input, so a text is judged alike in small and large corpora.
@@ -40,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import removed, written
@@ -191,9 +191,9 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> Da
 class Tables:
     """What workers need to find the model: files of sorted arrays, and of counts of counts."""
 
-    grams: list[str]
-    heads: list[str]
-    counts: list[str]
+    grams: tuple[str, ...]
+    heads: tuple[str, ...]
+    counts: tuple[str, ...]
 
 
 def fit_model(counted: DataFrame, how: Perplexity) -> tuple[Tables, list[DataFrame]]:
@@ -224,7 +224,7 @@ def fit_model(counted: DataFrame, how: Perplexity) -> tuple[Tables, list[DataFra
         kinds = {x: kinds[x].unionByName(f) if x in kinds else f for x, f in new.items()}
     frames = [*(sorted_table(kinds[x], x) for x in ("grams", "heads")), written(kinds["alike"], "alike")]
     removed(*(level for _, level in levels[1:]))
-    return Tables(*(sorted(f.inputFiles()) for f in frames)), frames
+    return Tables(*(tuple(sorted(f.inputFiles())) for f in frames)), frames
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
@@ -319,11 +319,22 @@ class Model:
         return [float(np.exp(-t / k)) if k else None for t, k in zip(total, n, strict=True)]
 
 
+#: The model that this worker scored with last, for its next task.
+LAST: dict[tuple[Tables, Perplexity], Model] = {}
+
+
+def model_of(tables: Tables, how: Perplexity) -> Model:
+    if (tables, how) not in LAST:
+        LAST.clear()
+        LAST[tables, how] = Model(tables, how)
+    return LAST[tables, how]
+
+
 def scored(docs: DataFrame, tables: Tables, how: Perplexity, id_col: str, lang_col: str, text_col: str) -> DataFrame:
     """(id, lang, base counts, perplexity) of each row."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(tables, how)
+        model = model_of(tables, how)
         for b in batches:
             lang, text = b.column(1).to_pylist(), b.column(2).to_pylist()
             base = np.array([base_counts(t) for t in text], np.int64).reshape(len(text), 5)
@@ -334,14 +345,14 @@ def scored(docs: DataFrame, tables: Tables, how: Perplexity, id_col: str, lang_c
 
 
 def bands_of(rows: DataFrame, how: Perplexity) -> DataFrame:
-    """(lang, low, high) of rows (lang, perplexity): from the least rounded logarithms that a quarter, half and three quarters do not exceed."""
-    counts = rows.groupBy("lang", F.round(F.log("perplexity") * how.grain).cast("int").alias("step")).agg(F.count("*").alias("n"))
-    # one row for each rounded value: some ten thousand a language at most
-    w = Window.partitionBy("lang")
-    upto = counts.withColumns({"upto": F.sum("n").over(w.orderBy("step")), "all": F.sum("n").over(w)})
-    q1, q2, q3 = (F.min(F.when(4 * F.col("upto") >= i * F.col("all"), F.col("step"))) / how.grain for i in (1, 2, 3))
-    wide = F.greatest(how.band * (F.col("q3") - F.col("q1")), F.lit(how.floor))
-    return upto.groupBy("lang").agg(q1.alias("q1"), q2.alias("q2"), q3.alias("q3")).select("lang", F.exp(F.col("q2") - wide).alias("low"), F.exp(F.col("q2") + wide).alias("high"))
+    """(lang, low, high) of rows (lang, perplexity): exact quartiles of rounded logarithms.
+
+    Tasks count the rounded values of each language, some ten thousand at most, and send these counts.
+    """
+    step = F.round(F.log("perplexity") * how.grain).cast("int")
+    q = lambda i: F.col("q")[i] / how.grain
+    wide = F.greatest(how.band * (q(2) - q(0)), F.lit(how.floor))
+    return rows.groupBy("lang").agg(F.percentile(step, [0.25, 0.5, 0.75]).alias("q")).select("lang", F.exp(q(1) - wide).alias("low"), F.exp(q(1) + wide).alias("high"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", how: Perplexity = Perplexity()) -> DataFrame:

@@ -25,32 +25,40 @@ def opened(file: str) -> pq.ParquetFile:
 
 
 class SortedArrays:
-    """Rows (hash, values) in files that are sorted by hash, found by binary search; at most ``held`` rows stay in memory."""
+    """Rows (hash, values) in files that are sorted by hash, found by binary search; at most ``held`` rows stay in memory.
+
+    Few enough rows are one block; else blocks come and go.
+    """
 
     def __init__(self, files: list[str], held: int) -> None:
         self.files, self.held, self.rows, self.width = files, held, 0, 1
         self.blocks: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
-        first = []
+        first, total = [], 0
         for i, f in enumerate(files):
             md = opened(f).metadata
-            self.width = md.num_columns - 1
+            self.width, total = md.num_columns - 1, total + md.num_rows
             first += [(md.row_group(g).column(0).statistics.min, i, g) for g in range(md.num_row_groups) if md.row_group(g).num_rows]
         first.sort()
         self.first, self.place = np.array([x[0] for x in first], np.int64), [x[1:] for x in first]
+        if 0 < total <= held:
+            parts = [self.read(*x) for x in self.place]
+            self.blocks[0] = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            self.first, self.rows = self.first[:1], total
 
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         if i in self.blocks:
             self.blocks.move_to_end(i)
             return self.blocks[i]
-        file, group = self.place[i]
-        t = opened(self.files[file]).read_row_group(group)
-        got = t.column(0).to_numpy(), np.column_stack([t.column(c).to_numpy() for c in range(1, t.num_columns)])
-        self.blocks[i] = got
+        got = self.blocks[i] = self.read(*self.place[i])
         self.rows += len(got[0])
         while self.rows > self.held and len(self.blocks) > 1:
             self.rows -= len(self.blocks.popitem(last=False)[1][0])
         return got
 
+    def read(self, file: int, group: int) -> tuple[np.ndarray, np.ndarray]:
+        t = opened(self.files[file]).read_row_group(group)
+        return t.column(0).to_numpy(), np.column_stack([t.column(c).to_numpy() for c in range(1, t.num_columns)])
+
     def find(self, q: np.ndarray) -> np.ndarray:
         """Values of each hash, zeros where it isn't there."""
         out = np.zeros((len(q), self.width), np.float32)
