@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 LADDER = (8.0, 4.0, 2.0, 1.0, 0.5)
+FINE = (1.0, 0.5, 0.25, 0.125, 0.0625)
 ODD_LADDER = (50.0, 17.0, 6.0, 2.1, 0.7)
 BOX = (-20.0, -15.0, 40.0, 30.0)
 #: The second level has no row group of its own.
@@ -291,9 +293,9 @@ def thin_points_general(spark, sf_dir):
     return A.thin_points(g1_boxes(spark, sf_dir), ODD_LADDER).select("fid", "level")
 
 
-def visible_sql(factor: float) -> str:
-    cases = " ".join(f"WHEN w*w + h*h >= {(r * factor) ** 2!r}e0 THEN {i}" for i, r in enumerate(LADDER))
-    return f"CASE WHEN w*w + h*h <= 0 THEN 0 {cases} ELSE {len(LADDER) - 1} END::INT"
+def visible_sql(factor: float, ladder=LADDER) -> str:
+    cases = " ".join(f"WHEN w*w + h*h >= {(r * factor) ** 2!r}e0 THEN {i}" for i, r in enumerate(ladder))
+    return f"CASE WHEN w*w + h*h <= 0 THEN 0 {cases} ELSE {len(ladder) - 1} END::INT"
 
 
 @register(f"WITH {G2_SQL}, b AS (SELECT fid, max(x) - min(x) AS w, max(y) - min(y) AS h FROM g2 GROUP BY fid) SELECT fid, {visible_sql(0.25)} AS level FROM b")
@@ -709,7 +711,7 @@ def point_lookup(spark, sf_dir):
     return taken(out, path)
 
 
-@register(f"WITH {G1_SQL} SELECT fid, x, y, event_type, 'geoarrow.point' AS kind FROM g1")
+@register(f"WITH {G1_SQL} SELECT fid, x, y, event_type, 'geoarrow.multipoint' AS kind FROM g1")
 def geoarrow(spark, sf_dir):
     """SNK-16/SNK-17/GEO-35/GEO-36: points as GeoArrow streams and back."""
     rows = g1_wkb(spark, sf_dir).select("fid", "event_type", "geometry")
@@ -719,7 +721,7 @@ def geoarrow(spark, sf_dir):
             if b.num_rows:
                 table = to_table([parse(w) for w in b.column(2).to_pylist()], pa.table({"event_type": b.column(1)}), b.column(0).to_pylist(), "fid")
                 back = pa.ipc.open_stream(to_ipc(table)).read_all()
-                xy = back.column("geometry").combine_chunks().flatten().to_numpy().reshape(len(back), -1)
+                xy = pa.compute.list_flatten(back.column("geometry").combine_chunks(), recursive=True).to_numpy().reshape(len(back), -1)
                 kind = back.schema.field("geometry").metadata[b"ARROW:extension:name"].decode()
                 yield pa.record_batch([back.column("fid").combine_chunks(), pa.array(xy[:, 0]), pa.array(xy[:, 1]), back.column("event_type").combine_chunks(), pa.array([kind] * len(back))], names=["fid", "x", "y", "event_type", "kind"])
 
@@ -727,8 +729,8 @@ def geoarrow(spark, sf_dir):
 
 
 @register("""WITH r AS (SELECT o_orderkey AS fid, 10 + o_orderkey % 17 AS s, o_custkey % 23 AS dx, o_orderkey % 13 AS dy, 5 + o_custkey % 11 AS t FROM orders),
-i AS (SELECT *, greatest(0, least(s, dx + t) - dx) * greatest(0, least(s, dy + t) - dy) AS both FROM r)
-SELECT fid, (s * s + t * t - both)::DOUBLE AS union_area, (s * s - both)::DOUBLE AS difference_area FROM i""")
+i AS (SELECT *, greatest(0, least(s, dx + t) - dx) * greatest(0, least(s, dy + t) - dy) AS shared FROM r)
+SELECT fid, (s * s + t * t - shared)::DOUBLE AS union_area, (s * s - shared)::DOUBLE AS difference_area FROM i""")
 def overlay_area(spark, sf_dir):
     """GEO-26/SET-03: areas of the union of two squares, and of one with the other as a hole."""
     o = source(spark, sf_dir, "orders").selectExpr("o_orderkey AS fid", "10 + o_orderkey % 17 AS s", "o_custkey % 23 AS dx", "o_orderkey % 13 AS dy", "5 + o_custkey % 11 AS t")
@@ -781,20 +783,20 @@ def validate_overviews(spark, sf_dir):
     return values(spark, [(len(r.errors), len(r.warnings), r.overviews_validated)], "errors long, warnings long, overviews_validated boolean")
 
 
-@register(f"""WITH {G2_SQL}, b AS (SELECT fid, max(x) - min(x) AS w, max(y) - min(y) AS h, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM g2 GROUP BY fid), v AS (SELECT *, {visible_sql(1.0)} AS level FROM b)
+@register(f"""WITH {G2_SQL}, b AS (SELECT fid, max(x) - min(x) AS w, max(y) - min(y) AS h, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM g2 GROUP BY fid), v AS (SELECT *, {visible_sql(1.0, FINE)} AS level FROM b)
 SELECT fid AS id, 5::TINYINT AS type, true AS near FROM v WHERE level <= 2""")
 def overview_read(spark, sf_dir):
     """SRC-11/GEO-05/PRJ-07/LVL-14 with useOverview: the rows of a level prefix with that level's dequantized
     renderings, whose boxes lie within a cell and the tolerance of the lines' own."""
     lines = g2_lines(spark, sf_dir)
     rows = lines.select("fid", F.col("fid").alias("id"), to_wkb(F.lit(2), F.array(F.array("line"))).alias("geometry"))
-    path = converted(spark, rows, "LineString", Options(LADDER, row_group_size=50, page_rows=10, min_root_features=1, line_factor=1.0))
+    path = converted(spark, rows, "LineString", Options(FINE, row_group_size=50, page_rows=10, min_root_features=1, line_factor=1.0))
     t = LodTable.open(spark, path)
-    df = t.read(t.select_level(2.0), None, ["id"], use_overview=True)
+    df = t.read(t.select_level(FINE[2]), None, ["id"], use_overview=True)
     ends = lambda p, c, f: f(F.transform(p, lambda q: q[c]))
     shown = df.select("id", "geometry.type", F.flatten(F.flatten("geometry.parts")).alias("p"))
     both = shown.join(lines.select(F.col("fid").alias("id"), "line"), "id")
-    close = [F.abs(ends(F.col("p"), c, f) - ends(F.col("line"), c, f)) <= 2.0 for c in "xy" for f in (F.array_min, F.array_max)]
+    close = [F.abs(ends(F.col("p"), c, f) - ends(F.col("line"), c, f)) <= FINE[2] for c in "xy" for f in (F.array_min, F.array_max)]
     return taken(both.select("id", "type", (close[0] & close[1] & close[2] & close[3]).alias("near")), path)
 
 
