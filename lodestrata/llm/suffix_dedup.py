@@ -9,8 +9,8 @@
 3. The remaining segments meet by anchor. There, equal segments collapse into one with its least
    id, and the suffix array of the distinct ones, built by linear grouping, brings
    equal strings next to each other; the least id of such a run decides which
-   occurrences go. Groups are streamed from sorted partitions, one at a time.
-4. Anchors of more than ``hot`` texts don't meet in one task. Their equal segments collapse by
+   occurrences go. The anchor, which they all share, is one symbol there. Groups are streamed from sorted partitions, one at a time.
+4. Anchors that occur more than ``hot`` times don't meet in one task. Their equal segments collapse by
    partial aggregation, each distinct one is cut into its strings, the least id of each string's 128-bit hash is an
    aggregation too, and joins that split large partitions carry the result back. This is a choice of plan:
    both ways find the same strings.
@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import bucketed, removed, written
 from lodestrata.llm.gsaca import suffix_array
 
-#: Stands between segments; no byte of UTF-8. ABOVE puts it below all bytes of UTF-8.
+#: Stands between segments; no byte of UTF-8. ABOVE puts it below all bytes of UTF-8, and CORE above.
 GAP = b"\xff"
+#: Stands for a segment's anchor, which all segments of a group have.
+CORE = b"\xfe"
 #: Bits of a place in a text; above them stands the text's tag.
 TAG = 40
-ABOVE = bytes([*range(2, 256), 0, 1])
+ABOVE = bytes([*range(2, 256), 255, 1])
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,12 @@ class Repeats:
     length: int = 50
     kmer: int = 20
     slice: int = 1 << 18
-    hot: int = 20_000
+    hot: int = 5_000
+
+    @property
+    def short(self) -> int:
+        """Symbols of a string whose anchor is one symbol."""
+        return self.length - self.kmer + 1
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -77,8 +84,8 @@ def kmer_hashes(b: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def segments(text: bytes, how: Repeats) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, first, last) arrays: runs of string starts first..last with one anchor, slice by slice."""
+def segments(text: bytes, how: Repeats) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, first, last, place) arrays: runs of string starts first..last with one anchor and where that is, slice by slice."""
     w = how.length - how.kmer + 1
     for begin in range(0, len(text) - how.length + 1, how.slice):
         b = np.frombuffer(text, np.uint8)[begin : begin + how.slice + how.length - 1]
@@ -94,7 +101,7 @@ def segments(text: bytes, how: Repeats) -> Iterator[tuple[np.ndarray, np.ndarray
         at = (m & np.uint64((1 << 20) - 1)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         last = np.append(first[1:], len(at)) - 1
-        yield h[at[first]].view(np.int64), first + begin, last + begin
+        yield h[at[first]].view(np.int64), first + begin, last + begin, at[first] + begin
 
 
 def least_ids(group: dict[bytes, int], length: int) -> dict[bytes, list[tuple[int, int, int]]]:
@@ -144,7 +151,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-#: Kinds of rows about anchors: one text has it; several texts of a batch have it (the id is their number); an id that wants it; it is hot.
+#: Kinds of rows about anchors: one text has it; several texts of a batch have it (the id is how often); an id that wants it; it is hot.
 ONE, SEVERAL, WANTED, HOT = range(4)
 
 
@@ -153,7 +160,7 @@ def anchor_rows(anchors: np.ndarray, ids: np.ndarray, kind: np.ndarray) -> pa.Re
 
 
 def anchored(texts: DataFrame, how: Repeats) -> DataFrame:
-    """(anchor, id, kind): the distinct anchors of each text. Those that several texts of a batch have are wanted at once, and reported with their number."""
+    """(anchor, id, kind): the distinct anchors of each text. Those that several texts of a batch have are wanted at once, and reported with how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -165,21 +172,24 @@ def anchored(texts: DataFrame, how: Repeats) -> DataFrame:
             many = n > 1
             more = np.repeat(many, n)
             kind = np.concatenate([np.full((~more).sum(), ONE), np.full(many.sum(), SEVERAL), np.full(more.sum(), WANTED)])
-            return anchor_rows(np.concatenate([a[~more], a[first[many]], a[more]]), np.concatenate([i[~more], n[many], i[more]]), kind)
+            times = np.add.reduceat(np.concatenate(counts)[order], first)
+            return anchor_rows(np.concatenate([a[~more], a[first[many]], a[more]]), np.concatenate([i[~more], times[many], i[more]]), kind)
 
-        anchors, ids, size = [], [], 0
+        anchors, ids, counts, size = [], [], [], 0
         for b in batches:
             for i, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = [a for a, _, _ in segments(zstandard.decompress(z), how)]
+                parts = [a for a, *_ in segments(zstandard.decompress(z), how)]
                 if parts:
                     a = np.sort(np.concatenate(parts))
-                    a = a[np.append(True, a[1:] != a[:-1])]
+                    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+                    counts.append(np.diff(np.append(first, len(a))))
+                    a = a[first]
                     anchors.append(a)
                     ids.append(np.full(len(a), i, np.int64))
                     size += len(a)
                 if size > 1 << 20:
                     yield out()
-                    anchors, ids, size = [], [], 0
+                    anchors, ids, counts, size = [], [], [], 0
         if anchors:
             yield out()
 
@@ -190,7 +200,7 @@ def several(how: Repeats):
     """Over rows in the order of their anchors: those to be wanted, as more than one text has their anchor, and which anchors are hot. Holds one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, alone, total = None, None, 0  # the anchor that may go on, its only text so far if it has just one, its number of texts
+        now, alone, total = None, None, 0  # the anchor that may go on, its only text so far if it has just one, how often it occurred
 
         def hot(anchor: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             some = n > how.hot
@@ -223,7 +233,10 @@ def several(how: Repeats):
 
 
 def shared_segments(texts: DataFrame, how: Repeats) -> DataFrame:
-    """(anchor, id, start, segment) of rows (id, z, tag, anchors): the segments whose anchor is among them. The start has the text's tag in its leading bits."""
+    """(anchor, id, start, segment) of rows (id, z, tag, anchors): the segments whose anchor is among them, with one byte in its place.
+
+    The start has the text's tag in its leading bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,11 +244,12 @@ def shared_segments(texts: DataFrame, how: Repeats) -> DataFrame:
             for r in range(b.num_rows):
                 i, text = b.column("id")[r].as_py(), zstandard.decompress(b.column("z")[r].as_py())
                 wanted = np.sort(b.column("anchors")[r].values.to_numpy())
-                for a, first, last in segments(text, how):
+                for a, first, last, place in segments(text, how):
                     at = np.minimum(np.searchsorted(wanted, a), len(wanted) - 1)
                     hit = np.flatnonzero(wanted[at] == a)
                     if len(hit):
-                        some = [text[x : y + how.length] for x, y in zip(first[hit].tolist(), last[hit].tolist(), strict=True)]
+                        ends = zip(first[hit].tolist(), last[hit].tolist(), place[hit].tolist(), strict=True)
+                        some = [text[x:p] + CORE + text[p + how.kmer : y + how.length] for x, y, p in ends]
                         start = first[hit] + (tags[r] << TAG)
                         yield pa.record_batch([pa.array(a[hit]), pa.array(np.full(len(hit), i, np.int64)), pa.array(start), pa.array(some, pa.binary())], names=["anchor", "id", "start", "segment"])
 
@@ -245,24 +259,25 @@ def shared_segments(texts: DataFrame, how: Repeats) -> DataFrame:
 def repeated_hot(segs: DataFrame, how: Repeats) -> DataFrame:
     """(id, start, stop): bytes to remove, by aggregations and joins that no anchor, segment or string can fill a task of."""
     segs = written(segs, "hot_segments")
-    distinct = written(segs.groupBy("segment").agg(F.min("id").alias("least")), "hot_distinct")
-    at = F.sequence(F.lit(1), F.octet_length("segment") - how.length + 1)
+    distinct = written(segs.groupBy("anchor", "segment").agg(F.min("id").alias("least")), "hot_distinct")
+    at = F.sequence(F.lit(1), F.octet_length("segment") - how.short + 1)
+    whole = lambda i: F.concat(F.col("anchor").cast("string").cast("binary"), F.substring("segment", i, how.short))
     # at most as many strings a segment as a k-mer has places in a string
-    strings = distinct.select("segment", "least", F.posexplode(F.transform(at, lambda i: F.unhex(F.md5(F.substring("segment", i, how.length))))).alias("pos", "string"))
+    strings = distinct.select("anchor", "segment", "least", F.posexplode(F.transform(at, lambda i: F.unhex(F.md5(whole(i))))).alias("pos", "string"))
     first = written(strings.groupBy("string").agg(F.min("least").alias("first")), "hot_strings")
-    found = strings.join(first, "string").groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("found"))
+    found = strings.join(first, "string").groupBy("anchor", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Neighbours of one least id become one interval."""
         for b in batches:
             spans = []
-            for f in b.column(1).to_pylist():
+            for f in b.column(2).to_pylist():
                 edge = [k for k in range(len(f) + 1) if k in (0, len(f)) or f[k]["first"] != f[k - 1]["first"]]
                 spans.append([{"a": x, "b": y - 1 + how.length, "first": f[x]["first"]} for x, y in zip(edge, edge[1:], strict=False)])
-            yield pa.record_batch([b.column(0), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64())])))], names=["segment", "spans"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64())])))], names=["anchor", "segment", "spans"])
 
-    found = written(found.mapInArrow(run, "segment binary, spans array<struct<a: long, b: long, first: long>>"), "hot_found")
-    out = segs.join(found, "segment").select("id", "start", F.explode("spans").alias("s")).where(F.col("s.first") < F.col("id"))
+    found = written(found.mapInArrow(run, "anchor long, segment binary, spans array<struct<a: long, b: long, first: long>>"), "hot_found")
+    out = segs.join(found, ["anchor", "segment"]).select("id", "start", F.explode("spans").alias("s")).where(F.col("s.first") < F.col("id"))
     return out.select("id", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("stop"))
 
 
@@ -288,7 +303,7 @@ def repeated(segs: DataFrame, how: Repeats) -> DataFrame:
                 where.append((i, start, seg))
             if len(where) < 2:
                 continue
-            found = least_ids(least, how.length)
+            found = least_ids(least, how.short)
             for i, start, seg in where:
                 spans = found[seg]
                 for a, b, first in spans:
