@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--polygon-visibility-factor", type=float, default=d.polygon_factor)
     c.add_argument("--priority-column")
     c.add_argument("--priority-column-order", choices=("asc", "desc"), default="desc")
-    c.add_argument("--files", type=int, default=1)
+    c.add_argument("--files", type=int, help="files of a folder; by default one file where the output ends in .parquet, else as many as the rows call for")
     v = sub.add_parser("validate", help="check a level-of-detail file")
     v.add_argument("input")
     return p

@@ -642,7 +642,7 @@ def geo(kind: str) -> dict:
 
 def converted(spark, rows: DataFrame, kind: str, o: Options) -> str:
     """A file, or a folder of them, in the folder that driver and executors share."""
-    path = shared_path(spark, "layout") + (".parquet" if o.files == 1 else "")
+    path = shared_path(spark, "layout") + ("" if o.files else ".parquet")
     convert(rows, path, geo(kind), o).count()
     return path
 

@@ -338,6 +338,8 @@ def test_many_files_are_one_table(spark, tmp_path):
     read = many.read(columns=["id"], geometry=False)
     assert sorted(r.row_index for r in read.collect()) == list(range(60))
     assert many.read_row(37, ["id"]).count() == 1 and many.read(columns=["id"], geometry=False, max_rows=4).count() == 4
+    o = Options((1.0,), rows_per_file=10)
+    assert [o.files_for("x.parquet", 99), o.files_for("x", 99), o.files_for("x", 3), Options((1.0,), files=1).files_for("x", 9), Options((1.0,), files=5).files_for("x.parquet", 9)] == [0, 10, 1, 0, 5]
     with pytest.raises(MetaError):
         LodFolder([one, LodTable.open(spark, converted_points(spark, tmp_path))])
 
