@@ -10,10 +10,9 @@
    id, and the suffix array of the distinct ones, built by linear grouping, brings
    equal strings next to each other; the least id of such a run decides which
    occurrences go. The anchor, which they all share, is one symbol there. Groups are streamed from sorted partitions, one at a time.
-4. Anchors that occur more than ``hot`` times don't meet in one task. Their equal segments collapse by
-   partial aggregation, each distinct one is cut into its strings, the least id of each string's 128-bit hash is an
-   aggregation too, and joins that split large partitions carry the result back. This is a choice of plan:
-   both ways find the same strings.
+4. Anchors that occur more than ``hot`` times don't meet in one task. Their segments are dealt to parts by id; each part
+   cuts its distinct ones into strings, the least id of each string's 128-bit hash is an aggregation over the
+   parts, and the parts that have the string learn it. This is a choice of plan: both ways find the same strings.
 5. The removed runs of each text come together again as intervals, and are cut out. Texts lie in
    buckets by id, so that only ids, anchors and intervals move to them.
 
@@ -29,9 +28,11 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ from lodestrata.llm.gsaca import suffix_array
 GAP = b"\xff"
 #: Stands for a segment's anchor, which all segments of a group have.
 CORE = b"\xfe"
+#: Bytes of short texts that are hashed together: few numpy calls, and arrays that stay in a core's cache.
+TOGETHER = 1 << 14
 #: Bits of a place in a text; above them stands the text's tag.
 TAG = 40
 ABOVE = bytes([*range(2, 256), 255, 1])
@@ -84,11 +87,24 @@ def kmer_hashes(b: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def segments(text: bytes, how: Repeats) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, first, last, place) arrays: runs of string starts first..last with one anchor and where that is, slice by slice."""
+class Segments(NamedTuple):
+    """Runs of string starts first..last of a text with one anchor, and the place of that k-mer; places count within each text."""
+
+    text: np.ndarray
+    anchor: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    place: np.ndarray
+
+
+def segments(texts: list[bytes], how: Repeats) -> Iterator[Segments]:
+    """The segments of texts: short texts many at a time, long ones slice by slice."""
     w = how.length - how.kmer + 1
-    for begin in range(0, len(text) - how.length + 1, how.slice):
-        b = np.frombuffer(text, np.uint8)[begin : begin + how.slice + how.length - 1]
+    some: list[int] = []
+    size = 0
+
+    def cut(raw: bytes, of: list[int], sizes: list[int], begin: int) -> Segments:
+        b = np.frombuffer(raw, np.uint8)
         h = kmer_hashes(b, how.kmer)
         # least hash of w neighbours, leftmost on ties: hashes above, positions below
         m = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)
@@ -99,9 +115,35 @@ def segments(text: bytes, how: Repeats) -> Iterator[tuple[np.ndarray, np.ndarray
         if span < w:
             m = np.minimum(m[: len(m) - (w - span)], m[w - span :])
         at = (m & np.uint64((1 << 20) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.diff(at, prepend=-1))
-        last = np.append(first[1:], len(at)) - 1
-        yield h[at[first]].view(np.int64), first + begin, last + begin, at[first] + begin
+        stop = np.cumsum(sizes)
+        start = stop - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
+        inside = np.arange(len(at)) <= stop[owner] - how.length  # strings that end in the text where they start
+        new = np.append(True, (at[1:] != at[:-1]) | ~inside[:-1])
+        first = np.flatnonzero(new & inside)
+        # a run ends before the next, or with its text's last string
+        last = np.minimum(np.append(first[1:], len(at)) - 1, (stop - how.length)[owner[first]])
+        own = start[owner[first]]
+        return Segments(np.array(of)[owner[first]], h[at[first]].view(np.int64), first - own + begin, last - own + begin, at[first] - own + begin)
+
+    def flush() -> Segments:
+        return cut(b"".join(texts[k] for k in some), some, [len(texts[k]) for k in some], 0)
+
+    for k, t in enumerate(texts):
+        if len(t) < how.length:
+            continue
+        if len(t) > how.slice:
+            for begin in range(0, len(t) - how.length + 1, how.slice):
+                part = t[begin : begin + how.slice + how.length - 1]
+                yield cut(part, [k], [len(part)], begin)
+            continue
+        if size + len(t) > min(how.slice, TOGETHER):
+            yield flush()
+            some, size = [], 0
+        some.append(k)
+        size += len(t)
+    if some:
+        yield flush()
 
 
 def least_ids(group: dict[bytes, int], length: int) -> dict[bytes, list[tuple[int, int, int]]]:
@@ -146,11 +188,6 @@ def least_ids(group: dict[bytes, int], length: int) -> dict[bytes, list[tuple[in
     return found
 
 
-def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 #: Kinds of rows about anchors: one text has it; several texts of a batch have it (the id is how often); an id that wants it; it is hot.
 ONE, SEVERAL, WANTED, HOT = range(4)
 
@@ -177,19 +214,20 @@ def anchored(texts: DataFrame, how: Repeats) -> DataFrame:
 
         anchors, ids, counts, size = [], [], [], 0
         for b in batches:
-            for i, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = [a for a, *_ in segments(zstandard.decompress(z), how)]
-                if parts:
-                    a = np.sort(np.concatenate(parts))
-                    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            number = b.column(0).to_numpy()
+            for at in range(0, b.num_rows, 512):  # bounds the texts held
+                raw = [zstandard.decompress(z) for z in b.column(1).slice(at, 512).to_pylist()]
+                for g in segments(raw, how):
+                    order = np.lexsort((g.anchor, g.text))
+                    a, t = g.anchor[order], g.text[order]
+                    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])))
+                    anchors.append(a[first])
+                    ids.append(number[at + t[first]])
                     counts.append(np.diff(np.append(first, len(a))))
-                    a = a[first]
-                    anchors.append(a)
-                    ids.append(np.full(len(a), i, np.int64))
-                    size += len(a)
-                if size > 1 << 20:
-                    yield out()
-                    anchors, ids, counts, size = [], [], [], 0
+                    size += len(first)
+                    if size > 1 << 20:
+                        yield out()
+                        anchors, ids, counts, size = [], [], [], 0
         if anchors:
             yield out()
 
@@ -238,47 +276,88 @@ def shared_segments(texts: DataFrame, how: Repeats) -> DataFrame:
     The start has the text's tag in its leading bits.
     """
 
+    def mixed(text: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        return anchor.view(np.uint64) ^ spread((text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tags = b.column("tag").to_pylist()
-            for r in range(b.num_rows):
-                i, text = b.column("id")[r].as_py(), zstandard.decompress(b.column("z")[r].as_py())
-                wanted = np.sort(b.column("anchors")[r].values.to_numpy())
-                for a, first, last, place in segments(text, how):
-                    at = np.minimum(np.searchsorted(wanted, a), len(wanted) - 1)
-                    hit = np.flatnonzero(wanted[at] == a)
+            number, tags = b.column("id").to_numpy(), b.column("tag").to_numpy()
+            for at in range(0, b.num_rows, 512):
+                raw = [zstandard.decompress(z) for z in b.column("z").slice(at, 512).to_pylist()]
+                lists = b.column("anchors").slice(at, 512)
+                owner = np.repeat(np.arange(len(raw)), lists.value_lengths().to_numpy())
+                wanted = np.sort(mixed(owner, lists.flatten().to_numpy()))
+                for g in segments(raw, how):
+                    key = mixed(g.text, g.anchor)
+                    hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
                     if len(hit):
-                        ends = zip(first[hit].tolist(), last[hit].tolist(), place[hit].tolist(), strict=True)
-                        some = [text[x:p] + CORE + text[p + how.kmer : y + how.length] for x, y, p in ends]
-                        start = first[hit] + (tags[r] << TAG)
-                        yield pa.record_batch([pa.array(a[hit]), pa.array(np.full(len(hit), i, np.int64)), pa.array(start), pa.array(some, pa.binary())], names=["anchor", "id", "start", "segment"])
+                        t = g.text[hit]
+                        ends = zip(t.tolist(), g.first[hit].tolist(), g.last[hit].tolist(), g.place[hit].tolist(), strict=True)
+                        some = [raw[k][x:p] + CORE + raw[k][p + how.kmer : y + how.length] for k, x, y, p in ends]
+                        start = g.first[hit] + (tags[at + t] << TAG)
+                        yield pa.record_batch([pa.array(g.anchor[hit]), pa.array(number[at + t]), pa.array(start), pa.array(some, pa.binary())], names=["anchor", "id", "start", "segment"])
 
     return texts.mapInArrow(run, "anchor long, id long, start long, segment binary")
 
 
-def repeated_hot(segs: DataFrame, how: Repeats) -> DataFrame:
-    """(id, start, stop): bytes to remove, by aggregations and joins that no anchor, segment or string can fill a task of."""
-    segs = written(segs, "hot_segments")
-    distinct = written(segs.groupBy("anchor", "segment").agg(F.min("id").alias("least")), "hot_distinct")
-    at = F.sequence(F.lit(1), F.octet_length("segment") - how.short + 1)
-    whole = lambda i: F.concat(F.col("anchor").cast("string").cast("binary"), F.substring("segment", i, how.short))
-    # at most as many strings a segment as a k-mer has places in a string
-    strings = distinct.select("anchor", "segment", "least", F.posexplode(F.transform(at, lambda i: F.unhex(F.md5(whole(i))))).alias("pos", "string"))
-    first = written(strings.groupBy("string").agg(F.min("least").alias("first")), "hot_strings")
-    found = strings.join(first, "string").groupBy("anchor", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("found"))
+def repeated_hot(segs: DataFrame, how: Repeats, parts: int) -> DataFrame:
+    """(id, start, stop): bytes to remove, of anchors whose segments are dealt to ``parts`` parts by id, so that none fills a task."""
+    tasks = max(1, int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = segs.withColumns({"salt": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "turn": F.lit(1)})
+    segs = written(salted.select("anchor", "salt", "turn", "id", "start", "segment"), "hot_segments")
+    dealt = lambda rows: rows.repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt", "turn")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Neighbours of one least id become one interval."""
-        for b in batches:
-            spans = []
-            for f in b.column(2).to_pylist():
-                edge = [k for k in range(len(f) + 1) if k in (0, len(f)) or f[k]["first"] != f[k - 1]["first"]]
-                spans.append([{"a": x, "b": y - 1 + how.length, "first": f[x]["first"]} for x, y in zip(edge, edge[1:], strict=False)])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int64())])))], names=["anchor", "segment", "spans"])
+    def strings(segment: bytes) -> list[bytes]:
+        return [xxhash.xxh3_128_digest(segment[k : k + how.short]) for k in range(len(segment) - how.short + 1)]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[tuple]]]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        return groupby(rows, key=lambda r: r[:2])
 
-    found = written(found.mapInArrow(run, "anchor long, segment binary, spans array<struct<a: long, b: long, first: long>>"), "hot_found")
-    out = segs.join(found, ["anchor", "segment"]).select("id", "start", F.explode("spans").alias("s")).where(F.col("s.first") < F.col("id"))
-    return out.select("id", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("stop"))
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least id that has each string of a part; equal segments are looked at once."""
+        for (anchor, salt), rows in groups(batches):
+            least: dict[bytes, int] = {}
+            for _, _, _, i, _, segment in rows:
+                least[segment] = min(i, least.get(segment, i))
+            of: dict[bytes, int] = {}
+            for segment, i in least.items():
+                for x in strings(segment):
+                    of[x] = min(i, of.get(x, i))
+            yield pa.record_batch([pa.array([anchor] * len(of)), pa.array([salt] * len(of), pa.int32()), pa.array(list(of), pa.binary()), pa.array(list(of.values()))], names=["anchor", "salt", "string", "least"])
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each part that has a string learns the least id of all parts."""
+        for b in batches:
+            n = b.column("salts").value_lengths().to_numpy()
+            again = pa.array(np.repeat(np.arange(b.num_rows), n))
+            none = pa.array(np.zeros(len(again), np.int64))
+            yield pa.record_batch([b.column("anchor").take(again), b.column("salts").flatten(), pa.array(np.zeros(len(again), np.int32)), b.column("first").take(again), none, b.column("string").take(again)], names=["anchor", "salt", "turn", "id", "start", "segment"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches):
+            first: dict[bytes, int] = {}
+            found: dict[bytes, list[tuple[int, int, int]]] = {}
+            out: list[tuple[int, int, int]] = []
+            for _, _, turn, i, start, segment in rows:
+                if turn == 0:
+                    first[segment] = i
+                    continue
+                if segment not in found:
+                    least = [first[x] for x in strings(segment)]
+                    edge = [k for k in range(len(least) + 1) if k in (0, len(least)) or least[k] != least[k - 1]]
+                    found[segment] = [(x, y - 1 + how.length, least[x]) for x, y in zip(edge, edge[1:], strict=False)]
+                out += [(i, start + a, start + b) for a, b, least in found[segment] if least < i]
+                if len(out) > 20_000:
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["id", "start", "stop"])
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["id", "start", "stop"])
+
+    least = dealt(segs).mapInArrow(local, "anchor long, salt int, string binary, least long")
+    first = least.groupBy("anchor", "string").agg(F.min("least").alias("first"), F.collect_set("salt").alias("salts"))
+    told = first.mapInArrow(back, "anchor long, salt int, turn int, id long, start long, segment binary")
+    return dealt(told.unionByName(segs)).mapInArrow(spans, "id long, start long, stop long")
 
 
 def repeated(segs: DataFrame, how: Repeats) -> DataFrame:
@@ -325,12 +404,15 @@ def repeated(segs: DataFrame, how: Repeats) -> DataFrame:
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(what is left, bytes removed, maximal runs removed) of a text and intervals to remove."""
-    mark = np.zeros(len(text) + 1, np.int64)
-    for a, b in spans:
-        mark[a] += 1
-        mark[b] -= 1
-    gone = np.cumsum(mark[:-1]) > 0
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), len(runs(gone)[0])
+    left, at, n = [], 0, 0
+    stop = -1
+    for a, b in sorted(spans):
+        if a > stop:
+            left.append(text[at:a])
+            n += 1
+        at = stop = max(stop, b)
+    kept = b"".join([*left, text[at:]])
+    return kept, len(text) - len(kept), n
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Repeats = Repeats(), with_text: bool = False) -> DataFrame:
@@ -366,16 +448,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.when(F.col("kind") == WANTED, F.col("id")).otherwise(F.col("anchor"))
     by_anchor = anchored(own, how).repartition(tasks, place).sortWithinPartitions("anchor")
     shared = written(by_anchor.mapInArrow(several(how), "anchor long, id long, kind byte"), "shared")
-    hot = shared.where(F.col("kind") == HOT).select("anchor")
-    wants = shared.where(F.col("kind") == WANTED).select("anchor", "id")
-    any_hot = not hot.isEmpty()
-    if any_hot:
-        hot = written(hot, "hot_anchors")
+    wants, hot = shared.where(F.col("kind") == WANTED).select("anchor", "id"), shared.where(F.col("kind") == HOT)
+    most = hot.agg(F.max("id")).first()[0]
+    if most:
+        hot = written(hot.select("anchor"), "hot_anchors")
         heated, wants = wants.join(hot, "anchor", "left_semi"), wants.join(hot, "anchor", "left_anti")
     segments_of = lambda w: shared_segments(own.join(w.groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "id"), how)
     spans = repeated(segments_of(wants).repartition(tasks, "anchor").sortWithinPartitions("anchor"), how)
-    if any_hot:
-        spans = spans.unionByName(repeated_hot(segments_of(heated), how))
+    if most:
+        spans = spans.unionByName(repeated_hot(segments_of(heated), how, -(-most // how.hot)))
     # texts move for no join: their id decides the bucket
     of_id = spans.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

@@ -11,7 +11,7 @@ from lodestrata.llm.components import components
 from lodestrata.llm.gsaca import suffix_array
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.near_dedup import Near, near_dedup, shingles
-from lodestrata.llm.suffix_dedup import Repeats, anchor_rows, kmer_hashes, runs, several, suffix_dedup
+from lodestrata.llm.suffix_dedup import Repeats, anchor_rows, cut, kmer_hashes, segments, several, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -144,6 +144,10 @@ def test_kmer_hashes_depend_on_content_alone():
     assert a[2] == a[12] and len(set(a.tolist())) == len(a) - 1
 
 
+def runs(mask):
+    return sum(bool(m) and not (k and mask[k - 1]) for k, m in enumerate(mask))
+
+
 def suffix_brute(rows, length):
     first, want = {}, []
     for i, t in rows:
@@ -176,6 +180,30 @@ def test_suffix_dedup_of_nothing_nulls_and_repeated_ids(spark, how):
     assert sorted(map(tuple, suffix_dedup(frame(spark, rows), how=how).collect()), key=str) == suffix_brute(rows, 50)
 
 
+@pytest.mark.parametrize("how", [Repeats(), Repeats(length=20, kmer=7), Repeats(length=30, kmer=11, slice=64)])
+def test_segments_of_many_texts_are_those_of_each(how):
+    rng = random.Random(1)
+    for _ in range(20):
+        many = [bytes(rng.choice(b"abcd") for _ in range(rng.choice((0, 5, 19, 20, 50, 51, 80, 200)))) for _ in range(rng.randint(1, 9))]
+        rows = lambda texts: [tuple(int(x) for x in r) for g in segments(texts, how) for r in zip(*g)]
+        got = rows(many)
+        assert sorted(got) == sorted((k, *r[1:]) for k, t in enumerate(many) for r in rows([t]))
+        covered = sorted((t, x) for t, _, first, last, _ in got for x in range(first, last + 1))
+        assert covered == [(k, x) for k, t in enumerate(many) for x in range(max(0, len(t) - how.length + 1))]
+        for t, anchor, first, last, place in got:
+            assert last <= place <= first + how.length - how.kmer
+            assert kmer_hashes(np.frombuffer(many[t][place : place + how.kmer], np.uint8), how.kmer).view(np.int64)[0] == anchor
+
+
+def test_cut():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = bytes(rng.randrange(256) for _ in range(rng.randint(0, 30)))
+        spans = [(a, rng.randint(a + 1, len(text))) for a in (rng.randrange(len(text)) for _ in range(rng.randint(0, 5)) if text)]
+        gone = [any(a <= k < b for a, b in spans) for k in range(len(text))]
+        assert cut(text, spans) == (bytes(c for c, g in zip(text, gone) if not g), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)))
+
+
 def test_several_streams_runs_over_batches():
     import pyarrow as pa
 
