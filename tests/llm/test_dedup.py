@@ -162,7 +162,7 @@ def suffix_brute(rows, length):
             if i is not None and first[b[k : k + length]] < i:
                 mark[k : k + length] = True
         left = bytes(c for c, m in zip(b, mark) if not m)
-        want.append((i, len(b), int(mark.sum()), len(runs(mark)[0]), hashlib.sha256(left).hexdigest()))
+        want.append((i, len(b), int(mark.sum()), runs(mark), hashlib.sha256(left).hexdigest()))
     return sorted(want, key=str)
 
 
