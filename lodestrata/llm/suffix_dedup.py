@@ -137,7 +137,7 @@ def segments(texts: list[bytes], how: Repeats) -> Iterator[Segments]:
                 part = t[begin : begin + how.slice + how.length - 1]
                 yield cut(part, [k], [len(part)], begin)
             continue
-        if size + len(t) > min(how.slice, TOGETHER):
+        if some and size + len(t) > min(how.slice, TOGETHER):
             yield flush()
             some, size = [], 0
         some.append(k)
