@@ -17,6 +17,7 @@ from lodestrata.functions import expr as X
 from lodestrata.functions import topology
 from lodestrata.functions.geoarrow import to_ipc, to_table
 from lodestrata.functions.geojson import display, feature_json, geometry_json
+from lodestrata.functions.mvt import decode
 from lodestrata.functions.overview import Grid, overview_parts
 from lodestrata.functions.wkb import parse, to_wkb, wkb_bbox, wkb_geometry
 from lodestrata.operators import assign as A
@@ -808,6 +809,35 @@ def mvt_tiles(spark, sf_dir):
     return T.render_tiles(p.withColumn("geometry", g), 2, ["event_type"], "events").select("z", "tile_x", "tile_y", F.length("tile").alias("bytes"), F.md5("tile").alias("md5"))
 
 
+@register(f"""WITH {G1_SQL}, {TILE_SQL} SELECT tile_x, tile_y, fid, event_type, floor(((x + 180.0e0) / 360.0e0 * 8.0e0 - tile_x) * 4096.0e0 + 0.5e0)::BIGINT AS px,
+  floor(((0.5e0 - ln((1.0e0 + s) / (1.0e0 - s)) / (4.0e0 * pi())) * 8.0e0 - tile_y) * 4096.0e0 + 0.5e0)::BIGINT AS py FROM t""")
+def mvt_features(spark, sf_dir):
+    """SNK-15/GEO-31..GEO-34/AGG-13: what tiles of zoom 3 hold once they are read again."""
+    p = T.assign_tiles(g1(spark, sf_dir), 3).withColumnRenamed("fid", "row_index")
+    g = F.struct(F.lit(1).cast("tinyint").alias("type"), F.array(F.array(F.array(F.struct("x", "y")))).alias("parts"))
+    tiles = T.render_tiles(p.withColumn("geometry", g), 3, ["event_type"], "events").select("tile_x", "tile_y", "tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = lambda n: (n >> 1) ^ -(n & 1)
+        for b in batches:
+            for x, y, tile in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                one = decode(tile)["events"]
+                rows = [(x, y, f["id"], one["values"][f["tags"][1]], back(f["geometry"][1]), back(f["geometry"][2])) for f in one["features"]]
+                if rows:
+                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["tile_x", "tile_y", "fid", "event_type", "px", "py"])
+
+    return tiles.mapInArrow(run, "tile_x long, tile_y long, fid long, event_type string, px long, py long")
+
+
+@register(f"""WITH {G3_SQL}, e AS (SELECT max(xmax) - min(xmin) >= max(ymax) - min(ymin) AS wide FROM g3)
+SELECT fid, row_number() OVER (ORDER BY CASE WHEN wide THEN (xmin + xmax) / 2 ELSE -((ymin + ymax) / 2) END, fid) - 1 AS pos FROM g3, e""")
+def str_order(spark, sf_dir):
+    """ASG-16/ASG-18/SRT-01: the order of a node that is split once: along its wider axis, by centers, then by row."""
+    rows = g3(spark, sf_dir).withColumn("level", F.lit(0))
+    half = max(1, -(-rows.count() // 2))
+    return pack(rows, half).select("fid", "pos")
+
+
 @register(f"WITH {G3_SQL}, n AS (SELECT count(*) AS n FROM g3) SELECT floor(i)::BIGINT AS rg, CASE WHEN (i + 1) * 1000 <= n THEN 1000 ELSE n - i * 1000 END::BIGINT AS rows FROM n, range(0, 1000) t(i) WHERE i * 1000 < n")
 def str_pack(spark, sf_dir):
     """ASG-16..ASG-18/SRT-01: every row once, full leaves but the last."""

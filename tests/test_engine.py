@@ -20,6 +20,7 @@ from lodestrata.operators.project import PathError, project
 from lodestrata.operators.spatial_join import bbox_join
 from lodestrata.plans import queries
 from lodestrata.plans.convert import Options, convert, convert_file
+from lodestrata.plans.report import layout_report, markdown
 from lodestrata.plans.tiles import parse_tile_url, render_tile, tile_url
 from lodestrata.plans.validate import check
 from lodestrata.sources.datasource import plain, pruned, read_row_groups
@@ -359,3 +360,15 @@ def test_a_folder_is_numbered_file_by_file(spark, tmp_path):
     out = str(tmp_path / "out.parquet")
     assert convert_file(spark, str(tmp_path / "in"), out, Options((4.0, 1.0), row_group_size=5, page_rows=2, min_root_features=1)).first().rows == 18
     assert sorted(r.id for r in LodTable.open(spark, out).read(columns=["id"]).collect()) == sorted(i for k in range(3) for i in range(10 * k, 10 * k + 5 + k))
+
+
+def test_layout_report(spark, tmp_path):
+    one = LodTable.open(spark, lines_file(spark, tmp_path))
+    many = LodFolder.open(spark, lines_file(spark, tmp_path, files=3))
+    boxes = spark.createDataFrame([(0, -20.0, -20.0, 30.0, 30.0), (1, 500.0, 500.0, 501.0, 501.0)], "q int, qx0 double, qy0 double, qx1 double, qy1 double")
+    report = layout_report({"one": one, "many": many}, boxes)
+    hit = lambda t: [sum(g["xmax"] >= -20 and g["xmin"] <= 30 and g["ymax"] >= -20 and g["ymin"] <= 30 for g in t.groups), 0]
+    for name, t in (("one", one), ("many", many)):
+        assert report[name]["rows"] == 60 and report[name]["row_groups"] == len(t.groups) and report[name]["hits_mean"] == sum(hit(t)) / 2
+    text = markdown(report)
+    assert text.startswith("| figure | one | many | change |") and len(text.split("\n")) == 2 + 9 and "| rows | 60 | 60 | +0.0% |" in text
