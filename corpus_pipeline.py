@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import free_names, table, written
+from lodestrata.llm.common import free_names, removed, table, written
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.mixing import mix
 from lodestrata.llm.near_dedup import near_dedup
@@ -73,7 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            removed(before)  # the stage after it has been written
+        before = docs
     return docs
