@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.sources.shared import filesystem, removed, shared_dir, written
+from lodestrata.sources import shared
+from lodestrata.sources.shared import filesystem, shared_dir, written
 
 __all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "bucketed", "filesystem", "free_names", "removed", "shared_dir", "table", "words", "written"]
 
@@ -42,10 +43,25 @@ def free_names(columns: Sequence[str], *wanted: str) -> list[str]:
     return out
 
 
+#: Bucketed tables of this driver, which are also names in the catalog.
+TABLES: set[str] = set()
+
+
+def removed(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` or ``bucketed`` made, once nothing reads them any more."""
+    for df in frames:
+        names = TABLES & {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        shared.removed(df)
+        for name in names:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+            TABLES.discard(name)
+
+
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df``, dealt by a column, as a table in the shared folder with one bucket a task: joins on the column leave it where it is."""
     spark = df.sparkSession
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"{name}_{uuid.uuid4().hex}"
+    TABLES.add(name)
     df.write.bucketBy(tasks, column).option("path", f"{shared_dir(spark)}/tables/{name}").saveAsTable(name)
     return spark.table(name)

@@ -21,7 +21,7 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     by: dict[int, list[int]] = {}
     for i, c in enumerate(s):
         by.setdefault(c, []).append(i)
-    # groups: members, and the links of an ordered list (below[g], above[g])
+    # groups (as many as symbols at most): members, and the links of an ordered list (below[g], above[g])
     members: list[list[int]] = [by[c] for c in sorted(by)]
     below, above = list(range(-1, len(members) - 1)), [*range(1, len(members)), -1]
     of, prev, alive = [0] * n, [-1] * n, [len(m) for m in members]
@@ -38,21 +38,25 @@ def suffix_array(s: Sequence[int]) -> list[int]:
             own = members[g] = [i for i in own if of[i] == g]
         for i in own:
             j = i - 1
-            while j >= 0 and done[of[j]]:
+            while done[of[j]]:  # -1 stands for the last symbol, whose group is done last
                 j = prev[j]
             prev[i] = j
             if j >= 0:
-                counts[j] = counts.get(j, 0) + 1
+                if j in counts:
+                    counts[j] += 1
+                else:
+                    counts[j] = 1
         # those pointed at leave their groups, by how often they were
-        moves: dict[tuple[int, int], list[int]] = {}
+        moves: dict[int, list[int]] = {}
         for j, k in counts.items():
-            moves.setdefault((of[j], k), []).append(j)
-        if len(moves) > 1:
-            order = sorted(moves, key=lambda m: -m[1])  # the fewest come to stand right behind the old group
-        else:
-            order = list(moves)
-        for old, k in order:
-            moved = moves[old, k]
+            key = k * n + of[j]
+            if key in moves:
+                moves[key].append(j)
+            else:
+                moves[key] = [j]
+        # the fewest come to stand right behind the old group
+        for key in sorted(moves, reverse=True) if len(moves) > 1 else moves:
+            moved, old = moves[key], key % n
             if alive[old] == len(moved):  # the whole group goes on: it keeps its place
                 continue
             new = len(members)
@@ -83,7 +87,7 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     placed[n - 1] = True
     for r in range(n):
         j = out[r] - 1
-        while j >= 0 and not placed[j]:
+        while not placed[j]:  # -1 stands for the last symbol, which is placed
             placed[j] = True
             out[slot[of[j]]] = j
             slot[of[j]] += 1

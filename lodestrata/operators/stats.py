@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.expr import bbox_intersects, lit
 from lodestrata.operators.assign import global_rank
+from lodestrata.sources.shared import written
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -77,12 +79,31 @@ def gap_clusters(hit: DataFrame, gap: int) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, gap: int, by: Sequence[str] = ()) -> DataFrame:
-    """IO-01/SET-02: byte ranges (start, stop) merged where they overlap or at most ``gap`` lies between them."""
-    w = Window.partitionBy(*by).orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
-    group = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("part", group).groupBy(*by, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n")).drop("part")
+    """IO-01/SET-02: byte ranges (start, stop) merged where they overlap or at most ``gap`` lies between them.
+
+    Ranges are dealt in order to parts; how far a part's ranges reach, and how many merged ones begin there, is carried on
+    to the parts behind it, so that no group of ``by`` (null being one) is sorted in one task.
+    """
+    n = max(1, int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = ranges.repartitionByRange(n, *by, "start", "stop").withColumn("__range", F.spark_partition_id())
+    dealt = written(dealt.select(*by, "start", "stop", "__range"), "dealt")
+    keys = [*by, "__range"]
+    inner = Window.partitionBy(*keys).orderBy("start", "stop")
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(rows: DataFrame, value: Column, combine: Callable[[Column], Column], name: str) -> DataFrame:
+        """One row a part and group: what the parts before it come to."""
+        per = rows.groupBy(*keys).agg(value.alias("v"))
+        per = per.select(*(F.col(k).alias(f"__{k}") for k in keys), combine(F.col("v")).over(before).alias(name))
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by] + [F.col("__range") == F.col("____range")]
+        return rows.join(per, reduce(lambda a, b: a & b, same)).drop(*(f"__{k}" for k in keys))
+
+    reach = F.greatest(F.max("stop").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
+    rows = carried(dealt, F.max("stop"), F.max, "__reach")
+    rows = rows.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)).drop("__reach")
+    rows = carried(written(rows, "marked"), F.sum("new"), F.sum, "__begun")
+    part = F.coalesce("__begun", F.lit(0)) + F.sum("new").over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("part", part).groupBy(*by, "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n")).drop("part")
 
 
 def pages_kept(pages: DataFrame, q: Sequence[float]) -> DataFrame:

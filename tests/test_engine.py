@@ -372,3 +372,21 @@ def test_layout_report(spark, tmp_path):
         assert report[name]["rows"] == 60 and report[name]["row_groups"] == len(t.groups) and report[name]["hits_mean"] == sum(hit(t)) / 2
     text = markdown(report)
     assert text.startswith("| figure | one | many | change |") and len(text.split("\n")) == 2 + 9 and "| rows | 60 | 60 | +0.0% |" in text
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_merged_ranges_equal_brute_force(spark, by):
+    rng = random.Random(27)
+    rows = [(rng.choice([None, "a", "b"]), a, a + rng.randint(1, 40)) for a in (rng.randrange(3000) for _ in range(200))]
+    merged = S.merge_ranges(spark.createDataFrame(rows, "k string, start long, stop long"), 5, by)
+    got = sorted((*(str(r[k]) for k in by), r.start, r.stop, r.n) for r in merged.collect())
+    want = []
+    for k in ([None, "a", "b"] if by else [0]):
+        out = []
+        for a, b in sorted((a, b) for x, a, b in rows if not by or x == k):
+            if out and a <= out[-1][1] + 5:
+                out[-1] = (out[-1][0], max(out[-1][1], b), out[-1][2] + 1)
+            else:
+                out.append((a, b, 1))
+        want += [(str(k), *x) for x in out] if by else out
+    assert got == sorted(want)
