@@ -30,7 +30,7 @@ def suffix_array(s: Sequence[int]) -> list[int]:
             of[i] = g
     done = [False] * len(members)
     g = len(members) - 1
-    while g >= 0:
+    while g > 0:  # the last symbol's group is the lowest, and never done: every chain of pointers ends there
         done[g] = True
         counts: dict[int, int] = {}
         own = members[g]
@@ -38,7 +38,7 @@ def suffix_array(s: Sequence[int]) -> list[int]:
             own = members[g] = [i for i in own if of[i] == g]
         for i in own:
             j = i - 1
-            while done[of[j]]:  # -1 stands for the last symbol, whose group is done last
+            while done[of[j]]:  # -1 stands for the last symbol, whose group is never done
                 j = prev[j]
             prev[i] = j
             if j >= 0:

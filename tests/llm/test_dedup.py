@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import signal
 
 import numpy as np
 import pytest
@@ -139,6 +140,21 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_array_ends():
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(20)
+    try:
+        assert suffix_array([0]) == [0] and suffix_array([1, 0]) == [1, 0] and suffix_array([2, 1, 2, 0]) == [3, 1, 2, 0]
+        assert suffix_array([1] * 3000 + [0]) == list(range(3000, -1, -1))
+        assert suffix_array([*range(1, 300), *range(1, 300), 0]) == [598, *(x for k in range(299) for x in (k + 299, k))]
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_kmer_hashes_depend_on_content_alone():
     a = kmer_hashes(np.frombuffer(b"xxabcdefghijabcdefghij", np.uint8), 10)
     assert a[2] == a[12] and len(set(a.tolist())) == len(a) - 1
