@@ -5,11 +5,11 @@
    content decides. Each text thus falls into segments, runs of
    strings with the same anchor. One shuffle of (anchor, id) finds the anchors that several
    texts have; all other segments hold nothing that repeats. An anchor that a batch of texts has
-   more than once sends one row for the batch, so no anchor fills a task.
+   more than once sends one entry for the batch, so no anchor fills a task. Entries move in blobs, one for each batch and part of the anchors.
 3. The remaining segments meet by anchor. There, equal segments collapse into one with its least
-   id, and the suffix array of the distinct ones, built by linear grouping, brings
+   id; those that no other can share a string with, by the symbols around the anchor, are done. The suffix array of the rest, built by linear grouping, brings
    equal strings next to each other; the least id of such a run decides which
-   occurrences go. The anchor, which they all share, is one symbol there. Groups are streamed from sorted partitions, one at a time.
+   occurrences go. Every string holds the anchor, so a segment's anchor and what follows it are one symbol there. Groups are streamed from sorted partitions, one at a time.
 4. Anchors that occur more than ``hot`` times don't meet in one task. Their segments are dealt to parts by id; each part
    cuts its distinct ones into strings, the least id of each string's 128-bit hash is an aggregation over the
    parts, and the parts that have the string learn it. This is a choice of plan: both ways find the same strings.
@@ -40,15 +40,14 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import bucketed, removed, written
 from lodestrata.llm.gsaca import suffix_array
 
-#: Stands between segments; no byte of UTF-8. ABOVE puts it below all bytes of UTF-8, and CORE above.
-GAP = b"\xff"
-#: Stands for a segment's anchor, which all segments of a group have.
+#: Stands for a segment's anchor, which all segments of a group have; no byte of UTF-8.
 CORE = b"\xfe"
 #: Bytes of short texts that are hashed together: few numpy calls, and arrays that stay in a core's cache.
 TOGETHER = 1 << 14
 #: Bits of a place in a text; above them stands the text's tag.
 TAG = 40
-ABOVE = bytes([*range(2, 256), 255, 1])
+#: Anchors are dealt to so many parts at least, each of which is held in memory.
+PARTS = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -65,26 +64,31 @@ class Repeats:
 
 
 def spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+#: A number for each byte, and the base of the polynomial that puts them together.
+BYTES = spread(spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+BASE = 0x9E3779B97F4A7C15
 
 
 def kmer_hashes(b: np.ndarray, k: int) -> np.ndarray:
     """64-bit hash of the k bytes that start at each position."""
-    h, have, parts = spread(b.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), 1, []
-    at, n = 0, len(b) - k + 1
+    h, have, at, n = BYTES[b], 1, 0, len(b) - k + 1
+    out = None
     while True:
+        power = np.uint64(pow(BASE, have, 1 << 64))
         if k & have:  # runs of 1, 2, 4, ... bytes, put together by k's binary digits
-            parts.append((at, h))
+            part = h[at : at + n]
+            out = part if out is None else out * power + part
             at += have
         if at == k:
-            break
-        h = spread(h[:-have] * np.uint64(0x9E3779B97F4A7C15) + h[have:])
+            return spread(out)
+        h = h[:-have] * power + h[have:]
         have *= 2
-    out = np.full(n, k, np.uint64)
-    for at, h in parts:
-        out = spread(out * np.uint64(0x9E3779B97F4A7C15) + h[at : at + n])
-    return out
 
 
 class Segments(NamedTuple):
@@ -146,28 +150,53 @@ def segments(texts: list[bytes], how: Repeats) -> Iterator[Segments]:
         yield flush()
 
 
+def sharing(texts: list[bytes], length: int) -> list[bytes]:
+    """The segments that may have a string in common with another: all that do, and few more.
+
+    A common string of d symbols before the anchor has a third of all d, and from there on the symbols that any such string has in common.
+    """
+    reach = length - 1
+    edges = [reach * j // 3 for j in range(4)]
+    first: dict[bytes, int] = {}
+    some: set[int] = set()
+    for k, t in enumerate(texts):
+        core = t.index(CORE)
+        after = len(t) - core - 1
+        for a, b in zip(edges, edges[1:], strict=False):
+            if core >= a and after >= reach - b:
+                x = first.setdefault(t[core - a : core + 1 + reach - b], k)
+                if x != k:
+                    some |= {x, k}
+    return [texts[k] for k in sorted(some)]
+
+
 def least_ids(group: dict[bytes, int], length: int) -> dict[bytes, list[tuple[int, int, int]]]:
     """For each segment of a group (segment to least id): runs (first, last, id) of its strings' starts, id the least that has them."""
-    texts = list(group)
-    if len(texts) == 1:
-        return {texts[0]: [(0, len(texts[0]) - length, group[texts[0]])]}
-    whole = GAP.join(texts) + GAP
-    out = [[0] * (len(t) - length + 1) for t in texts]
+    found = {t: [(0, len(t) - length, i)] for t, i in group.items()}
+    texts = sharing(list(group), length) if len(group) > 1 else []
+    if not texts:
+        return found
+    # what follows the anchor is one symbol, by its rank; the end is smaller than any
+    cores = [t.index(CORE) for t in texts]
+    rank = {x: 256 + k for k, x in enumerate(sorted({t[c:] for t, c in zip(texts, cores, strict=True)}))}
+    whole: list[int] = []
     owner: list[int] = []
     begin: list[int] = []
-    for k, t in enumerate(texts):
-        begin.append(len(owner))
-        owner += [k] * (len(t) + 1)
-    # every gap is smaller than any byte, and the end smaller still
-    order = suffix_array([*whole.translate(ABOVE), 0])
+    for k, (t, c) in enumerate(zip(texts, cores, strict=True)):
+        begin.append(len(whole))
+        whole += t[:c]
+        whole.append(rank[t[c:]])
+        owner += [k] * (c + 1)
+    whole.append(-1)
+    out = [[0] * (len(t) - length + 1) for t in texts]
     run: list[tuple[list[int], int]] = []
-    known, least, ids = None, 0, list(group.values())
-    for p in order[1:]:
+    known, least, ids = None, 0, [group[t] for t in texts]
+    for p in suffix_array(whole)[1:]:
         k = owner[p]
         i = p - begin[k]
         if i >= len(out[k]):
             continue
-        string = whole[p : p + length]
+        string = texts[k][i : i + length]
         if string != known:
             for o, at in run:
                 o[at] = least
@@ -177,7 +206,6 @@ def least_ids(group: dict[bytes, int], length: int) -> dict[bytes, list[tuple[in
         run.append((out[k], i))
     for o, at in run:
         o[at] = least
-    found = {}
     for t, o in zip(texts, out, strict=True):
         spans, at = [], 0
         for i in range(1, len(o) + 1):
@@ -196,21 +224,51 @@ def anchor_rows(anchors: np.ndarray, ids: np.ndarray, kind: np.ndarray) -> pa.Re
     return pa.record_batch([pa.array(anchors, pa.int64()), pa.array(ids, pa.int64()), pa.array(kind, pa.int8())], names=["anchor", "id", "kind"])
 
 
-def anchored(texts: DataFrame, how: Repeats) -> DataFrame:
-    """(anchor, id, kind): the distinct anchors of each text. Those that several texts of a batch have are wanted at once, and reported with how often they occur."""
+def turned(anchors: np.ndarray) -> np.ndarray:
+    """Halves swapped, as the upper ones of least hashes are small."""
+    a = anchors.view(np.uint64)
+    return a << np.uint64(32) | a >> np.uint64(32)
+
+
+def blob(a: np.ndarray, value: np.ndarray, kind: np.ndarray, base: int) -> bytes:
+    """Entries in the order of their turned anchors: steps, values (ids less a base) and kinds, byte by byte, so that equal bytes stand together."""
+    step = np.append(a[:1], a[1:] - a[:-1])
+    less = np.where(kind == SEVERAL, value, value - base)
+    planes = np.column_stack([step.view(np.uint8).reshape(-1, 8), less.view(np.uint8).reshape(-1, 8), kind.astype(np.uint8)])
+    return base.to_bytes(8, "little", signed=True) + planes.T.tobytes()
+
+
+def entries(z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, value, kind) of a blob."""
+    planes = np.frombuffer(z, np.uint8, offset=8).reshape(17, -1)
+    a = np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64)
+    value, kind = np.ascontiguousarray(planes[8:16].T).view(np.int64).ravel(), planes[16]
+    return turned(a).view(np.int64), np.where(kind == SEVERAL, value, value + int.from_bytes(z[:8], "little", signed=True)), kind
+
+
+def anchored(texts: DataFrame, how: Repeats, parts: int) -> DataFrame:
+    """(part, blob) of entries (anchor, id, kind): the distinct anchors of each text. Those that several texts of a batch have are wanted at once, in parts below zero, and reported with how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            a, i = np.concatenate(anchors), np.concatenate(ids)
+            a, i = turned(np.concatenate(anchors)), np.concatenate(ids)
             order = np.argsort(a)
             a, i = a[order], i[order]
             first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
             n = np.diff(np.append(first, len(a)))
-            many = n > 1
-            more = np.repeat(many, n)
-            kind = np.concatenate([np.full((~more).sum(), ONE), np.full(many.sum(), SEVERAL), np.full(more.sum(), WANTED)])
-            times = np.add.reduceat(np.concatenate(counts)[order], first)
-            return anchor_rows(np.concatenate([a[~more], a[first[many]], a[more]]), np.concatenate([i[~more], times[many], i[more]]), kind)
+            more = np.repeat(n > 1, n)
+            base = int(i.min())
+            wanted, of = a[more], i[more]
+            value = np.where(n > 1, np.add.reduceat(np.concatenate(counts)[order], first), i[first])
+            kind, a = np.where(n > 1, SEVERAL, ONE), a[first]
+            part = ((a >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            at = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            where, blobs = part[at].tolist(), [blob(a[x:y], value[x:y], kind[x:y], base) for x, y in zip(at, np.append(at[1:], len(a)), strict=True)]
+            for x in range(0, len(wanted), 1 << 12):
+                some = wanted[x : x + (1 << 12)]
+                where.append(-1 - int(spread(some[:1] ^ of[x : x + 1].view(np.uint64))[0]) % parts)
+                blobs.append(blob(some, of[x : x + (1 << 12)], np.full(len(some), WANTED), base))
+            return pa.record_batch([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
         anchors, ids, counts, size = [], [], [], 0
         for b in batches:
@@ -231,7 +289,20 @@ def anchored(texts: DataFrame, how: Repeats) -> DataFrame:
         if anchors:
             yield out()
 
-    return texts.select("id", "z").mapInArrow(run, "anchor long, id long, kind byte")
+    return texts.select("id", "z").mapInArrow(run, "part int, blob binary")
+
+
+def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, id, kind) in the order of the anchors within each part, from rows (part, blob) in the order of their parts."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for part, some in groupby(rows, key=lambda r: r[0]):
+        if part < 0:
+            for _, z in some:
+                yield anchor_rows(*entries(z))
+            continue
+        a, value, kind = (np.concatenate(x) for x in zip(*(entries(z) for _, z in some), strict=True))
+        order = np.argsort(a)
+        yield anchor_rows(a[order], value[order], kind[order])
 
 
 def several(how: Repeats):
@@ -445,9 +516,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     removed(first, prints, marks)
     own = texts.where(~F.col("copy") & F.col("id").isNotNull()).select("id", "z", "tag")
 
-    place = F.when(F.col("kind") == WANTED, F.col("id")).otherwise(F.col("anchor"))
-    by_anchor = anchored(own, how).repartition(tasks, place).sortWithinPartitions("anchor")
-    shared = written(by_anchor.mapInArrow(several(how), "anchor long, id long, kind byte"), "shared")
+    pick = several(how)
+    by_part = anchored(own, how, max(PARTS, 8 * tasks)).repartition(tasks, "part").sortWithinPartitions("part")
+    shared = written(by_part.mapInArrow(lambda batches: pick(in_order(batches)), "anchor long, id long, kind byte"), "shared")
     wants, hot = shared.where(F.col("kind") == WANTED).select("anchor", "id"), shared.where(F.col("kind") == HOT)
     most = hot.agg(F.max("id")).first()[0]
     if most:

@@ -12,7 +12,7 @@ from lodestrata.llm.components import components
 from lodestrata.llm.gsaca import suffix_array
 from lodestrata.llm.line_dedup import line_dedup
 from lodestrata.llm.near_dedup import Near, near_dedup, shingles
-from lodestrata.llm.suffix_dedup import Repeats, anchor_rows, cut, kmer_hashes, segments, several, suffix_dedup
+from lodestrata.llm.suffix_dedup import CORE, Repeats, anchor_rows, blob, cut, entries, in_order, kmer_hashes, least_ids, segments, several, sharing, suffix_dedup, turned
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -220,6 +220,35 @@ def test_cut():
         assert cut(text, spans) == (bytes(c for c, g in zip(text, gone) if not g), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)))
 
 
+def test_least_ids_of_a_group():
+    rng = random.Random(4)
+    for _ in range(400):
+        length = rng.choice((2, 3, 8, 14, 31))
+        near = lambda: bytes(rng.choice(b"abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, length - 1)))
+        group = {x: rng.randint(0, 9) for x in (near() + CORE + near() for _ in range(rng.randint(1, 12))) if len(x) >= length}
+        strings = lambda t: [t[k : k + length] for k in range(len(t) - length + 1)]
+        first = {x: min(i for t, i in group.items() if x in strings(t)) for t in group for x in strings(t)}
+        got = least_ids(group, length)
+        assert {t: [i for a, b, i in spans for _ in range(a, b + 1)] for t, spans in got.items()} == {t: [first[x] for x in strings(t)] for t in group}
+        several_have = {t for t in group if any(x in strings(u) for x in strings(t) for u in group if u != t)}
+        assert several_have <= set(sharing(list(group), length)) <= set(group)
+
+
+def test_blobs_hold_their_entries():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for top in (3, 2**62):
+        rows = [(rng.randint(-(2**63), 2**63 - 1), rng.choice((2, -top, top, rng.randint(-top, top))), rng.choice((0, 1, 2))) for _ in range(200)]
+        anchor, value, kind = (np.array(c, np.int64) for c in zip(*rows))
+        order = np.argsort(turned(anchor))
+        z = blob(turned(anchor)[order], value[order], kind[order], -top)
+        assert sorted(zip(*(x.tolist() for x in entries(z)))) == sorted(rows)
+        batch = pa.record_batch([pa.array([-1, 0, 0], pa.int32()), pa.array([z] * 3, pa.binary())], names=["part", "blob"])
+        wanted, got = ([r for r in zip(*(c.to_pylist() for c in b.columns))] for b in in_order(iter([batch.slice(0, 2), batch.slice(2)])))
+        assert sorted(wanted) == sorted(rows) and sorted(got) == sorted(rows * 2) and [r[0] for r in got] == sorted(r[0] for r in got)
+
+
 def test_several_streams_runs_over_batches():
     import pyarrow as pa
 
