@@ -241,21 +241,33 @@ def held_out(i: int | None) -> bool:
     return i is None or zlib.crc32(str(i).encode()) % 5 == 0
 
 
-def sample(labelled: DataFrame, how: Grammar) -> DataFrame:
-    """(text, y) of at most how.max_labelled rows (id, text, y), copies of openings and endings left out."""
-    words = F.split(F.trim("text"), r"\s+")
-    key = F.xxhash64(F.col("id").cast("string"))
-    rows = labelled.where(F.col("text").isNotNull() & F.col("y").isNotNull()).withColumn("key", key)
-    ends = rows.select("id", "y", "key", F.xxhash64(F.slice(words, 1, 8)).alias("head"), F.xxhash64(F.slice(F.reverse(words), 1, 8)).alias("tail"))
-    some = ends.orderBy("key", "id").limit(how.max_labelled)
+def ends_of(docs: DataFrame, taught: DataFrame) -> DataFrame:
+    """(id, y, head, tail) of each text of docs (id, text) that taught (id, y) labels: hashes of its opening and its ending. Texts don't move to labels."""
+    first = lambda c: F.xxhash64(F.slice(F.split(c, r"\s+", 9), 1, 8))
+    text = F.trim("text")
+    return docs.where(F.col("text").isNotNull()).select("id", first(text).alias("head"), first(F.reverse(text)).alias("tail")).join(taught.where(F.col("y").isNotNull()), "id")
+
+
+def sample(docs: DataFrame, taught: DataFrame, how: Grammar) -> DataFrame:
+    """(text, y) of at most how.max_labelled rows of docs (id, text) that taught (id, y; distinct ids) labels, copies of openings and endings left out.
+
+    Only the texts of the sample move; its ids, as many at most, go to all tasks.
+    """
+    some = ends_of(docs, taught).withColumn("key", F.xxhash64(F.col("id").cast("string"))).orderBy("key", "id").limit(how.max_labelled)
     for end in ("head", "tail"):
         some = some.groupBy(end).agg(F.min_by(F.struct("id", "y", "key", "head", "tail"), F.struct("key", "id")).alias("x")).select("x.*")
-    return rows.join(some.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("text", "y")
+    chosen = written(some.groupBy("id").agg(F.max("y").alias("y")), "chosen")
+    return docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("text", "y")
 
 
 def learn(labelled: DataFrame, how: Grammar = Grammar()) -> Model:
     """A model from rows (id, text, y), y 1 for toxic."""
-    rows = written(sample(labelled, how), "labelled")
+    return learn_labels(labelled.select("id", "text"), labelled.groupBy("id").agg(F.max("y").alias("y")), how)
+
+
+def learn_labels(docs: DataFrame, taught: DataFrame, how: Grammar = Grammar()) -> Model:
+    """A model from texts (id, text) and the labels (id, y) of some, y 1 for toxic, one an id."""
+    rows = written(sample(docs, taught, how), "labelled")
     size = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
@@ -316,5 +328,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Grammar = Grammar()) -> Da
     """Score docs (doc_id, text) with what labels (doc_id, toxic) teach, outside the held-out fifth."""
     taught = labels.where(F.col("toxic").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     taught = taught.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    labelled = docs.select(F.col("doc_id").alias("id"), "text").join(taught, "id")
-    return score(docs, learn(labelled, how))
+    return score(docs, learn_labels(docs.select(F.col("doc_id").alias("id"), "text"), taught, how))

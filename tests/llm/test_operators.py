@@ -268,6 +268,35 @@ def test_toxicity_learns(spark):
     assert X.toxicity(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_only_the_texts_of_the_sample_move(spark, tmp_path):
+    rng = random.Random(23)
+    word = lambda: rng.choice(["ab", "cd", "é"])
+    rows = [(i, "".join(word() + rng.choice([" ", "\n", "  "]) for _ in range(rng.choice((3, 9, 30))))) for i in range(300)] + [(300, None), (301, ""), (302, " ")]
+    for name, data, schema in (("docs", rows, "id long, text string"), ("taught", [(i, i % 3 and i % 2) for i in range(303)] + [(303, None)], "id long, y int")):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name))
+    docs, taught = (spark.read.parquet(str(tmp_path / x)) for x in ("docs", "taught"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = X.ends_of(docs, taught), X.sample(docs, taught, X.Grammar(max_labelled=200))
+        for f in frames:
+            plan = f._sc._jvm.PythonSQLUtils.explainString(f._jdf.queryExecution(), "formatted")
+            assert "Exchange" in plan and not re.search(r"Exchange\nInput \[\d+\]: \[[^]]*\btext#", plan), plan
+        ends = [tuple(r) for r in frames[0].select("id", "head", "tail").collect()]
+        got = sorted(tuple(r) for r in frames[1].collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    parts = {i: re.split(r"\s+", t.strip(" ")) for i, t in rows if t is not None}
+    for k, of in ((1, lambda w: tuple(w[:8])), (2, lambda w: tuple(w[::-1][:8]))):
+        assert len({(r[k], of(parts[r[0]])) for r in ends}) == len({r[k] for r in ends}) == len({of(parts[r[0]]) for r in ends})
+    key = {r.id: r.k for r in spark.range(303).selectExpr("id", "xxhash64(cast(id as string)) as k").collect()}
+    left = sorted(parts, key=lambda i: (key[i], i))[:200]
+    for of in (lambda w: tuple(w[:8]), lambda w: tuple(w[::-1][:8])):
+        left = list({of(parts[i]): i for i in reversed(left)}.values())
+        left.sort(key=lambda i: (key[i], i))
+    assert got == sorted((rows[i][1], i % 3 and i % 2) for i in left)
+
+
 def test_rare_insults_are_learnt(spark):
     rows = [(i, f"zarg blurk w{i % 50} and then some more", 1) for i in range(1000)] + [(5000 + i, f"w{i % 50} vex{'abcdef'[i]}x quolm is here", 1) for i in range(6)]
     rows += [(9000 + i, f"w{i % 50} x{i} plain and fine words", 0) for i in range(3000)]
