@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Hashable, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestrata.sources import shared
 from lodestrata.sources.shared import filesystem, shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "bucketed", "filesystem", "free_names", "removed", "shared_dir", "table", "words", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "bucketed", "filesystem", "free_names", "held", "released", "removed", "shared_dir", "table", "words", "written"]
 
 #: A word, wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +44,23 @@ def free_names(columns: Sequence[str], *wanted: str) -> list[str]:
     return out
 
 
+#: What a worker keeps for its next task, by its name: one thing at a time, as the stages of a pipeline share their workers.
+HELD: dict[Hashable, Any] = {}
+
+
+def held(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What this worker holds by a name, made if it holds something else or nothing; that goes before."""
+    if name not in HELD:
+        released()
+        HELD[name] = make()
+    return HELD[name]
+
+
+def released() -> None:
+    """This worker keeps nothing."""
+    HELD.clear()
+
+
 #: Bucketed tables of this driver, which are also names in the catalog.
 TABLES: set[str] = set()
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import LOWER, UPPER, bucketed, removed, written
+from lodestrata.llm.common import LOWER, UPPER, bucketed, released, removed, written
 from lodestrata.llm.components import components
 from lodestrata.llm.sorted_arrays import SortedArrays, sorted_table
 
@@ -131,6 +131,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, how: Near) -> DataFr
     """(id, n, fp, keys, samples, odd) of each row: set size, fingerprint of the set, band keys, odd sketch and its samples."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         sketch = Sketcher(how)
         for b in batches:
             n, fp, keys, samples, odd = [], [], [], [], []
@@ -153,6 +154,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
     files = sorted(ids.inputFiles())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         index = SortedArrays(files, 4_000_000)
         for b in batches:
             b = b.filter(pa.array(index.find(b.column(2).to_numpy())[:, 0] > 0))

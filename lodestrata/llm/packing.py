@@ -38,6 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import held
+
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -79,8 +81,6 @@ def ranked(path: str):
 class Encoder:
     """Ids of whole texts and the token offsets of their sentence ends."""
 
-    loaded: dict[str, Encoder] = {}
-
     def __init__(self, path: str, limit: int) -> None:
         import os
 
@@ -96,9 +96,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str, limit: int) -> Encoder:
-        if path not in cls.loaded:
-            cls.loaded[path] = cls(path, limit)
-        return cls.loaded[path]
+        return held(("encoder", path), lambda: cls(path, limit))
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import removed, written
+from lodestrata.llm.common import held, released, removed, written
 from lodestrata.llm.sorted_arrays import SortedArrays, hashes, opened, sorted_table
 
 BITS = 12
@@ -148,6 +148,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> Da
     """(lang, key, n, prose): n-grams of the highest order over all whole texts, and over those that read as prose."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         held: dict[str, list[np.ndarray]] = {}  # keys with prose or not as their last bit
         kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
@@ -319,15 +320,9 @@ class Model:
         return [float(np.exp(-t / k)) if k else None for t, k in zip(total, n, strict=True)]
 
 
-#: The model that this worker scored with last, for its next task.
-LAST: dict[tuple[Tables, Perplexity], Model] = {}
-
-
 def model_of(tables: Tables, how: Perplexity) -> Model:
-    if (tables, how) not in LAST:
-        LAST.clear()
-        LAST[tables, how] = Model(tables, how)
-    return LAST[tables, how]
+    """The model that this worker scored with last, kept for its next task."""
+    return held(("model", tables, how), lambda: Model(tables, how))
 
 
 def scored(docs: DataFrame, tables: Tables, how: Perplexity, id_col: str, lang_col: str, text_col: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """The stages of the pipeline, each against brute force on its own input."""
 
+import gc
 import random
+import weakref
 from collections import Counter
 
 import corpus_pipeline as C
@@ -10,6 +12,9 @@ import pytest
 from test_dedup import near_brute
 
 from lodestrata.llm import mixing
+from lodestrata.llm import quality as quality_module
+from lodestrata.llm.common import released
+from lodestrata.llm.packing import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, new_text string, kept_id int, mix_shard int, id string"
 
@@ -97,3 +102,21 @@ def test_run(spark, tmp_path, given):
         spans.sort()
         assert [a for a, _ in spans] == list(np.cumsum([0] + [n for _, n in spans])[:-1]) and sum(n for _, n in spans) <= 2048
     assert len(out) > 20 and not {200, 201, 202, 203} & {r.doc_id for r in out}
+
+
+def test_a_worker_keeps_the_state_of_one_stage():
+    """The pipeline's stages share their workers: a model must not stay beside an encoder."""
+    tables, how = quality_module.Tables((), (), ()), quality_module.Perplexity()
+    model = quality_module.model_of(tables, how)
+    assert quality_module.model_of(tables, how) is model
+    gone = weakref.ref(model)
+    del model
+    encoder = Encoder.of(public_tokenizers.path("byte_bpe_50k.json"), 10)
+    gc.collect()
+    assert gone() is None and Encoder.of(public_tokenizers.path("byte_bpe_50k.json"), 10) is encoder
+    gone = weakref.ref(encoder)
+    del encoder
+    quality_module.model_of(tables, how)
+    gc.collect()
+    assert gone() is None
+    released()
