@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import threading
 import uuid
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.sources import shared
 from lodestrata.sources.shared import filesystem, shared_dir, written
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "bucketed", "filesystem", "free_names", "held", "released", "removed", "shared_dir", "table", "words", "written"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "bucketed", "filesystem", "free_names", "held", "released", "removed", "resting", "shared_dir", "table", "words", "written"]
 
 #: A word, wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,17 +52,43 @@ def free_names(columns: Sequence[str], *wanted: str) -> list[str]:
 HELD: dict[Hashable, Any] = {}
 
 
+#: Seconds without a task after which a worker keeps nothing: what runs in the JVM alone needs the memory.
+REST = 0.5
+RESTS: list[threading.Timer] = []
+
+
 def held(name: Hashable, make: Callable[[], Any]) -> Any:
     """What this worker holds by a name, made if it holds something else or nothing; that goes before."""
-    if name not in HELD:
+    got = HELD.get(name)  # once: a rest may end between two looks
+    if got is None:
         released()
-        HELD[name] = make()
-    return HELD[name]
+        got = HELD[name] = make()
+    return got
 
 
 def released() -> None:
-    """This worker keeps nothing."""
+    """This worker keeps nothing, and its allocators give back what is free."""
     HELD.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def worked(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """f(batches); if no other task follows within ``REST`` seconds, the worker keeps nothing."""
+    while RESTS:
+        RESTS.pop().cancel()
+    try:
+        yield from f(batches)
+    finally:
+        RESTS.append(threading.Timer(REST, released))
+        RESTS[-1].daemon = True
+        RESTS[-1].start()
+
+
+def resting(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow after whose last task workers soon keep nothing."""
+    return lambda batches: worked(f, batches)
 
 
 #: Bucketed tables of this driver, which are also names in the catalog.

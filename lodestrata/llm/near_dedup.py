@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import LOWER, UPPER, bucketed, released, removed, written
+from lodestrata.llm.common import LOWER, UPPER, bucketed, released, removed, resting, written
 from lodestrata.llm.components import components
 from lodestrata.llm.sorted_arrays import SortedArrays, sorted_table
 
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, how: Near) -> DataFr
                 odd.append(o)
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.int32()), pa.array(odd, pa.binary())], names=["id", "n", "fp", "keys", "samples", "odd"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {dict(docs.dtypes)[id_col]}, n long, fp binary, keys array<long>, samples int, odd binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(resting(sign), f"id {dict(docs.dtypes)[id_col]}, n long, fp binary, keys array<long>, samples int, odd binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
@@ -163,7 +163,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, how: Near) -> DataFrame:
                 fp = [xxhash.xxh3_128_digest(s.tobytes()) for s in part]
                 yield pa.record_batch([b.column(0).slice(i, 64), pa.array(fp, pa.binary()), pa.array([s.view(np.int64) for s in part], pa.list_(pa.int64()))], names=["id", "fp", "shingles"])
 
-    out = docs.where(F.col("id").isNotNull()).select("id", "text", F.xxhash64("id").alias("hash")).mapInArrow(sets, f"id {dict(docs.dtypes)['id']}, fp binary, shingles array<long>")
+    out = docs.where(F.col("id").isNotNull()).select("id", "text", F.xxhash64("id").alias("hash")).mapInArrow(resting(sets), f"id {dict(docs.dtypes)['id']}, fp binary, shingles array<long>")
     out = written(out, "sets")
     removed(ids)
     return out

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import held, released, removed, written
+from lodestrata.llm.common import held, released, removed, resting, written
 from lodestrata.llm.sorted_arrays import SortedArrays, hashes, opened, sorted_table
 
 BITS = 12
@@ -185,7 +185,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str, order: int) -> Da
             yield from out(lang)
 
     rows = docs.where(F.col(text_col) != "").select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, "lang string, key long, n long, prose long").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("prose").alias("prose"))
+    return rows.mapInArrow(resting(count), "lang string, key long, n long, prose long").groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("prose").alias("prose"))
 
 
 @dataclass(frozen=True)
@@ -336,7 +336,7 @@ def scored(docs: DataFrame, tables: Tables, how: Perplexity, id_col: str, lang_c
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array(base[:, i]) for i in range(5)), pa.array(model.perplexities(lang, text), pa.float64())], names=["id", "lang", *COUNTS, "perplexity"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, lang string, {', '.join(f'{n} long' for n in COUNTS)}, perplexity double")
+    return rows.mapInArrow(resting(score), f"id {dict(rows.dtypes)['id']}, lang string, {', '.join(f'{n} long' for n in COUNTS)}, perplexity double")
 
 
 def bands_of(rows: DataFrame, how: Perplexity) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import gc
 import random
+import time
 import weakref
 from collections import Counter
 
 import corpus_pipeline as C
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_dedup import near_brute
 
@@ -120,3 +122,19 @@ def test_a_worker_keeps_the_state_of_one_stage():
     gc.collect()
     assert gone() is None
     released()
+
+
+def test_idle_workers_keep_nothing(spark):
+    """Stages that run in the JVM alone share their executors with the workers of the stage before."""
+
+    def keeps(batches):
+        from lodestrata.llm.common import HELD
+
+        for _ in batches:
+            yield pa.record_batch({"n": pa.array([len(HELD)], pa.int64())})
+
+    docs = documents(spark, rows())
+    for stage in (C.quality_rules, C.pack_tokens):
+        stage(spark, docs, "").collect()
+        time.sleep(2)
+        assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(keeps, "n long").collect()} == {0}
