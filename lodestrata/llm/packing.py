@@ -16,7 +16,8 @@ comes once a task, and there the rest may be cut into powers of two.
 
 Token ids: the tokenizer splits at white space first, so the ids of a text are those of
 its space-separated chunks, which a bounded cache keeps; a chunk never seen
-goes through the tokenizer itself. Texts that hold a special token go through it whole.
+goes through the tokenizer itself. Texts whose chunks stand between single spaces are split together, and each
+distinct chunk of some megabytes is looked up once. Texts that hold a special token go through the tokenizer whole.
 
 Null or empty text: just the end id. An empty table gives no rows. Repeated rows are
 packed as often as they come. Very long texts run over many sequences.
@@ -31,9 +32,11 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import held, resting
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of texts that are split together.
+TOGETHER = 1 << 23
 RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -90,6 +95,10 @@ class Encoder:
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.fast = ranked(path)
+        #: Bytes of each id, where ids are tiktoken's.
+        self.n_bytes = np.zeros(self.fast.n_vocab if self.fast else 0, np.int64)
+        for b in self.fast.token_byte_values() if self.fast else ():
+            self.n_bytes[self.fast.encode_single_token(b)] = len(b)
         #: Ids of chunks that follow a space (which belongs to them), and those of them that end a sentence.
         self.ids: dict[str, bytes] = {}
         self.ends: set[str] = set()
@@ -106,10 +115,24 @@ class Encoder:
             return (array("I", x).tobytes() for x in map(self.fast.encode_ordinary, chunks))
         return (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False))
 
+    def joined(self, chunks: list[str]) -> list[bytes] | None:
+        """Ids of chunks that follow a space, by one call: the tokenizer splits before each of these spaces. None where it doesn't."""
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(chunks)), np.uint32)
+        done = np.cumsum(self.n_bytes[ids])
+        stops = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in chunks), np.int64, len(chunks)) + 1)
+        last = np.minimum(np.searchsorted(done, stops), len(done) - 1)
+        if done[-1] != stops[-1] or (done[last] != stops).any():
+            return None
+        data, at = ids.tobytes(), [0, *((last + 1) << 2).tolist()]
+        return [data[a:b] for a, b in pairwise(at)]
+
     def learn(self, chunks: set[str]) -> None:
         new = list(chunks)
-        self.ids.update(zip(new, self.ids_of([" " + c for c in new]), strict=True))
-        self.ends.update(c for c in new if sentence_end(c))
+        if not new:
+            return
+        got = self.joined(new) if self.fast else None
+        self.ids.update(zip(new, got or self.ids_of([" " + c for c in new]), strict=True))
+        self.ends.update(c for c in new if not c.isalnum() and sentence_end(c))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if not text:
@@ -119,10 +142,7 @@ class Encoder:
         if len(self.ids) > self.limit:
             self.ids.clear()
             self.ends.clear()
-        if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or RARE.search(text):
-            first, *chunks = SAFE.split(text)
-        else:
-            first, *chunks = text.split(" ")
+        first, *chunks = SAFE.split(text)
         got = list(map(self.ids.get, chunks))
         if None in got:
             self.learn({c for c, g in zip(chunks, got, strict=True) if g is None})
@@ -132,6 +152,57 @@ class Encoder:
         ends = at[np.fromiter(map(self.ends.__contains__, chunks), bool, len(chunks))]
         return np.frombuffer(head + b"".join(got), np.uint32), ends
 
+    def plain(self, text: str | None) -> bool:
+        """Are its chunks what stands between its spaces?"""
+        if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or RARE.search(text):
+            return False
+        return not any(s in text for s in self.special)
+
+    def together(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What each of some plain texts gives."""
+        if len(self.ids) > self.limit:
+            self.ids.clear()
+            self.ends.clear()
+        lists = pc.split_pattern(texts, " ")
+        edges = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
+        coded = lists.flatten().dictionary_encode()
+        code, n = coded.indices.to_numpy().copy(), len(coded.dictionary)
+        firsts = coded.dictionary.take(pa.array(code[edges[:-1]])).to_pylist()
+        code[edges[:-1]] = n + np.arange(len(firsts))
+        used = np.zeros(n + len(firsts), bool)
+        used[code] = True  # a chunk that only opens texts follows no space
+        code = (np.cumsum(used, dtype=np.int32) - 1)[code]
+        chunks = coded.dictionary.filter(pa.array(used[:n])).to_numpy(zero_copy_only=False).tolist()
+        del lists, coded
+        got = list(map(self.ids.get, chunks))
+        new = {c for c, g in zip(chunks, got, strict=True) if g is None}
+        if new:
+            self.learn(new)
+            got = list(map(self.ids.__getitem__, chunks))
+        _, offsets, data = pa.array([*got, *self.ids_of(firsts)], pa.large_binary()).take(pa.array(code)).buffers()
+        at = np.frombuffer(offsets, np.int64, len(code) + 1) >> 2
+        ids = np.frombuffer(data, np.uint32, at[-1])
+        ending = np.zeros(len(got) + len(firsts), bool)
+        ending[: len(got)] = np.fromiter(map(self.ends.__contains__, chunks), bool, len(got))
+        stops = np.flatnonzero(ending[code])
+        ends, of = at[stops + 1], np.searchsorted(stops, edges)
+        del code, chunks, got
+        for a, b, i, j in zip(at[edges[:-1]], at[edges[1:]], of, of[1:], strict=False):
+            yield ids[a:b], ends[i:j] - a
+
+    def many(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What each of the texts gives, in order."""
+        rows, begin = texts.to_pylist(), 0
+        while begin < len(rows):
+            end, size = begin, 0
+            while end < len(rows) and (end == begin or size + len(rows[end] or "") <= TOGETHER):
+                size, end = size + len(rows[end] or ""), end + 1
+            plain = list(map(self.plain, rows[begin:end]))
+            found = self.together(texts.take(pa.array(np.flatnonzero(plain) + begin))) if any(plain) else iter(())
+            for text, p in zip(rows[begin:end], plain, strict=True):
+                yield next(found) if p else self(text)
+            begin = end
+
 
 def sentence_end(chunk: str) -> bool:
     return chunk.rstrip("\"')»”]")[-1:] in (".", "!", "?", "…") or "\n" in chunk
@@ -155,27 +226,39 @@ def boundaries(length: int, ends: np.ndarray, how: Packing) -> tuple[np.ndarray,
     return pos, pen
 
 
+def powers_of_two(pos: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """(j, i) of all boundaries that lie a power of two apart, 32 at least and less than size, by j and then by that power; -1 ends j."""
+    found = []
+    for w in (1 << k for k in range(5, size.bit_length()) if 1 << k < size):
+        i = np.searchsorted(pos, pos - w, "right") - 1
+        j = np.flatnonzero((i >= 0) & (pos[i] == pos - w))
+        found.append((j, i[j]))
+    j, i = (np.concatenate([x[n] for x in found] or [np.zeros(0, np.int64)]) for n in (0, 1))
+    order = np.argsort(j, kind="stable")
+    return [*j[order].tolist(), -1], i[order].tolist()
+
+
 def windows(pos: list[int], pen: list[float], size: int) -> list[int]:
     """Indices of the boundaries that end the windows of least cost; pos[0] is the start, gaps are at most size."""
     f, back = [0.0] * len(pos), [0] * len(pos)
-    at = {pos[0]: 0}
+    to, come = powers_of_two(np.array(pos), size)
+    turn = 0
     queue: deque[int] = deque([0])
     key = [float(pos[0])] + [0.0] * (len(pos) - 1)  # f(i) + pos(i)
-    powers = [1 << k for k in range(5, size.bit_length()) if 1 << k < size]
     for j in range(1, len(pos)):
         p = pos[j]
         while pos[queue[0]] < p - size:
             queue.popleft()
         i = queue[0]
         best = key[i] + size - p
-        for w in powers:
-            o = at.get(p - w)
-            if o is not None and f[o] < best:
+        while to[turn] == j:
+            o = come[turn]
+            turn += 1
+            if f[o] < best:
                 best, i = f[o], o
         best += pen[j]
         f[j], back[j], k = best, i, best + p
         key[j] = k
-        at[p] = j
         while queue and key[queue[-1]] >= k:
             queue.pop()
         queue.append(j)
@@ -247,8 +330,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for b in batches:
             kind = b.column(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, ends = encoder(text)
+            for doc, (ids, ends) in zip(b.column(0).to_pylist(), encoder.many(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(how.end_id))
                 held.append([doc, ids, *boundaries(len(ids), ends, how), 0])
                 total += len(ids)
