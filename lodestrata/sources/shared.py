@@ -38,6 +38,11 @@ def deleted(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def sort_joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables of rows: never a broadcast, which Spark would choose by the size of compressed files."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def removed(*frames: DataFrame) -> None:
     """Delete tables that ``written`` made, once nothing reads them any more."""
     for df in frames:
