@@ -6,16 +6,19 @@ import base64
 import json
 import math
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import expr as X
-from lodestrata.functions.mvt import layer
+from lodestrata.functions.mvt import Layer, layer
 from lodestrata.functions.wkb import from_nested
 from lodestrata.sources.reader import LodTable
+from lodestrata.sources.shared import spread
 
 SCHEME = "lodestrata"
 MAX_ZOOM = 24
@@ -80,20 +83,59 @@ def tiles_of_boxes(rows: DataFrame, z: int) -> DataFrame:
     return out.drop("__lo", "__hi")
 
 
+def single_points(g: pa.Array) -> np.ndarray | None:
+    """(n, 2) of geometries that are all of one point, else None."""
+    if g.null_count or not (pa.compute.equal(pa.compute.struct_field(g, "type"), 1)).to_numpy(zero_copy_only=False).all():
+        return None
+    parts = pa.compute.struct_field(g, "parts")
+    for _ in range(3):
+        if parts.null_count or (pa.compute.list_value_length(parts).to_numpy(zero_copy_only=False) != 1).any():
+            return None
+        parts = parts.flatten()
+    if parts.null_count or any(pa.compute.struct_field(parts, c).null_count for c in "xy"):
+        return None
+    return np.column_stack([pa.compute.struct_field(parts, c).to_numpy(zero_copy_only=False) for c in "xy"])
+
+
 def render_tiles(rows: DataFrame, z: int, properties: Sequence[str], name: str = "layer", order: str = "row_index") -> DataFrame:
     """SNK-15/GEO-33/GEO-38: (z, tile_x, tile_y, tile) from rows (row_index, geometry, properties, tile_x, tile_y).
 
-    All rows are rendered; a tile is one value, so where tiles may grow too large, limit rows first (per_tile).
+    All rows are rendered. Spark sorts them, so that a task holds what one tile has of encoded features; a tile is one value,
+    so where tiles may grow too large, limit rows first (per_tile).
     """
     fields = [*properties]
 
-    def render(key: tuple, t: pa.Table) -> pa.Table:
-        x, y = key[0].as_py(), key[1].as_py()
-        t = t.sort_by(order)
-        features = ((r[order], from_nested(r["geometry"]["type"], r["geometry"]["parts"]), {p: r[p] for p in fields}) for r in t.to_pylist() if r["geometry"] is not None)
-        return pa.table({"z": pa.array([z], pa.int32()), "tile_x": [x], "tile_y": [y], "tile": pa.array([layer(name, features, z, x, y)], pa.binary())})
-
-    return rows.groupBy("tile_x", "tile_y").applyInArrow(render, "z int, tile_x long, tile_y long, tile binary")
+    def one(layer_: Layer, at: tuple[int, int]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([z], pa.int32()), pa.array([at[0]]), pa.array([at[1]]), pa.array([layer_.tile()], pa.binary())], names=["z", "tile_x", "tile_y", "tile"])
+
+    def add(to: Layer, b: pa.RecordBatch) -> None:
+        own = {p: b.column(b.schema.get_field_index(p)) for p in fields}
+        ids = b.column(b.schema.get_field_index(order))
+        if (xy := single_points(b.column(b.schema.get_field_index("geometry")))) is not None:
+            to.add_points(ids.to_pylist(), xy, {p: c.to_pylist() for p, c in own.items()})
+            return
+        for r in b.to_pylist():
+            if r["geometry"] is not None:
+                to.add(r[order], from_nested(r["geometry"]["type"], r["geometry"]["parts"]), {p: r[p] for p in fields})
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = now = None
+        for b in batches:
+            x, y = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("tile_x", "tile_y"))
+            turns = {0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), *range(0, len(x), 1000)} if len(x) else set()
+            stops = [*sorted(turns), len(x)]
+            for i, j in zip(stops, stops[1:], strict=False):
+                if (key := (int(x[i]), int(y[i]))) != at:
+                    if now is not None:
+                        yield one(now, at)
+                    at, now = key, Layer(name, z, *key)
+                add(now, b.slice(i, j - i))
+        if now is not None:
+            yield one(now, at)
+
+    narrow = rows.select(*dict.fromkeys([order, "geometry", *fields, "tile_x", "tile_y"]))
+    dealt = spread(narrow, "tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y", F.asc_nulls_last(order))
+    return dealt.mapInArrow(render, "z int, tile_x long, tile_y long, tile binary")
 
 
 def render_tile(spark: SparkSession, url: str, tables: dict[str, LodTable]) -> bytes:
