@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.expr import POINT, bbox_empty, cell, diagonal2, row_hash, unsigned_order, visible_level
-from lodestrata.sources.shared import written
+from lodestrata.sources.shared import sort_joined, written
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -29,7 +29,7 @@ def priority_rank(df: DataFrame, column: str, descending: bool = True, out: str
     values = df.select(F.col(column).alias("__v")).where(F.col("__v").isNotNull()).distinct()
     order = F.asc("__v") if descending else F.desc("__v")
     ranked = global_rank(values, [order], "__r")
-    return df.join(ranked, df[column] == ranked["__v"], "left").withColumn(out, F.coalesce(F.col("__r") + 1, F.lit(0)).cast("long")).drop("__v", "__r")
+    return sort_joined(df, ranked, df[column] == ranked["__v"], "left").withColumn(out, F.coalesce(F.col("__r") + 1, F.lit(0)).cast("long")).drop("__v", "__r")
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], out: str, within: Sequence[str] = ()) -> DataFrame:
@@ -83,17 +83,17 @@ def thin_points(points: DataFrame, ladder: Sequence[float], factor: float = 4.0,
         rest = written(narrow, "points")
         taken = None
         for i in range(last):
-            candidates = rest if taken is None else rest.join(taken, "fid", "left_anti")
+            candidates = rest if taken is None else sort_joined(rest, taken, "fid", "left_anti")
             if taken is not None:
                 occupied = taken.select(*at(i)).distinct()
-                candidates = candidates.select("*", *at(i)).join(occupied, ["ix", "iy"], "left_anti").drop("ix", "iy")
+                candidates = candidates.select("*", *at(i)).hint("merge").join(occupied.hint("merge"), ["ix", "iy"], "left_anti").drop("ix", "iy")
             new = written(top(candidates, i).select("fid", "cx", "cy", F.lit(i).alias("level")), f"level{i}")
             taken = new.drop("level") if taken is None else taken.unionByName(new.drop("level"))
             won = new.select("fid", "level") if won is None else won.unionByName(new.select("fid", "level"))
     if won is None:
         return points.withColumn("level", F.lit(last))
     first = won.groupBy("fid").agg(F.min("level").alias("level"))
-    return points.join(first, "fid", "left").withColumn("level", F.coalesce("level", F.lit(last)).cast("int"))
+    return sort_joined(points, first, "fid", "left").withColumn("level", F.coalesce("level", F.lit(last)).cast("int"))
 
 
 def assign_levels(rows: DataFrame, ladder: Sequence[float], thin: float = 4.0, line: float = 4.0, polygon: float = 4.0) -> DataFrame:

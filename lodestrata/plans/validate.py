@@ -133,7 +133,7 @@ def check(spark: SparkSession, path: str) -> Report:
 def faults(kind: str):
     @F.arrow_udf("string")
     def run(a: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else problem(v, kind) for v in a.to_pylist()], pa.string())
+        return pa.array([None if not v.is_valid else problem(v.as_py(), kind) for v in a], pa.string())
 
     return run
 
@@ -152,8 +152,8 @@ def check_values(spark: SparkSession, path: str, md, geo: GeoMeta, report: Repor
     bounds = spark.createDataFrame([(x.name, geo.lod_row_group_end(x)) for x in o.lods], "lod string, row_group_end int")
     for r in coverage_errors(coverage(flat, [x.name for x in o.lods]), bounds).orderBy("rg", "lod").limit(20).collect():
         report.errors.append(f"row group {r.rg}: lod {r.lod} has {r.nulls} nulls in {r.rows} rows")
+    bad = flat.select("rg", ROW_INDEX, *(faults(x.geometry_type)(F.col(x.name)).alias(x.name) for x in o.lods))
+    firsts = bad.agg(*(F.min(F.when(F.col(x.name).isNotNull(), F.struct("rg", ROW_INDEX, F.col(x.name).alias("message")))).alias(x.name) for x in o.lods)).first()
     for x in o.lods:
-        bad = flat.select("rg", ROW_INDEX, faults(x.geometry_type)(F.col(x.name)).alias("message")).where("message IS NOT NULL")
-        first = bad.agg(F.min(F.struct("rg", ROW_INDEX, "message")).alias("x")).first().x
-        if first:
+        if first := firsts[x.name]:
             report.errors.append(f"row group {first.rg}, row {first[ROW_INDEX]}: lod {x.name}: {first.message}")
